@@ -97,6 +97,16 @@ class ByteLevelEncoder:
         return [self._ids([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, found, strict=True)]
 
 
+_LOADED: dict[str, ByteLevelEncoder] = {}
+
+
+def load(path: str) -> ByteLevelEncoder:
+    """The encoder for the file at path, kept by the worker with its cache for the tasks to come."""
+    if path not in _LOADED:
+        _LOADED[path] = ByteLevelEncoder(path)
+    return _LOADED[path]
+
+
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
     """Lengths of an optimal prefix code with no length over `most`, by package-merge; 0 where the count is 0."""
     used = np.flatnonzero(counts)
@@ -189,7 +199,7 @@ def unpack_segment(code: Code, data: bytes) -> tuple[int, list, np.ndarray, np.n
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, off = ByteLevelEncoder(path), TaskContext.get().partitionId(), 0
+        enc, part, off = load(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], enc.kind).tobytes()
         for whole in batches:
             for batch in slices(whole, "text", STEP_BYTES):
