@@ -28,6 +28,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from skillcube.llm.common import read_table, slices
 from skillcube.llm.token_output import LETTERS, NUMBERS, UNSAFE, byte_characters
@@ -215,7 +216,7 @@ def _encoded(path: str):
 def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """docs with the column ids (array<int>): the ids of every whole text. Other columns stay."""
     docs = docs.drop("ids").withColumn("text", F.coalesce("text", F.lit("")))
-    return docs.mapInArrow(_encoded(tokenizer), docs.schema.add("ids", "array<int>"))
+    return docs.mapInArrow(_encoded(tokenizer), StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
 def _digests(path: str):

@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from skillcube.llm.bpe import op7_bpe
+from skillcube.llm.pii import op2_pii
+from skillcube.llm.quality import op3_quality
 from skillcube.llm.secrets import op9_secrets
 from skillcube.llm.token_output import op1_token_output
+from skillcube.llm.topk import op5_topk
+from skillcube.llm.warc import op4_warc
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_pii": op2_pii,
+    "op3_quality": op3_quality,
+    "op4_warc": op4_warc,
+    "op5_topk": op5_topk,
     "op7_bpe": op7_bpe,
     "op9_secrets": op9_secrets,
 }
