@@ -33,9 +33,9 @@ from skillcube.llm.common import drop_path, new_path, read_table, slices, staged
 MAX_BITS = 18
 BLOCK = 1024
 SEGMENT_TOKENS = 1 << 20
-#: Bytes of text that a worker tokenizes at once, and words that it remembers.
+#: Bytes of text that a worker tokenizes at once, and pieces that it remembers.
 STEP_BYTES = 1 << 20
-CACHE_WORDS = 300_000
+CACHE_PIECES = 500_000
 
 
 def _safe_classes() -> tuple[str, str]:
@@ -49,6 +49,7 @@ def _safe_classes() -> tuple[str, str]:
 LETTERS, NUMBERS = _safe_classes()
 #: Separators on which definitions of white space differ, and blocks that newer Unicode versions add to.
 UNSAFE = re.compile("[\\x1c-\\x1f\\x85\\u0500-\\u1fff\\u2070-\\U0010ffff]")
+_ODD_SPACE = re.compile("[\\xa0\\u2000-\\u200a\\u2028-\\u202f\\u205f]")
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 
 
@@ -59,11 +60,29 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """Ids of pieces of text, found on demand and remembered: at most about twice `most` of them."""
+
+    def __init__(self, find, most: int) -> None:
+        self.find, self.older, self.most = find, {}, most
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.find(piece)
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class ByteLevelEncoder:
     """Ids of texts by a byte-level tokenizer file of the tokenizers library.
 
-    The library's model encodes each distinct pre-token once; its ids are remembered. Texts with special-token strings or
-    characters outside the blocks where pre-tokenization is certain go through the library whole.
+    The library's model encodes each distinct piece once; its ids are remembered. In most texts a piece is what stands between
+    two spaces, which is safe where no space touches other white space; else it is a pre-token. Texts with special-token
+    strings or characters outside the blocks where pre-tokenization is certain go through the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -76,25 +95,41 @@ class ByteLevelEncoder:
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.model, self.shown = self.tok.model, byte_characters()
         self.packed = [i.to_bytes(self.kind.itemsize, "little") for i in range(self.tok.get_vocab_size())]
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        self.words = _Pieces(self._word, CACHE_PIECES // 10)
+        self.chunks = _Pieces(self._chunk, CACHE_PIECES)
+
+    def _word(self, word: str) -> bytes:
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))])
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a space and what follows it up to the next one."""
+        first, *rest = _WORDS.findall(" " + chunk)
+        if not rest:
+            return self._word(first)
+        return b"".join((self.chunks[first[1:]] if first[0] == " " else self.words[first], *map(self.words.__getitem__, rest)))
+
+    def pieces(self, text: str) -> bytes:
+        """Ids of a text without odd characters, pre-token by pre-token."""
+        return b"".join(map(self.words.__getitem__, _WORDS.findall(text)))
+
+    def text(self, text: str) -> bytes:
+        if any(s in text for s in self.special) or UNSAFE.search(text) if not text.isascii() else _has(text, (*self.special, "\x1c", "\x1d", "\x1e", "\x1f")):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        if _has(text, ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")) or not text.isascii() and _ODD_SPACE.search(text):
+            return self.pieces(text)
+        chunks = iter(text.split(" "))
+        return self.pieces(next(chunks)) + b"".join(map(self.chunks.__getitem__, chunks))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        found: list[list[str] | None] = [None if any(s in t for s in self.special) or (not t.isascii() or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t) and UNSAFE.search(t) else _WORDS.findall(t) for t in texts]
-        new = set()
-        for w in found:
-            if w is not None:
-                new.update(w)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache, self.older = {}, self.cache
-        tokenize, shown, packed = self.model.tokenize, self.shown, self.packed
-        for w in new.difference(self.cache):
-            self.cache[w] = self.older.get(w) or b"".join([packed[t.id] for t in tokenize(w.encode().decode("latin-1").translate(shown))])
-        get = self.cache.__getitem__
-        return [self._ids([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, found, strict=True)]
+        return [self.text(t) for t in texts]
+
+
+def _has(text: str, strings: tuple[str, ...]) -> bool:
+    for s in strings:
+        if s in text:
+            return True
+    return False
 
 
 _LOADED: dict[str, ByteLevelEncoder] = {}
@@ -197,9 +232,10 @@ def unpack_segment(code: Code, data: bytes) -> tuple[int, list, np.ndarray, np.n
     return first, [None if z else int(d) for d, z in zip(docs, nulls, strict=True)], lengths, ids
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, off = load(path), TaskContext.get().partitionId(), 0
+        counts = np.zeros(size, np.int64)
         end = np.array([end_id], enc.kind).tobytes()
         for whole in batches:
             for batch in slices(whole, "text", STEP_BYTES):
@@ -207,23 +243,21 @@ def _encode(path: str, end_id: int):
                 n = np.array([len(x) for x in ids], np.int64) // enc.kind.itemsize
                 starts = off + np.cumsum(n) - n
                 off += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(starts), batch.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], ["part", "off", "doc_id", "n", "ids"])
+                counts += np.bincount(np.frombuffer(b"".join(ids), enc.kind), minlength=size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(starts), batch.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], names)
+        if off:  # one more row, with the ids' counts instead of ids
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([off]), pa.array([None], pa.int64()), pa.array([-1]), pa.array([counts.tobytes()], pa.binary())], names)
 
+    names = ["part", "off", "doc_id", "n", "ids"]
     return run
 
 
-def _counts(kind: str, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            for ids in b.column("ids"):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=size) if len(ids.as_buffer()) > 65536 else 0
-            small = b"".join(x.as_buffer().to_pybytes() for x in b.column("ids") if len(x.as_buffer()) <= 65536)
-            total += np.bincount(np.frombuffer(small, kind), minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
-
-    return run
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for row in b.column("ids"):
+            total = np.frombuffer(row.as_buffer(), np.int64)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
 
 
 def _write(kind: str, lengths: bytes, base: dict[int, int]):
@@ -280,12 +314,13 @@ def write_token_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int) ->
     kind = "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    ids, at = staged(rows.mapInArrow(_encode(tokenizer, end_id), "part int, off long, doc_id long, n long, ids binary"), "token-ids")
+    ids, at = staged(rows.mapInArrow(_encode(tokenizer, end_id, size), "part int, off long, doc_id long, n long, ids binary"), "token-ids")
     counts = np.zeros(size, np.int64)
-    for r in ids.select("ids").mapInArrow(_counts(kind, size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in ids.where("n < 0").select("ids").mapInArrow(_counts, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     lengths = code_lengths(counts)
-    totals = {r.part: r.n for r in ids.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    totals = {r.part: r.off for r in ids.where("n < 0").select("part", "off").collect()}  # a row per partition
+    ids = ids.where("n >= 0")
     base, total = {}, 0
     for part in sorted(totals):
         base[part], total = total, total + totals[part]
