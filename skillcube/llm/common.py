@@ -109,8 +109,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_LOWER = np.arange(1, 257, dtype=np.uint64)
+_LOWER[65:91] += np.uint64(32)
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,27 +124,17 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray) -> tup
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = word_byte[raw]
-    starts = inside.copy()
+    starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
-    first = offsets[:-1][offsets[:-1] < offsets[1:]]
-    starts[first] = inside[first]
-    ends = inside.copy()
     ends[:-1] &= ~inside[1:]
-    last = first_last(offsets)
-    ends[last] = inside[last]
+    some = offsets[:-1] < offsets[1:]
+    first, last = offsets[:-1][some], offsets[1:][some] - 1
+    starts[first], ends[last] = inside[first], inside[last]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     up, down = _POWERS.get(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    values = _LOWER[raw]
+    values *= up[:n]
+    np.cumsum(values, out=sums[1:])
     h = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    doc = np.searchsorted(offsets, s, "right") - 1
-    return h, s, doc
-
-
-def first_last(offsets: np.ndarray) -> np.ndarray:
-    """Index of the last byte of each text that has bytes."""
-    return offsets[1:][offsets[:-1] < offsets[1:]] - 1
-
-
-def null_safe_text(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit("")).alias(column)
+    return h, s, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(s, offsets)))

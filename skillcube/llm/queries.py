@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from skillcube.llm.bpe import op7_bpe
+from skillcube.llm.decontam import op6_decontam
+from skillcube.llm.html_extract import op8_html_extract
+from skillcube.llm.jaccard_join import op10_jaccard_join
 from skillcube.llm.pii import op2_pii
 from skillcube.llm.quality import op3_quality
 from skillcube.llm.secrets import op9_secrets
@@ -16,8 +19,11 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
     "op5_topk": op5_topk,
+    "op6_decontam": op6_decontam,
     "op7_bpe": op7_bpe,
+    "op8_html_extract": op8_html_extract,
     "op9_secrets": op9_secrets,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
