@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from skillcube.llm.common import read_table, slices
+from skillcube.llm.common import read_table, slices, worker_state
 from skillcube.llm.token_output import LETTERS, NUMBERS, UNSAFE, byte_characters
 
 STEP_BYTES = 1 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: A window is at least this many symbols, so that long words take few steps.
 WINDOW = 512
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
@@ -193,14 +193,9 @@ class Decoder:
         return self.state.decode(b"", True) if self.text else ""
 
 
-_LOADED: dict[str, Bpe] = {}
-
-
 def load(path: str) -> Bpe:
     """The vocabulary at path, kept by the worker with its cache."""
-    if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
-    return _LOADED[path]
+    return worker_state(f"bpe {path}", lambda: Bpe(path))
 
 
 def _encoded(path: str):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -45,11 +48,11 @@ def _hadoop(spark: SparkSession, path: str, call) -> None:
     call(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p)
 
 
-def staged(df: DataFrame, name: str, path: str | None = None) -> tuple[DataFrame, str]:
+def staged(df: DataFrame, name: str, path: str | None = None, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Cut lineage: write df to the shared folder and read it back. A lost executor costs nothing that is staged."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.option("compression", "zstd").mode("overwrite").parquet(path)
+    df.write.option("compression", codec).mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -77,6 +80,28 @@ def slices(batch: pa.RecordBatch, column: str, most: int):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield batch.slice(at, min(end, n) - at)
         at = min(end, n)
+    give_back()
+
+
+_STATE: dict[str, object] = {}
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: workers live long and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def worker_state(operator: str, make=lambda: None):
+    """What an operator keeps in a reused Python worker between tasks. Another operator's state goes first, so workers do not pile states up."""
+    if operator not in _STATE:
+        if _STATE:
+            _STATE.clear()
+            gc.collect()
+            give_back()
+        _STATE[operator] = make()
+    return _STATE[operator]
 
 
 _LCG = np.uint64(0x9E3779B97F4A7C15)

@@ -24,9 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillcube.llm.common import read_table, slices, staged, utf8, words_of
+from skillcube.llm.common import read_table, slices, staged, utf8, words_of, worker_state
 
-SEGMENT_BYTES = 1 << 21
+SEGMENT_BYTES = 1 << 20
 BENCHMARK_BYTES = 8 << 20
 WINDOW = 10
 SLOP = 2
@@ -36,6 +36,7 @@ _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_state("decontamination")
     part, no = TaskContext.get().partitionId(), 0
     for whole in batches:
         for b in slices(whole, "text", SEGMENT_BYTES):
@@ -157,6 +158,7 @@ _MOST = 1 << 20
 
 def _ask(items: list[tuple[str, str]], window: int, slop: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("decontamination")
         asked = Windows(items, window)
         for b in batches:
             for i in range(b.num_rows):

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skillcube.llm.common import mix64, read_table, slices, staged, utf8, words_of
+from skillcube.llm.common import mix64, read_table, slices, staged, utf8, words_of, worker_state
 from skillcube.llm.components import connected_components
 
 STEP_BYTES = 1 << 20
@@ -75,9 +75,10 @@ def sets_of(column: pa.Array) -> list[np.ndarray]:
 
 def _sketched(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("jaccard join")
         total = np.zeros(1 << bits, np.int64)
         for whole in batches:
-            for b in slices(whole, "text", 4 * STEP_BYTES):
+            for b in slices(whole, "text", 2 * STEP_BYTES):
                 total += np.bincount((shingles(b.column("text"))[0] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         n = max(1, len(total) // _CHUNK)
         parts = [zlib.compress(c.astype("<i8" if total.max() >= 1 << 32 else "<u4").tobytes(), 1) for c in np.split(total, n)]
@@ -119,6 +120,7 @@ _ROW = "doc_id long, tk long, n long, digest binary, prefix_digest binary, token
 
 def _described(classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("jaccard join")
         order = classes.value
         for whole in batches:
             for b in slices(whole, "text", STEP_BYTES):
@@ -146,6 +148,7 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_state("jaccard join")
     for whole in batches:
         for b in slices(whole, "text", STEP_BYTES):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([u.tobytes() for u in sets_of(b.column("text"))], pa.binary())], ["id", "members"])

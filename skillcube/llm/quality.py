@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from skillcube.llm import boosting
-from skillcube.llm.common import mix64, read_table, slices, utf8, words_of
+from skillcube.llm.common import mix64, read_table, slices, utf8, words_of, worker_state
 
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 MAX_ROWS = 20_000
 THRESHOLD = 0.3
 
@@ -102,6 +102,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_state("quality")
     for whole in batches:
         for b in slices(whole, "text", STEP_BYTES):
             x = statistics(*utf8(b.column("text")))
@@ -127,6 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> boostin
 
 def _scored(model: boosting.Trees):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("quality")
         for whole in batches:
             if whole.num_rows == 0:
                 continue

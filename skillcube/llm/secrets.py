@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillcube.llm.common import read_table, slices
+from skillcube.llm.common import read_table, slices, worker_state
 
 STEP_BYTES = 1 << 21
 BASE_KINDS = ("assign", "access", "hex")
@@ -158,6 +158,7 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_state("secrets")
     for whole in batches:
         for b in slices(whole, "text", STEP_BYTES):
             rows = [scan(t) for t in b.column("text").to_pylist()]
@@ -174,6 +175,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 
 def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_state("secrets")
     for whole in batches:
         if whole.num_rows == 0:
             continue

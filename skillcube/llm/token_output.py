@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillcube.llm.common import drop_path, new_path, read_table, slices, staged
+from skillcube.llm.common import drop_path, new_path, read_table, slices, staged, worker_state
 
 MAX_BITS = 18
 BLOCK = 1024
@@ -77,6 +77,35 @@ class _Pieces(dict):
         return ids
 
 
+class _Chunks(_Pieces):
+    """Ids of a space and what follows it up to the next one. Letters with or without one final mark need no pattern."""
+
+    def __init__(self, encoder: ByteLevelEncoder, most: int) -> None:
+        super().__init__(encoder.chunk, most)
+        self.tokenize, self.shown, self.packed = encoder.model.tokenize, encoder.shown, encoder.packed
+        self.tails = {c: encoder.words[c] for c in ".,!?;:"}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            tail = self.tails.get(chunk[-1:], b"")
+            core = chunk[:-1] if tail else chunk
+            if core.isalpha():
+                ids = self.get(core) if tail else None
+                if ids is None:
+                    packed = self.packed
+                    shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.shown)
+                    ids = b"".join([packed[t.id] for t in self.tokenize("\u0120" + shown)])
+                ids += tail
+            else:
+                ids = self.find(chunk)
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
+
+
 class ByteLevelEncoder:
     """Ids of texts by a byte-level tokenizer file of the tokenizers library.
 
@@ -96,18 +125,14 @@ class ByteLevelEncoder:
         self.model, self.shown = self.tok.model, byte_characters()
         self.packed = [i.to_bytes(self.kind.itemsize, "little") for i in range(self.tok.get_vocab_size())]
         self.words = _Pieces(self._word, CACHE_PIECES // 10)
-        self.chunks = _Pieces(self._chunk, CACHE_PIECES)
+        self.chunks = _Chunks(self, CACHE_PIECES)
 
     def _word(self, word: str) -> bytes:
         packed = self.packed
         return b"".join([packed[t.id] for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))])
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a space and what follows it up to the next one."""
-        first, *rest = _WORDS.findall(" " + chunk)
-        if not rest:
-            return self._word(first)
-        return b"".join((self.chunks[first[1:]] if first[0] == " " else self.words[first], *map(self.words.__getitem__, rest)))
+    def chunk(self, chunk: str) -> bytes:
+        return self.pieces(" " + chunk)
 
     def pieces(self, text: str) -> bytes:
         """Ids of a text without odd characters, pre-token by pre-token."""
@@ -132,14 +157,9 @@ def _has(text: str, strings: tuple[str, ...]) -> bool:
     return False
 
 
-_LOADED: dict[str, ByteLevelEncoder] = {}
-
-
 def load(path: str) -> ByteLevelEncoder:
     """The encoder for the file at path, kept by the worker with its cache for the tasks to come."""
-    if path not in _LOADED:
-        _LOADED[path] = ByteLevelEncoder(path)
-    return _LOADED[path]
+    return worker_state(f"token output {path}", lambda: ByteLevelEncoder(path))
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
@@ -187,14 +207,20 @@ class Code:
         self.table[: len(filled)] = filled
 
     def encode(self, ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
+        """(code bits, bit offset of every block). A code is shorter than a word of 32 bits, so every word starts at least one code and only
+        the last of them reaches into the next word."""
         lens = self.len[ids]
         ends = np.cumsum(lens)
+        if not len(ids):
+            return b"", np.zeros(0, "<u8")
         at = ends - lens
-        total = int(ends[-1]) if len(ids) else 0
-        shifted = self.code[ids] << (64 - (at & 31) - lens).astype(np.uint64)
-        word, n = at >> 5, (total >> 5) + 2
-        words = np.bincount(word, (shifted >> np.uint64(32)).astype(np.float64), n) + np.bincount(word + 1, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), n)
-        return words.astype(np.uint32).astype(">u4").tobytes()[: (total + 7) // 8], at[::block].astype("<u8")
+        shifted = self.code[ids] << (64 - (at & 31) - lens).view(np.uint64)
+        word = at >> 5
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        words = np.zeros(len(first) + 1, np.uint64)
+        words[:-1] = np.add.reduceat(shifted >> np.uint64(32), first)
+        words[1:] += shifted[np.append(first[1:] - 1, len(ids) - 1)] & np.uint64(0xFFFFFFFF)
+        return words.astype(">u4").tobytes()[: (int(ends[-1]) + 7) // 8], at[::block].astype("<u8")
 
     def decode(self, bits: bytes, starts: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
         b = np.frombuffer(bits + bytes(8), np.uint8).astype(np.uint32)
@@ -314,7 +340,7 @@ def write_token_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int) ->
     kind = "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    ids, at = staged(rows.mapInArrow(_encode(tokenizer, end_id, size), "part int, off long, doc_id long, n long, ids binary"), "token-ids")
+    ids, at = staged(rows.mapInArrow(_encode(tokenizer, end_id, size), "part int, off long, doc_id long, n long, ids binary"), "token-ids", codec="snappy")
     counts = np.zeros(size, np.int64)
     for r in ids.where("n < 0").select("ids").mapInArrow(_counts, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
