@@ -134,7 +134,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_LOWER = np.arange(1, 257, dtype=np.uint64)
+PLAIN = np.arange(1, 257, dtype=np.uint64)
+_LOWER = PLAIN.copy()
 _LOWER[65:91] += np.uint64(32)
 
 
@@ -145,9 +146,15 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray) -> tup
     Returns (hash uint64 of each word, its byte start, its text's number), in order. Equal words have equal hashes;
     the hash is a polynomial of the bytes modulo 2**64 with a finaliser that also takes in the length.
     """
+    h, s, _, doc = spans_of(raw, offsets, word_byte, _LOWER)
+    return h, s, doc
+
+
+def spans_of(raw: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As words_of, with the byte end of each word; values: uint64[256], what a byte counts as in the hash (not 0)."""
     n = len(raw)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = word_byte[raw]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
@@ -158,8 +165,8 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray) -> tup
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     up, down = _POWERS.get(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    values = _LOWER[raw]
-    values *= up[:n]
-    np.cumsum(values, out=sums[1:])
+    terms = values[raw]
+    terms *= up[:n]
+    np.cumsum(terms, out=sums[1:])
     h = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return h, s, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(s, offsets)))
+    return h, s, e, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(s, offsets)))

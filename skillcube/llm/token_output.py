@@ -28,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillcube.llm.common import drop_path, new_path, read_table, slices, staged, worker_state
+from skillcube.llm.common import PLAIN, drop_path, new_path, read_table, slices, spans_of, staged, utf8, worker_state
 
 MAX_BITS = 18
 BLOCK = 1024
 SEGMENT_TOKENS = 1 << 20
 #: Bytes of text that a worker tokenizes at once, and pieces that it remembers.
-STEP_BYTES = 1 << 20
-CACHE_PIECES = 500_000
+STEP_BYTES = 1 << 21
+CACHE_PIECES = 2_000_000
 
 
 def _safe_classes() -> tuple[str, str]:
@@ -49,7 +49,6 @@ def _safe_classes() -> tuple[str, str]:
 LETTERS, NUMBERS = _safe_classes()
 #: Separators on which definitions of white space differ, and blocks that newer Unicode versions add to.
 UNSAFE = re.compile("[\\x1c-\\x1f\\x85\\u0500-\\u1fff\\u2070-\\U0010ffff]")
-_ODD_SPACE = re.compile("[\\xa0\\u2000-\\u200a\\u2028-\\u202f\\u205f]")
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 
 
@@ -60,58 +59,62 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Pieces(dict):
-    """Ids of pieces of text, found on demand and remembered: at most about twice `most` of them."""
-
-    def __init__(self, find, most: int) -> None:
-        self.find, self.older, self.most = find, {}, most
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self.find(piece)
-        if len(self) > self.most:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
-
-
-class _Chunks(_Pieces):
-    """Ids of a space and what follows it up to the next one. Letters with or without one final mark need no pattern."""
-
-    def __init__(self, encoder: ByteLevelEncoder, most: int) -> None:
-        super().__init__(encoder.chunk, most)
-        self.tokenize, self.shown, self.packed = encoder.model.tokenize, encoder.shown, encoder.packed
-        self.tails = {c: encoder.words[c] for c in ".,!?;:"}
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
-        if ids is None:
-            tail = self.tails.get(chunk[-1:], b"")
-            core = chunk[:-1] if tail else chunk
-            if core.isalpha():
-                ids = self.get(core) if tail else None
-                if ids is None:
-                    packed = self.packed
-                    shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.shown)
-                    ids = b"".join([packed[t.id] for t in self.tokenize("\u0120" + shown)])
-                ids += tail
-            else:
-                ids = self.find(chunk)
-        if len(self) > self.most:
-            self.older = dict(self)
-            self.clear()
-        self[chunk] = ids
-        return ids
+class _Store:
+    """Ids of pieces by the pieces' hashes: sorted keys, and for each its run in one array of ids."""
+
+    def __init__(self, kind: np.dtype) -> None:
+        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.at, self.size = np.zeros(1 << 20, kind), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.n_rows = self.n_ids = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of sorted keys, -1 where absent."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[i] == keys, self.row[i], -1)
+
+    def add(self, keys: np.ndarray, found: list[bytes]) -> np.ndarray:
+        """Rows of new sorted keys with their ids."""
+        size = np.array([len(x) for x in found], np.int64) // self.ids.itemsize
+        new = np.frombuffer(b"".join(found), self.ids.dtype)
+        while self.n_ids + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n_rows + len(size) > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        rows = np.arange(self.n_rows, self.n_rows + len(size))
+        self.ids[self.n_ids : self.n_ids + len(new)] = new
+        self.at[rows], self.size[rows] = self.n_ids + np.cumsum(size) - size, size
+        self.n_rows, self.n_ids = self.n_rows + len(size), self.n_ids + len(new)
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.row = np.insert(self.keys, where, keys), np.insert(self.row, where, rows)
+        return rows
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows in order, how many of each)."""
+        size = self.size[rows]
+        ends = np.cumsum(size)
+        at = np.repeat(self.at[rows] - (ends - size), size)
+        at += np.arange(len(at))
+        return self.ids[at], size
+
+
+_NOT_SPACE = np.ones(256, bool)
+_NOT_SPACE[32] = False
+#: Bytes whose texts take the slower path: control characters that are or may be white space, and leads from U+0500 on.
+_ODD_BYTE = np.zeros(256, bool)
+_ODD_BYTE[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+_ODD_BYTE[0xD4:] = True
+_FIRST = np.uint64(0xA5A5F00DC0FFEE01)
+_MOST_BYTES = 64
 
 
 class ByteLevelEncoder:
     """Ids of texts by a byte-level tokenizer file of the tokenizers library.
 
-    The library's model encodes each distinct piece once; its ids are remembered. In most texts a piece is what stands between
-    two spaces, which is safe where no space touches other white space; else it is a pre-token. Texts with special-token
-    strings or characters outside the blocks where pre-tokenization is certain go through the library whole.
+    The library's model encodes each distinct piece once; its ids are remembered by the piece's 64-bit hash. A piece is what stands
+    between two spaces, which is safe where no space touches other white space. All other texts go pre-token by pre-token, and those with
+    special-token strings or characters outside the blocks where pre-tokenization is certain go through the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -124,37 +127,82 @@ class ByteLevelEncoder:
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.model, self.shown = self.tok.model, byte_characters()
         self.packed = [i.to_bytes(self.kind.itemsize, "little") for i in range(self.tok.get_vocab_size())]
-        self.words = _Pieces(self._word, CACHE_PIECES // 10)
-        self.chunks = _Chunks(self, CACHE_PIECES)
+        self.store = _Store(self.kind)
+        self.tails = {c: self._word(c) for c in ".,!?;:"}
 
     def _word(self, word: str) -> bytes:
         packed = self.packed
         return b"".join([packed[t.id] for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))])
 
-    def chunk(self, chunk: str) -> bytes:
-        return self.pieces(" " + chunk)
-
     def pieces(self, text: str) -> bytes:
         """Ids of a text without odd characters, pre-token by pre-token."""
-        return b"".join(map(self.words.__getitem__, _WORDS.findall(text)))
+        return b"".join(map(self._word, _WORDS.findall(text)))
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a space and what follows it; letters with or without a final mark need no pattern."""
+        tail = self.tails.get(chunk[-1:], b"")
+        core = chunk[:-1] if tail else chunk
+        if not core.isalpha():
+            return self.pieces(" " + chunk)
+        packed = self.packed
+        shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.shown)
+        return b"".join([packed[t.id] for t in self.model.tokenize(self.shown[32] + shown)]) + tail
 
     def text(self, text: str) -> bytes:
-        if any(s in text for s in self.special) or UNSAFE.search(text) if not text.isascii() else _has(text, (*self.special, "\x1c", "\x1d", "\x1e", "\x1f")):
+        odd = any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else UNSAFE.search(text)
+        if odd or any(s in text for s in self.special):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        if _has(text, ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")) or not text.isascii() and _ODD_SPACE.search(text):
-            return self.pieces(text)
-        chunks = iter(text.split(" "))
-        return self.pieces(next(chunks)) + b"".join(map(self.chunks.__getitem__, chunks))
+        return self.pieces(text)
+
+    def _slow(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts cannot be cut at their spaces."""
+        odd = _ODD_BYTE[raw]
+        a, b = raw[:-1], raw[1:]
+        space = raw == 32
+        white = space | (raw == 10)
+        odd[:-1] |= space[:-1] & white[1:] | white[:-1] & space[1:] | (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+        for s in self.special:
+            s = s.encode()
+            odd[:-1] |= (a == s[0]) & (b == s[1 % len(s)]) if len(s) > 1 else a == s[0]
+            odd[-1:] |= len(s) == 1 and raw[-1:] == s[0]
+        slow = np.zeros(len(offsets) - 1, bool)
+        slow[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = True
+        some = offsets[:-1] < offsets[1:]
+        slow[some] |= space[offsets[:-1][some]] | space[offsets[1:][some] - 1]
+        return slow
+
+    def encode_array(self, column: pa.Array) -> list[bytes]:
+        """Ids of every text of a string column."""
+        raw, offsets = utf8(column)
+        if not len(raw):
+            return [b""] * len(column)
+        if self.store.n_rows > CACHE_PIECES:
+            self.store = _Store(self.kind)
+        slow = self._slow(raw, offsets)
+        h, start, end, doc = spans_of(raw, offsets, _NOT_SPACE, PLAIN)
+        slow[doc[end - start > _MOST_BYTES]] = True
+        first = start == offsets[doc]
+        h[first] ^= _FIRST  # no space before it
+        keep = ~slow[doc]
+        h, start, end, doc, first = h[keep], start[keep], end[keep], doc[keep], first[keep]
+        keys, one, which = np.unique(h, return_index=True, return_inverse=True)
+        rows = self.store.find(keys)
+        new = np.flatnonzero(rows < 0)
+        data = raw.tobytes()
+        i = one[new]
+        found = [self.pieces(data[a:z].decode()) if f else self._chunk(data[a:z].decode()) for a, z, f in zip(start[i].tolist(), end[i].tolist(), first[i].tolist(), strict=True)]
+        rows[new] = self.store.add(keys[new], found)
+        ids, size = self.store.take(rows[which])
+        ends = np.cumsum(np.bincount(doc, size, len(column)).astype(np.int64)) * self.kind.itemsize
+        packed, at = ids.tobytes(), 0
+        out = []
+        for k, (z, other) in enumerate(zip(ends.tolist(), slow.tolist(), strict=True)):
+            out.append(self.text(column[k].as_py()) if other else packed[at:z])
+            at = z
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self.text(t) for t in texts]
-
-
-def _has(text: str, strings: tuple[str, ...]) -> bool:
-    for s in strings:
-        if s in text:
-            return True
-    return False
+        return self.encode_array(pa.array(texts, pa.string()))
 
 
 def load(path: str) -> ByteLevelEncoder:
@@ -265,7 +313,7 @@ def _encode(path: str, end_id: int, size: int):
         end = np.array([end_id], enc.kind).tobytes()
         for whole in batches:
             for batch in slices(whole, "text", STEP_BYTES):
-                ids = [x + end for x in enc.encode(batch.column("text").to_pylist())]
+                ids = [x + end for x in enc.encode_array(batch.column("text"))]
                 n = np.array([len(x) for x in ids], np.int64) // enc.kind.itemsize
                 starts = off + np.cumsum(n) - n
                 off += int(n.sum())
