@@ -35,7 +35,7 @@ _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_IP_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _IP_VALID = rf"^{_IP_PART}(?:\.{_IP_PART}){{3}}$"
 # High-recall generators.
 _NUMBER = r"(?<![0-9A-Za-z+])[(]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,18}(?![0-9])"
