@@ -28,10 +28,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillcube.llm.common import mix64, read_table, slices, staged, utf8, words_of, worker_state
+from skillcube.llm.common import drop_path, mix64, read_table, slices, staged, utf8, words_of, worker_state
 from skillcube.llm.components import connected_components
 
 STEP_BYTES = 1 << 20
@@ -175,13 +175,17 @@ class _Join:
         pick = F.min(F.struct("doc_id", "tk"))  # nulls come first in a struct, so known ids alone are compared
         known = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tk")))
         sets = self.rows.where("n > 0").groupBy("digest").agg(F.coalesce(known, pick).alias("row"), one("n"), one("prefix_digest"), one("tokens"), one("histogram"))
-        sets = sets.withColumn("id", F.coalesce("row.doc_id", -F.abs(F.xxhash64("digest") / 2).cast("long") - 2))
+        substitute = -F.abs(F.xxhash64("digest") / 2).cast("long") - 2
+        sets, at = staged(sets.withColumn("id", F.coalesce("row.doc_id", substitute)), "equal-sets")
         # a doc_id that rows with several sets carry names none of them
-        unique = F.count(F.lit(1)).over(Window.partitionBy("id")) == 1
-        sets = sets.withColumn("id", F.when(unique, F.col("id")).otherwise(-F.abs(F.xxhash64("digest") / 2).cast("long") - 2))
-        group = F.min("id").over(Window.partitionBy("n", "prefix_digest"))
-        sets = sets.withColumn("gid", F.when(F.size("tokens") > 0, group).otherwise(F.col("id")))
+        shared, at_shared = staged(sets.groupBy("id").count().where("count > 1").select(F.col("id").alias("shared")), "shared-ids")
+        sets = sets.join(shared, F.col("id") == F.col("shared"), "left").withColumn("id", F.when(F.col("shared").isNull(), F.col("id")).otherwise(substitute))
+        # only prefixes that several sets have need a group; a small table of known size joins, or a large side that can be split
+        heads = sets.where(F.size("tokens") > 0).groupBy(F.col("n").alias("of_n"), F.col("prefix_digest").alias("of_prefix")).agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+        heads, at_heads = staged(heads, "groups")
+        sets = sets.join(heads, (F.col("n") == F.col("of_n")) & (F.col("prefix_digest") == F.col("of_prefix")), "left").withColumn("gid", F.coalesce("head", "id"))
         self.sets, _ = staged(sets.select("id", "gid", "row", "digest", "n", "tokens", "histogram"), "distinct-sets")
+        drop_path(self.spark, at, at_shared, at_heads)
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a, b) of sets that pass size and histograms."""

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillcube.llm.common import new_path, read_table
+from skillcube.llm.common import new_path, read_table, staged
 
 CHUNK_BYTES = 1 << 18
 REVISIT_BYTES = 100
@@ -38,14 +38,15 @@ _TABLE = "record_id string, chunk_no int, last boolean, digest string, data bina
 def record_types(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, payload_digest, record_type, refers_to: the decision for every row.
 
-    Only (digest, page_id) of payloads that occur twice or more meets in the join; a digest held by a third of all rows is
-    pre-aggregated by the grouping, and the join's large side can be split where it is skewed.
+    Digests that occur twice or more, with their smallest page_id, are written first: the join then knows that table's size and broadcasts
+    it only below Spark's threshold; beyond it, a digest that a third of all rows hold is a skewed side that Spark can split.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
     long = F.length("payload") >= REVISIT_BYTES
     keys = rows.where(long).select("payload_digest", "page_id")
     first = keys.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("payload_digest").alias("d"), "first")
+    first, _ = staged(first, "repeated-payloads")
     joined = rows.join(first, (F.col("payload_digest") == F.col("d")) & long, "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
