@@ -53,14 +53,16 @@ def _blocks(block: int, group: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId(), 0
+        part, made, at_dim, number = TaskContext.get().partitionId(), 0, None, -1
         held: list[pa.Table] = []
 
         def emit(t: pa.Table) -> pa.RecordBatch:
-            nonlocal made
+            nonlocal made, at_dim, number
             dim = t.column("dim")[0].as_py()
+            if dim != at_dim or made % group == 0:  # a group has vectors of one length
+                at_dim, made, number = dim, 0, number + 1
             m = _matrix(t.column("v"), dim)
-            row = [[dim], [(part << 32) + made // group], [t.column("id").to_numpy().astype("<i8").tobytes()], [m.astype("<i8").tobytes()], [m.max(0).astype("<i8").tobytes()], [m.min(0).astype("<i8").tobytes()]]
+            row = [[dim], [(part << 32) + number], [t.column("id").to_numpy().astype("<i8").tobytes()], [m.astype("<i8").tobytes()], [m.max(0).astype("<i8").tobytes()], [m.min(0).astype("<i8").tobytes()]]
             made += 1
             return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), pa.array(row[1], pa.int64()), *(pa.array(x, pa.binary()) for x in row[2:])], ["dim", "grp", "ids", "matrix", "high", "low"])
 
