@@ -1,6 +1,6 @@
 """Main-text extraction by consensus host paths.
 
-Every page is parsed and its containers are scored: the share of the page's running text that a container holds, less its links,
+Every page is parsed and its containers are scored: the share of the page's running text (blocks of some length that are not mostly links) that a container holds, less its links,
 with a little for depth and for names that say content. The page votes for its best container's generalised path (tags and classes from the
 root, digits dropped). Votes are counted per host and path in Spark; each host's winning path then extracts all its pages, so one
 odd page follows its host. A page without an element on that path falls back to its own best container.
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from skillcube.llm.common import read_table, slices, staged
 
 STEP_BYTES = 1 << 21
+#: Characters from which a block counts as running text.
+RUNNING = 40
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|([^<]+|<)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -136,23 +138,31 @@ class Page:
     def best(self) -> tuple[int, float]:
         """The best container and its score; (0, 0.0) if the page has no running text."""
         n = len(self.tag)
-        text, linked = [0] * n, [0] * n
-        for i, _, t in self.texts:
+        text, linked, running = [0] * n, [0] * n, [0] * n
+        blocks: dict[int, list[int]] = {}  # size and linked size of each block
+        parts = []
+        for i, mark, t in self.texts:
             if not self.dropped[i]:
                 size = len("".join(t.split()))
+                parts.append((i, mark, size))
                 text[i] += size
-                linked[i] += size if self.link[i] else 0
+                linked[i] += size * self.link[i]
+                block = blocks.setdefault(mark, [0, 0])
+                block[0] += size
+                block[1] += size * self.link[i]
+        long = {m for m, (size, link) in blocks.items() if size >= RUNNING and 2 * link <= size} or set(blocks)
+        for i, mark, size in parts:
+            running[i] += size * (mark in long)
         depth = [0] * n
         for i in range(1, n):
             depth[i] = depth[self.parent[i]] + 1
         for i in range(n - 1, 0, -1):
-            text[self.parent[i]] += text[i]
-            linked[self.parent[i]] += linked[i]
-        whole = text[0] - linked[0]
+            for sums in (text, linked, running):
+                sums[self.parent[i]] += sums[i]
         best = (0, 0.0)
         for i in range(1, n):
             if self.tag[i] in _CONTAINER and not self.dropped[i] and text[i]:
-                share = (text[i] - linked[i]) / max(1, whole)
+                share = running[i] / max(1, running[0])
                 score = share * (1 - linked[i] / text[i]) + (0.02 * min(depth[i], 10) + 0.25 * self.content[i]) * (share >= 0.3)
                 if score > best[1]:
                     best = (i, score)
