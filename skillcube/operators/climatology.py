@@ -53,6 +53,12 @@ def explicit(df: DataFrame, value: str, space: Sequence[str], statistics: Sequen
     return rows.groupBy(*keys).agg(*([mean.alias(value)] if "mean" in statistics else []), std.alias(f"{value}_std"))
 
 
+def custom(df: DataFrame, value: str, space: Sequence[str], statistic, window: int = 61, hourly: bool = False, time: str = "time") -> DataFrame:
+    """Any statistic over window and years: statistic(value column, weight column) gives an aggregate. Missing values are there as NULL."""
+    rows = _spread(by_year_and_day(df, value, space, hourly, time), window)
+    return rows.groupBy("dayofyear", *(["hour"] if hourly else []), *space).agg(statistic(F.col(value), F.col("ww")).alias(value))
+
+
 def _smoothed(df: DataFrame, value: str, keys: Sequence[str], window: int) -> DataFrame:
     """Mean over the window's days of value times weight, on the ring of the days that occur; missing values do not count."""
     w = window_weights(window)

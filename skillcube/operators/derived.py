@@ -207,31 +207,50 @@ def _column(name: str, needs: tuple[str, ...], f) -> Derived:
 
 
 def _accumulation(hours: int) -> Derived:
-    return Derived(f"total_precipitation_{hours}hr", ("total_precipitation",), lambda df, cell: precipitation_accumulation(df, "total_precipitation", cell, hours))
+    total, name = "total_precipitation", f"total_precipitation_{hours}hr"
+    return Derived(name, (total,), lambda df, cell: precipitation_accumulation(df, total, cell, hours, name=name))
 
 
+def _longer(hours: int, short_hours: int) -> Derived:
+    short, name = f"total_precipitation_{short_hours}hr", f"total_precipitation_{hours}hr_from_{short_hours}hr"
+    return Derived(name, (short,), lambda df, cell: aggregate_accumulation(df, short, cell, hours // short_hours, name))
+
+
+def _column_integral(name: str, species: str) -> Derived:
+    return Derived(name, (species,), lambda df, cell: total_column(df, cell, species, name))
+
+
+def _away(name: str, column: str) -> Derived:
+    return Derived(name, (U, V, "geopotential"), lambda df, cell: ageostrophic(df, cell, U, V).withColumnRenamed(column, name).drop(*{"ageostrophic_u", "ageostrophic_v", "ageostrophic_speed"} - {name}))
+
+
+#: Names of fields and of derived variables as users of such cubes know them.
+U, V = "u_component_of_wind", "v_component_of_wind"
 REGISTRY: dict[str, Derived] = {
     d.name: d
     for d in (
-        _column("wind_speed", ("u", "v"), lambda c: wind_speed()),
-        _column("10m_wind_speed", ("10m_u", "10m_v"), lambda c: wind_speed("10m_u", "10m_v")),
-        _column("divergence", ("u", "v"), divergence),
-        _column("vorticity", ("u", "v"), vorticity),
-        Derived("vertical_velocity", ("u", "v"), vertical_velocity),
-        Derived("eddy_kinetic_energy", ("u", "v"), eddy_kinetic_energy),
-        _column("u_geostrophic", ("geopotential",), lambda c: geostrophic(c)[0]),
-        _column("v_geostrophic", ("geopotential",), lambda c: geostrophic(c)[1]),
+        _column("wind_speed", (U, V), lambda c: wind_speed(U, V)),
+        _column("10m_wind_speed", (f"10m_{U}", f"10m_{V}"), lambda c: wind_speed(f"10m_{U}", f"10m_{V}")),
+        _column("divergence", (U, V), lambda c: divergence(c, U, V)),
+        _column("vorticity", (U, V), lambda c: vorticity(c, U, V)),
+        Derived("vertical_velocity", (U, V), lambda df, c: vertical_velocity(df, c, U, V)),
+        Derived("eddy_kinetic_energy", (U, V), lambda df, c: eddy_kinetic_energy(df, c, U, V)),
         Derived("geostrophic_wind_speed", ("geopotential",), geostrophic_speed),
-        Derived("ageostrophic_u", ("u", "v", "geopotential"), ageostrophic),
-        Derived("ageostrophic_v", ("u", "v", "geopotential"), ageostrophic),
-        Derived("ageostrophic_speed", ("u", "v", "geopotential"), ageostrophic),
+        _column("u_component_of_geostrophic_wind", ("geopotential",), lambda c: geostrophic(c)[0]),
+        _column("v_component_of_geostrophic_wind", ("geopotential",), lambda c: geostrophic(c)[1]),
+        _away("ageostrophic_wind_speed", "ageostrophic_speed"),
+        _away("u_component_of_ageostrophic_wind", "ageostrophic_u"),
+        _away("v_component_of_ageostrophic_wind", "ageostrophic_v"),
         _column("lapse_rate", ("temperature", "geopotential"), lapse_rate),
-        Derived("total_column_water", ("specific_humidity",), total_column),
-        Derived("integrated_vapor_transport", ("u", "v", "specific_humidity"), integrated_water_transport),
+        _column_integral("total_column_vapor", "specific_humidity"),
+        _column_integral("total_column_liquid", "specific_cloud_liquid_water_content"),
+        _column_integral("total_column_ice", "specific_cloud_ice_water_content"),
+        Derived("integrated_vapor_transport", (U, V, "specific_humidity"), lambda df, c: integrated_water_transport(df, c, U, V)),
         _column("relative_humidity", ("temperature", "specific_humidity", "level"), lambda c: relative_humidity()),
         _accumulation(6),
         _accumulation(24),
-        Derived("total_precipitation_24hr_from_6hr", ("total_precipitation_6hr",), lambda df, cell: aggregate_accumulation(df, "total_precipitation_6hr", cell, 4, "total_precipitation_24hr_from_6hr")),
+        _longer(24, 6),
+        _longer(24, 12),
     )
 }
 

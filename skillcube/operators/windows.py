@@ -55,6 +55,23 @@ def resample(df: DataFrame, values: dict[str, str], by: Sequence[str], period_ho
     return out.select(*by, F.timestamp_add("SECOND", F.col("__b") * period, origin).alias(time), *values)
 
 
+def resample_in_time(df: DataFrame, by: Sequence[str], period_hours: int, means: Sequence[str] = (), mins: Sequence[str] = (), maxs: Sequence[str] = (), sums: Sequence[str] = (), step_hours: int | None = None, method: str = "resample", side: str = "left", mean_suffix: bool = False, time: str = "time", skipna: bool = False) -> DataFrame:
+    """Several statistics per variable. A variable with one statistic keeps its name unless it is a min, max or sum, which get a suffix, as means do with mean_suffix.
+
+    method: resample (buckets) or rolling (windows of step_hours data).
+    """
+    wanted = [(v, how) for how, names in (("mean", means), ("min", mins), ("max", maxs), ("sum", sums)) for v in names]
+    named = {(v, how): v if how == "mean" and not mean_suffix else f"{v}_{how}" for v, how in wanted}
+    rows = df.select(*by, time, *(F.col(v).alias(n) for (v, _), n in named.items()))
+    if method == "resample":
+        return resample(rows, {n: how for (_, how), n in named.items()}, by, period_hours, side, time, skipna=skipna)
+    if method != "rolling" or not step_hours or period_hours % step_hours:
+        raise ValueError("rolling windows need the data's step, of which the period is a multiple")
+    for (_, how), n in named.items():
+        rows = rolling(rows, n, by, period_hours // step_hours, how, time)
+    return rows.withColumn(time, F.col(time) + _hours(step_hours - period_hours if side == "left" else step_hours))
+
+
 def weekly(df: DataFrame, value: str, by: Sequence[str], weeks: int = 1, how: str = "mean", time: str = "time") -> DataFrame:
     """Windows of whole weeks over daily data, labelled by their first day."""
     return rolling_labelled(df, value, by, weeks * 7 * 24, 24, how, "left", time)
