@@ -129,8 +129,8 @@ class Segment:
         ok = np.searchsorted(self.ends, start, "right") == np.searchsorted(self.ends, start + size - 1, "right")
         return row[ok], start[ok]
 
-    def near(self, windows: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, position of the rarest term) where all distinct terms of a window lie within span words of one document."""
+    def near(self, windows: np.ndarray, span: int, known: set[tuple[int, int]]) -> set[tuple[int, int]]:
+        """(row, document) where all distinct terms of a window lie within span words; known: those that an exact match has shown."""
         size = windows.shape[1]
         order = np.argsort(self.lists[windows + 1] - self.lists[windows], axis=1, kind="stable")
         row, at = self.starts(windows[np.arange(len(windows)), order[:, 0]], np.zeros(len(windows), np.int64))
@@ -142,14 +142,16 @@ class Segment:
             low, high = np.maximum(at - span + 1, self.ends[doc]), np.minimum(at + span, self.ends[doc + 1])
             ok = np.searchsorted(self.keys, term | low) < np.searchsorted(self.keys, term | high)
             row, at = row[ok], at[ok]
-        good = np.zeros(len(row), bool)
-        for i in range(len(row)):
-            doc = np.searchsorted(self.ends, at[i], "right") - 1
-            low, high = max(at[i] - span + 1, self.ends[doc]), min(at[i] + span, self.ends[doc + 1])
-            terms = np.unique(windows[row[i]])
-            held = [self.keys[slice(*np.searchsorted(self.keys, [t << 32 | low, t << 32 | high]))] & 0xFFFFFFFF for t in terms]
-            good[i] = any(all(np.searchsorted(p, s) < np.searchsorted(p, s + span) for p in held) for s in range(low, at[i] + 1))
-        return row[good], at[good]
+        shown = set(known)
+        doc = np.searchsorted(self.ends, at, "right") - 1
+        for r, d, p in zip(row.tolist(), doc.tolist(), at.tolist(), strict=True):
+            if (r, d) in shown:
+                continue
+            low, high = max(p - span + 1, int(self.ends[d])), min(p + span, int(self.ends[d + 1]))
+            held = [self.keys[slice(*np.searchsorted(self.keys, [t << 32 | low, t << 32 | high]))] & 0xFFFFFFFF for t in np.unique(windows[r])]
+            if any(all(np.searchsorted(x, s) < np.searchsorted(x, s + span) for x in held) for s in range(low, p + 1)):
+                shown.add((r, d))
+        return shown
 
 
 #: Start positions that are intersected at once.
@@ -181,9 +183,8 @@ def _ask(items: list[tuple[str, str]], window: int, slop: int | None):
                             ranges[d].append({"a": s, "b": s + size})
                             hits[d].update(asked.items[r])
                         if slop is not None:
-                            row, at = seg.near(windows[rows], size + slop)
-                            for r, d in zip(which[rows[row]].tolist(), (np.searchsorted(seg.ends, at, "right") - 1).tolist(), strict=True):
-                                near[d].update(asked.items[r])
+                            for r, d in seg.near(windows[rows], size + slop, set(zip(row.tolist(), doc.tolist(), strict=True))):
+                                near[d].update(asked.items[which[rows[r]]])
                 kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
                 sets = [pa.array([sorted(x) for x in xs], pa.list_(pa.string())) for xs in (hits, near)]
                 ids = b.column("doc_ids")[i].values

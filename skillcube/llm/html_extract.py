@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,7 @@ STEP_BYTES = 1 << 21
 #: Characters from which a block counts as running text.
 RUNNING = 40
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|([^<]+|<)""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|([^<]+|<)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -69,12 +70,18 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack, at, mark = [0], 0, 0
+        opened: Counter[str] = Counter()  # of the tags on the stack
+        last = source.rfind(">")
+
+        def pop(i: int) -> None:
+            opened.subtract(self.tag[k] for k in stack[i:])
+            del stack[i:]
+
         while at < len(source):
+            if at > last and not source.startswith("<!", at):  # no tag ends behind here
+                self.texts.append((stack[-1], mark, html.unescape(source[at:])))
+                break
             m = _TOKEN.match(source, at)
-            if m is None:  # a tag without end
-                self.texts.append((stack[-1], mark, source[at]))
-                at += 1
-                continue
             at = m.end()
             cdata, end, tag, attributes, text = m.groups()
             if text is not None or cdata is not None:
@@ -86,9 +93,9 @@ class Page:
             if end:
                 if tag in _BLOCK:
                     mark += 1
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                     if self.tag[stack[i]] == tag:
-                        del stack[i:]
+                        pop(i)
                         break
                     if tag not in _BLOCK and self.tag[stack[i]] in _SCOPE:
                         break
@@ -101,7 +108,7 @@ class Page:
                 for i in range(len(stack) - 1, 0, -1):
                     open_ = self.tag[stack[i]]
                     if tag in _CLOSES.get(open_, ()):
-                        del stack[i:]
+                        pop(i)
                         if open_ in ("p", "dt", "dd", "li"):
                             break
                     elif open_ in _SCOPE:
@@ -114,6 +121,7 @@ class Page:
                 at = close.end() if close else len(source)
             elif not attributes.endswith("/") or tag in _BLOCK:
                 stack.append(len(self.tag) - 1)
+                opened[tag] += 1
 
     def _open(self, tag: str, attributes: str, parent: int) -> None:
         a = {k.lower(): html.unescape(x or y or z) for k, x, y, z in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
@@ -122,7 +130,7 @@ class Page:
         style = a.get("style", "").replace(" ", "").lower()
         drop = tag in _DROPPED_TAGS or tag not in ("html", "body", "article", "main") and bool(words & _DROPPED_WORDS) or a.get("role", "").lower() in _DROPPED_ROLES or "hidden" in a or "display:none" in style
         self.tag.append(tag)
-        self.name.append(tag + "".join(f".{c}" for c in sorted({re.sub(r"\d+", "", c) for c in a.get("class", "").lower().split()} - {""})))
+        self.name.append(tag + "".join(f".{c}" for c in sorted({re.sub(r"[\d>]+", "", c) for c in a.get("class", "").lower().split()} - {""})))
         self.parent.append(parent)
         self.dropped.append(self.dropped[parent] or drop)
         self.content.append(tag in ("article", "main") or a.get("role", "").lower() in ("main", "article") or a.get("itemprop", "").lower() == "articlebody" or bool(words & _CONTENT_WORDS))
@@ -135,6 +143,14 @@ class Page:
             i = self.parent[i]
         return ">".join(reversed(names))
 
+    def on_path(self, i: int, names: list[str]) -> bool:
+        """Whether an element's path has these names."""
+        for name in reversed(names):
+            if i <= 0 or self.name[i] != name:
+                return False
+            i = self.parent[i]
+        return i == 0
+
     def best(self) -> tuple[int, float]:
         """The best container and its score; (0, 0.0) if the page has no running text."""
         n = len(self.tag)
@@ -188,7 +204,8 @@ class Page:
 def extract(source: str, path: str | None = None) -> str:
     """The main text of a page: of the elements on a path, or of its best container."""
     page = Page(source)
-    roots = {i for i in range(1, len(page.tag)) if not page.dropped[i] and page.path(i) == path} if path else set()
+    names = path.split(">") if path else []
+    roots = {i for i in range(1, len(page.tag)) if not page.dropped[i] and page.on_path(i, names)} if names else set()
     return page.text_of(roots or {page.best()[0]})
 
 

@@ -38,3 +38,8 @@ def test_hosts_vote(spark):
 
 def test_all_boilerplate_page():
     assert H.extract("<body><nav>menu</nav><footer>f</footer></body>") == ""
+
+
+def test_hostile_markup_takes_linear_time():
+    for s in ("<div>" * 30000 + "x", "</section>" * 50000, "<a '" * 30000, "<b>" * 30000 + "</i>" * 30000, "<p class='a>b'>x</p>"):
+        assert isinstance(H.extract(s), str)

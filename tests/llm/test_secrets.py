@@ -58,3 +58,7 @@ def test_table(spark, make_docs):
     out = S.redact_documents(make_docs(docs))
     assert out.columns == make_docs([]).columns and out.count() == 6
     assert {r.text for r in out.where("doc_id = 3").collect()} == {"[SECRET]"} and out.where("doc_id = 1").first().text is None
+
+
+def test_many_open_blocks_take_linear_time():
+    assert S.scan("-----BEGIN PRIVATE KEY----- abc " * 5000) == ([], [])
