@@ -233,7 +233,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_matches(build_index(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"))
-    return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near"),
-    )
+    """Exact matches of every document."""
+    found = find_matches(build_index(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"), slop=None)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and the items of which a window's words lie close together in any order, for documents that have such."""
+    found = find_matches(build_index(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"), slop=SLOP)
+    return found.where(F.size("near") > 0).select("doc_id", F.array_join("near", ",").alias("items"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from skillcube.llm.bpe import op7_bpe
-from skillcube.llm.decontam import op6_decontam
+from skillcube.llm.decontam import op6_decontam, proximity_matches
 from skillcube.llm.html_extract import op8_html_extract
 from skillcube.llm.jaccard_join import op10_jaccard_join
+from skillcube.llm.oracle import ORACLE_SQL
 from skillcube.llm.pii import op2_pii
 from skillcube.llm.quality import op3_quality
 from skillcube.llm.secrets import op9_secrets
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_secrets": op9_secrets,
     "op10_jaccard_join": op10_jaccard_join,
+    "proximity_matches": proximity_matches,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
