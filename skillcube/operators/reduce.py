@@ -22,17 +22,20 @@ def time_mean(df: DataFrame, values: Sequence[str], by: Sequence[str], skipna: b
     return df.groupBy(*by).agg(*(mean(F.col(v), skipna).alias(v) for v in values))
 
 
-def densify(df: DataFrame, dims: Sequence[Sequence[str]]) -> DataFrame:
-    """A row for every combination of the labels that occur, missing where there was none.
+def densify(df: DataFrame, dims: Sequence[Sequence[str]], labels: dict[str, Sequence] | None = None) -> DataFrame:
+    """A row for every combination of labels, missing where there was none.
 
-    dims: groups of columns whose combinations are kept as they occur. Each group's labels are an axis of the cube, so the product is
-    the cube itself.
+    dims: groups of columns whose combinations are kept as they occur. labels: axes whose labels are known, which then need no pass over the
+    data and no product: they are generated. Each group's labels are an axis of the cube, so the result has as many rows as the cube has cells.
     """
+    labels = labels or {}
     cells = None
     for group in dims:
-        labels = df.select(*group).distinct()
-        cells = labels if cells is None else cells.crossJoin(labels)
-    return cells.join(df, [c for g in dims for c in g], "left")
+        found = df.select(*group).distinct()
+        cells = found if cells is None else cells.crossJoin(found)
+    for name, values in labels.items():
+        cells = cells.withColumn(name, F.explode(F.array(*(F.lit(v) for v in values)).cast(f"array<{df.schema[name].dataType.simpleString()}>")))
+    return cells.join(df, [c for g in dims for c in g] + list(labels), "left")
 
 
 def averages(df: DataFrame, values: Sequence[str], over: Sequence[str], dims: Sequence[str], skipna: bool = False) -> DataFrame:

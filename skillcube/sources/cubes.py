@@ -32,7 +32,7 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 def obs(spark: SparkSession, sf: str) -> DataFrame:
     """time, latitude, longitude, temperature; dense."""
     raw = _events(spark, sf).groupBy("time", "latitude", "longitude").agg(F.avg("value").alias("temperature"))
-    return densify(raw, [["time"], ["latitude"], ["longitude"]])
+    return densify(raw, [["time"]], {"latitude": LATITUDES, "longitude": LONGITUDES})
 
 
 def ens(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,7 +41,7 @@ def ens(spark: SparkSession, sf: str) -> DataFrame:
     names = sorted(r[0] for r in events.select("event_type").distinct().collect())
     member = F.array_position(F.array(*map(F.lit, names)), F.col("event_type")).cast("int") - 1
     raw = events.groupBy(F.col("time").alias("init_time"), member.alias("member"), "latitude", "longitude").agg(F.avg("value").alias("temperature"))
-    dense = densify(raw, [["init_time"], ["member"], ["latitude"], ["longitude"]])
+    dense = densify(raw, [["init_time"]], {"member": list(range(len(names))), "latitude": LATITUDES, "longitude": LONGITUDES})
     leads = dense.withColumn("lead_hours", F.explode(F.array(*(F.lit(x).cast("long") for x in LEADS))))
     return leads.withColumn("valid_time", F.col("init_time") + F.expr("make_dt_interval(0, CAST(lead_hours AS INT))"))
 
