@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over documents. Each stage takes (spark, docs, sf_dir) and returns a DataFrame.
 
 1. quality: documents that the classifier rejects go.
-2. near_duplicates: of each component of documents whose word 3-grams link (Jaccard similarity of 0.9 or more), one stays.
+2. near_duplicates: of each component of documents whose word 5-grams link (Jaccard similarity of 0.8 or more), one stays.
 3. decontaminate: documents that hold a window of ten consecutive words of a benchmark item go.
 4. secrets: found secrets are replaced by a mark; n_chars follows.
 5. encode: token ids of every remaining text.
@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from skillcube.llm import bpe, decontam, jaccard_join, quality, secrets
 from skillcube.llm.common import read_table, staged
 
+#: Words in a shingle and the similarity, in percent, from which documents are near duplicates; op10 has its own pair.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that score at least quality.THRESHOLD; the trees are fitted to labelled documents of the corpus."""
@@ -26,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of every component."""
-    return jaccard_join.keep_first(docs)
+    return jaccard_join.keep_first(docs, NEAR_WIDTH, NEAR_PERCENT)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

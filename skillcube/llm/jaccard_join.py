@@ -1,8 +1,8 @@
-"""Exact Jaccard join of documents on word 3-grams, as a grouped prefix join.
+"""Exact Jaccard join of documents on word n-grams (3-grams and 90 % unless said otherwise), as a grouped prefix join.
 
 1. A sketch counts shingles in 2**SKETCH_BITS buckets over all documents. It has a fixed size and only sets the global order of
    shingles (rare buckets first, then hash), so any error in it costs time, never a link.
-2. Every document becomes its set's size, a digest of the set, its prefix (the first n - ceil(0.9 n) + 1 shingles in that order) and
+2. Every document becomes its set's size, a digest of the set, its prefix (the first n - ceil(n percent / 100) + 1 shingles in that order) and
    a small histogram of the set. Equal sets collapse first; sets with equal prefixes and size then form one group.
 3. Groups meet through the shingles of their prefixes. Pairs pass filters that cannot lose a link: size, position in
    the prefix, and the distance of histograms, which is at most the number of shingles two linked sets may differ in.
@@ -10,8 +10,8 @@
 
 Only connectivity is asked for, so no group of near copies is expanded to all its pairs: first every group is verified against
 one leader (of the leaders, the smallest group of a shared shingle, the one it shares most with) and every member against its group; then
-only pairs whose components still differ are looked at, all of them. Two sets that differ have at least nine shingles in common if
-they link, so smaller sets link to equal ones only.
+only pairs whose components still differ are looked at, all of them. Two sets that differ have at least percent / (100 - percent)
+shingles in common if they link (nine at 90 %), so smaller sets link to equal ones only.
 
 Words: A-Z lower-cased, parted by spaces and the ASCII controls 9 to 13. A null or empty text has an empty set and its own component. A null doc_id
 takes part in links, but a component's id is its smallest non-null doc_id. Rows with equal doc_id are separate documents with that id. Extra
@@ -41,6 +41,7 @@ _FANIN = 64
 HISTOGRAM = 64
 #: Up to so many candidate documents (16 bytes each) are broadcast to fetch their texts; beyond, texts are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+WIDTH = 3
 PERCENT = 90
 
 _NOT_SPACE = np.ones(256, bool)
@@ -48,7 +49,7 @@ _NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingles(column: pa.Array, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def shingles(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of all word n-grams in order; a text of fewer words has its whole sequence as one."""
     raw, offsets = utf8(column)
     h, _, doc = words_of(raw, offsets, _NOT_SPACE)
@@ -66,20 +67,20 @@ def shingles(column: pa.Array, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
     return out, doc[starts]
 
 
-def sets_of(column: pa.Array) -> list[np.ndarray]:
+def sets_of(column: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
     """Each text's distinct shingles, ascending."""
-    s, doc = shingles(column)
+    s, doc = shingles(column, width)
     ends = np.searchsorted(doc, np.arange(len(column) + 1))
     return [np.unique(s[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _sketched(bits: int):
+def _sketched(bits: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("jaccard join")
         total = np.zeros(1 << bits, np.int64)
         for whole in batches:
             for b in slices(whole, "text", 2 * STEP_BYTES):
-                total += np.bincount((shingles(b.column("text"))[0] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                total += np.bincount((shingles(b.column("text"), width)[0] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         n = max(1, len(total) // _CHUNK)
         parts = [zlib.compress(c.astype("<i8" if total.max() >= 1 << 32 else "<u4").tobytes(), 1) for c in np.split(total, n)]
         wide = bool(total.max() >= 1 << 32)
@@ -93,13 +94,13 @@ def _merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [key[0]], "salt": [0], "wide": [True], "counts": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
 
 
-def frequency_classes(texts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+def frequency_classes(texts: DataFrame, bits: int = SKETCH_BITS, width: int = WIDTH) -> np.ndarray:
     """uint8[2**bits]: eight times the binary logarithm of each bucket's count over all texts.
 
     Partial sketches are added in two levels, so no task holds more than a share of the tasks' chunks.
     """
     kind = "chunk int, salt int, wide boolean, counts binary"
-    parts = texts.mapInArrow(_sketched(bits), kind).groupBy("chunk", "salt").applyInPandas(_merged, kind).groupBy("chunk").applyInPandas(_merged, kind)
+    parts = texts.mapInArrow(_sketched(bits, width), kind).groupBy("chunk", "salt").applyInPandas(_merged, kind).groupBy("chunk").applyInPandas(_merged, kind)
     rows = sorted((r.chunk, bytes(r.counts)) for r in parts.collect())
     total = np.concatenate([np.frombuffer(zlib.decompress(c), "<i8") for _, c in rows]) if rows else np.zeros(1 << bits, np.int64)
     return np.minimum(255, np.round(8 * np.log2(total + 1.0))).astype(np.uint8)
@@ -115,18 +116,23 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def least_size(percent: int = PERCENT) -> int:
+    """Shingles that two sets that differ have in common at least if they link."""
+    return -(-percent // (100 - percent))
+
+
 _ROW = "doc_id long, tk long, n long, digest binary, prefix_digest binary, tokens array<long>, histogram binary"
 
 
-def _described(classes):
+def _described(classes, width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("jaccard join")
         order = classes.value
         for whole in batches:
             for b in slices(whole, "text", STEP_BYTES):
                 n, digest, of_prefix, tokens, histogram = [], [], [], [], []
-                for u in sets_of(b.column("text")):
-                    t = ordered(u, order)[: prefix_length(len(u))] if len(u) >= 9 else np.zeros(0, np.uint64)
+                for u in sets_of(b.column("text"), width):
+                    t = ordered(u, order)[: prefix_length(len(u), percent)] if len(u) >= least_size(percent) else np.zeros(0, np.uint64)
                     n.append(len(u))
                     digest.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
                     of_prefix.append(hashlib.blake2b(t.tobytes(), digest_size=16).digest())
@@ -137,40 +143,51 @@ def _described(classes):
     return run
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _close(percent: int):
     """Pairs whose histograms are near enough to link."""
-    for b in batches:
-        if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u4").reshape(-1, HISTOGRAM).astype(np.int64) for k in ("histogram_a", "histogram_b"))
-            n = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
-            far = n - 2 * -(-PERCENT * n // (100 + PERCENT))
-            yield b.select(["a", "b"]).filter(pa.array(np.abs(x - y).sum(1) <= far))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u4").reshape(-1, HISTOGRAM).astype(np.int64) for k in ("histogram_a", "histogram_b"))
+                n = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
+                far = n - 2 * -(-percent * n // (100 + percent))
+                yield b.select(["a", "b"]).filter(pa.array(np.abs(x - y).sum(1) <= far))
 
-def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    worker_state("jaccard join")
-    for whole in batches:
-        for b in slices(whole, "text", STEP_BYTES):
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([u.tobytes() for u in sets_of(b.column("text"))], pa.binary())], ["id", "members"])
+    return run
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column("x"), b.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _fetched(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("jaccard join")
+        for whole in batches:
+            for b in slices(whole, "text", STEP_BYTES):
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([u.tobytes() for u in sets_of(b.column("text"), width)], pa.binary())], ["id", "members"])
+
+    return run
+
+
+def _verified(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 class _Join:
-    def __init__(self, docs: DataFrame) -> None:
+    def __init__(self, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> None:
+        self.width, self.percent = width, percent
         self.spark = docs.sparkSession
         text = F.coalesce("text", F.lit(""))
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tk"))
-        classes = self.spark.sparkContext.broadcast(frequency_classes(self.texts.select("text")))  # 2**SKETCH_BITS bytes
-        self.rows, _ = staged(self.texts.mapInArrow(_described(classes), _ROW), "sets")
+        classes = self.spark.sparkContext.broadcast(frequency_classes(self.texts.select("text"), width=width))  # 2**SKETCH_BITS bytes
+        self.rows, _ = staged(self.texts.mapInArrow(_described(classes, width, percent), _ROW), "sets")
         one = lambda c: F.first(c).alias(c)  # noqa: E731  equal within a digest
         pick = F.min(F.struct("doc_id", "tk"))  # nulls come first in a struct, so known ids alone are compared
         known = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tk")))
@@ -191,8 +208,8 @@ class _Join:
         """Distinct pairs (a, b) of sets that pass size and histograms."""
         side = lambda k: self.sets.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("histogram").alias(f"histogram_{k}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        both = both.where((F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT))
-        return staged(both.select("a", "b", "n_a", "n_b", "histogram_a", "histogram_b").mapInArrow(_close, "a long, b long"), "near-pairs")[0]
+        both = both.where((F.col("n_a") * 100 >= F.col("n_b") * self.percent) & (F.col("n_b") * 100 >= F.col("n_a") * self.percent))
+        return staged(both.select("a", "b", "n_a", "n_b", "histogram_a", "histogram_b").mapInArrow(_close(self.percent), "a long, b long"), "near-pairs")[0]
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link."""
@@ -200,10 +217,10 @@ class _Join:
         asked, _ = staged(self.sets.join(ids, "id").select("id", F.col("row.doc_id").alias("of"), F.col("row.tk").alias("at")), "asked")
         if asked.count() <= BROADCAST_ROWS:
             asked = F.broadcast(asked)
-        found = self.texts.join(asked, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tk") == F.col("at"))).select("id", "text").mapInArrow(_fetched, "id long, members binary")
+        found = self.texts.join(asked, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tk") == F.col("at"))).select("id", "text").mapInArrow(_fetched(self.width), "id long, members binary")
         found = staged(found, "members")[0].dropDuplicates(["id"])
         rows = pairs.join(found.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-        return staged(rows.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links")[0]
+        return staged(rows.select("a", "b", "x", "y").mapInArrow(_verified(self.percent), "a long, b long"), "links")[0]
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(links that connect every component, labels id -> label of the sets that have links)."""
@@ -224,8 +241,8 @@ class _Join:
         mixed = spread.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
         open_, _ = staged(spread.join(mixed, "token").select("token", "id", "n", "pos", "label"), "open-postings")
         other = open_.select("token", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "pos", "label")))
-        need = F.ceil((F.col("n") + F.col("n_b")) * PERCENT / (100 + PERCENT))  # shingles that linked sets share
-        fits = (F.col("label") != F.col("label_b")) & (F.col("id") < F.col("id_b")) & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * PERCENT)
+        need = F.ceil((F.col("n") + F.col("n_b")) * self.percent / (100 + self.percent))  # shingles that linked sets share
+        fits = (F.col("label") != F.col("label_b")) & (F.col("id") < F.col("id_b")) & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * self.percent)
         fits &= F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) >= need  # holds for the first shingle they share
         second = open_.join(other, "token").where(fits).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
         more = self.verify(self.near(second))
@@ -243,17 +260,17 @@ class _Join:
         return joined.select("doc_id", "tk", "n", "label", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
+def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
-    return _Join(docs).result().select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return _Join(docs, width, percent).result().select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row of docs for each component: that with the smallest doc_id (ties: one of the equal rows).
 
     Rows with an empty set all stay.
     """
-    found, _ = staged(_Join(docs).result().where("n > 0").select("doc_id", "tk", "label"), "linked")
+    found, _ = staged(_Join(docs, width, percent).result().where("n > 0").select("doc_id", "tk", "label"), "linked")
     best = found.groupBy("label").agg(F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tk"))), F.min(F.struct("doc_id", "tk"))).alias("row"))
     best = best.select(F.col("row.doc_id").alias("__id"), F.col("row.tk").alias("__tk"), F.lit(True).alias("__best"))
     text = F.coalesce("text", F.lit(""))

@@ -121,3 +121,36 @@ def test_components(spark):
     got = {r.id: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(51)) and got[102] == 100 and got[201] == 200 and got[400] == 300
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_least_size():
+    assert J.least_size() == 9 and J.least_size(80) == 4 and J.least_size(85) == 6
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_is_brute_force_at_five_words_and_eighty_percent(make_docs, words, seed):
+    docs = [t for _, t in variants(words, seed)]
+    r = random.Random(seed)
+    for k in range(6):  # short texts: sets of four shingles and more can link
+        w = words(300 + k, 8 + k).split()
+        docs += [" ".join(w), " ".join([*w, "tail"]), " ".join([*w, "tail", "end"]), " ".join(w[1:])]
+    for k in range(6):  # a changed word about every 30 to 60 words
+        w = [f"w{k}x{i}" for i in range(600)]
+        for step in (30, 40, 45, 50, 57, 60):
+            docs.append(" ".join(x if i % step else f"new{r.randrange(10**6)}" for i, x in enumerate(w)))
+    docs = list(enumerate(docs))
+    got = sorted(((d.doc_id, d.n_shingles, d.component_id) for d in J.link_documents(make_docs(docs), 5, 80).collect()), key=str)
+    sets = [five_words(t) for _, t in docs]
+    label = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            k = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and label[i] != label[j] and 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    assert got == sorted(((d, len(s), c if s else d) for (d, _), s, c in zip(docs, sets, label, strict=True)), key=str)
+
+
+def five_words(t):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()

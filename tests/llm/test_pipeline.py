@@ -43,3 +43,11 @@ def test_stages_take_empty_tables(spark, make_docs, words, tmp_path):
     tables(spark, make_docs, words, tmp_path)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, make_docs([]), sf).count() == 0
+
+
+def test_near_copies_with_a_word_in_fifty_changed_go(spark, make_docs):
+    w = [f"w{i}" for i in range(1000)]
+    near = [x if i % 50 != 25 else f"new{i}" for i, x in enumerate(w)]
+    far = [x if i % 40 != 20 else f"far{i}" for i, x in enumerate(w)]  # 5-word similarity 0.777
+    docs = make_docs([(1, " ".join(w)), (2, " ".join(near)), (3, " ".join(far))])
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == {1, 3}
