@@ -2,8 +2,9 @@
 
 Every page is parsed and its containers are scored: the share of the page's running text (blocks of some length that are not mostly links) that a container holds, less its links,
 with a little for depth and for names that say content. The page votes for its best container's generalised path (tags and classes from the
-root, digits dropped). Votes are counted per host and path in Spark; each host's winning path then extracts all its pages, so one
-odd page follows its host. A page without an element on that path falls back to its own best container.
+root, digits dropped). The best container is widened first until it holds all running text of the page, its article and the headings before
+it. Votes are counted per host and path in Spark; each host's winning path then extracts all its pages, so one
+odd page follows its host; a page whose own choice lies on the path keeps its widened container too. A page without an element on that path falls back to its own best container.
 
 Inside the chosen elements, subtrees of boilerplate tags or names (menus, headers, footers, sidebars, notices, adverts, forms, comments)
 are left out, block elements part the text, white space inside a block (line breaks too) becomes one space, and empty blocks vanish.
@@ -39,6 +40,7 @@ _BLOCK = frozenset(
     "summary table tbody td tfoot th thead tr ul".split()
 )
 _CONTAINER = frozenset("article body center div main section td".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _DROPPED_TAGS = frozenset("head nav header footer aside form script style noscript template iframe textarea title button select option svg math canvas object dialog menu xmp noembed noframes audio video".split())
 _DROPPED_WORDS = frozenset(
     "nav navbar navigation menu menubar header masthead footer sidebar aside ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent notice notices alert gdpr popup modal overlay "
@@ -152,7 +154,11 @@ class Page:
         return i == 0
 
     def best(self) -> tuple[int, float]:
-        """The best container and its score; (0, 0.0) if the page has no running text."""
+        """The best container, widened, and its score; (0, 0.0) if the page has no running text."""
+        return self.choice()[1:]
+
+    def choice(self) -> tuple[int, int, float]:
+        """The best container as scored, the same widened, and its score."""
         n = len(self.tag)
         text, linked, running = [0] * n, [0] * n, [0] * n
         blocks: dict[int, list[int]] = {}  # size and linked size of each block
@@ -182,7 +188,40 @@ class Page:
                 score = share * (1 - linked[i] / text[i]) + (0.02 * min(depth[i], 10) + 0.25 * self.content[i]) * (share >= 0.3)
                 if score > best[1]:
                     best = (i, score)
-        return best
+        return best[0], self._widened(best[0], running, {m: 2 * link > size for m, (size, link) in blocks.items() if size}), best[1]
+
+    def _widened(self, i: int, running: list[int], links: dict[int, bool]) -> int:
+        """The smallest element around i with all running text, its article or main, and the heading that its text follows.
+
+        links: the blocks with text, and whether they are mostly links; such a block parts a text from a heading before it.
+        """
+        while running[i] < running[0]:
+            i = self.parent[i]
+        k = i
+        while k > 0 and self.tag[k] not in ("article", "main"):
+            k = self.parent[k]
+        if k > 0:
+            return k
+        inside, heading = [False] * len(self.tag), [False] * len(self.tag)
+        for k in range(1, len(self.tag)):
+            inside[k] = k == i or inside[self.parent[k]]
+            heading[k] = self.tag[k] in _HEADINGS or heading[self.parent[k]]
+        first = next((k for k, (e, mark, _) in enumerate(self.texts) if inside[e] and mark in links), 0)
+        farthest = 0  # all that stands between it and i is in the smallest element that holds both
+        for e, mark, t in reversed(self.texts[:first]):
+            if self.dropped[e] or not t.strip():
+                continue
+            if links[mark]:
+                break
+            farthest = e if heading[e] else farthest
+        around = {0}
+        k = farthest
+        while k > 0:
+            around.add(k)
+            k = self.parent[k]
+        while farthest and i not in around:
+            i = self.parent[i]
+        return i
 
     def text_of(self, roots: set[int]) -> str:
         """Blocks of the elements below the roots, without what is dropped."""
@@ -206,7 +245,13 @@ def extract(source: str, path: str | None = None) -> str:
     page = Page(source)
     names = path.split(">") if path else []
     roots = {i for i in range(1, len(page.tag)) if not page.dropped[i] and page.on_path(i, names)} if names else set()
-    return page.text_of(roots or {page.best()[0]})
+    chosen, widened, _ = page.choice()
+    k = chosen
+    while k > 0 and k not in roots:
+        k = page.parent[k]
+    if not roots or k in roots:
+        roots = roots | {widened}
+    return page.text_of(roots)
 
 
 def host(url: Column) -> Column:

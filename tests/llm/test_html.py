@@ -43,3 +43,30 @@ def test_all_boilerplate_page():
 def test_hostile_markup_takes_linear_time():
     for s in ("<div>" * 30000 + "x", "</section>" * 50000, "<a '" * 30000, "<b>" * 30000 + "</i>" * 30000, "<p class='a>b'>x</p>"):
         assert isinstance(H.extract(s), str)
+
+
+LONG = "running words of the story "
+
+
+def test_no_running_text_is_traded_for_a_name():
+    split = f"<html><body><div class=wrap><div class=text><p>{LONG * 30}</p></div><div class=more><p>{LONG * 10}</p></div></div></body></html>"
+    assert H.extract(split).count("story") == 40
+    deep = f"<html><body><article><p>{LONG * 2}</p><section><div><p>{LONG * 98}</p></div></section></article></body></html>"
+    assert H.extract(deep).count("story") == 100
+    apart = f"<html><body><div class=text><p>{LONG * 30}</p></div><div><p>{LONG * 2}</p></div></body></html>"
+    assert H.extract(apart).count("story") == 32
+
+
+def test_headings_and_lead_lines_stay():
+    nested = f"<html><body><article><h1>Title</h1><p>Short lead.</p><div class='article-body'><p>{LONG * 20}</p></div></article></body></html>"
+    assert H.extract(nested).startswith("Title\nShort lead.\nrunning")
+    plain = f"<html><body><div><a href='/'>home</a></div><div><div><h1>Title</h1></div><p>Lead.</p><div class='entry'><p>{LONG * 20}</p></div></div></body></html>"
+    assert H.extract(plain).startswith("Title\nLead.\nrunning")
+    linked = f"<html><body><h2>Menu</h2><div><a href='/'>home</a></div><div class='entry'><p>{LONG * 20}</p></div></body></html>"
+    assert H.extract(linked).startswith("running")
+
+
+def test_a_host_path_does_not_cut_a_split_body():
+    path = "html>body>div.wrap>div.text"
+    split = f"<html><body><div class=wrap><div class=text><p>{LONG * 30}</p></div><div class=more><p>{LONG * 10}</p></div></div></body></html>"
+    assert H.extract(split, path).count("story") == 40
