@@ -526,6 +526,14 @@ def _prob_climatology(spark, sf):
     return rounded(out.select(F.to_date("time").cast("string").alias("time"), "latitude", F.col("number").cast("int").alias("number"), (F.col("precip") * 1e4).alias("precip")), "precip")
 
 
+@query("prob_climatology_all", with_ctes(["ser"]) + f"SELECT CAST(t.time AS VARCHAR) AS time, s.latitude, (year(s.time) - 1995)::INTEGER AS number, {r6('1e4 * s.precip', 'precip')} FROM (SELECT DISTINCT time, latitude FROM ser) t JOIN ser s ON dayofyear(t.time) = dayofyear(s.time) AND t.latitude = s.latitude")
+def _prob_climatology_all(spark, sf):
+    """prob_climatology for every target time of the series."""
+    ser = cubes.series(spark, sf)
+    out = align.probabilistic_climatology_forecast(ser.select("time", "latitude").distinct(), align.stack_years(ser, 1995), ["latitude"], "time")
+    return rounded(out.select(F.to_date("time").cast("string").alias("time"), "latitude", F.col("number").cast("int").alias("number"), (F.col("precip") * 1e4).alias("precip")), "precip")
+
+
 _SAMPLER = sampler.Sampler(1996, 1999, window=7, members=4, edge=sampler.WRAP_YEAR, seed=3)
 _SAMPLE_TIMES = [datetime(2000, m, 15) for m in (3, 5, 7)]
 

@@ -28,3 +28,10 @@ def test_query_equals_sql(spark, sf, sql, name):
     assert len(got) == len(want)
     for a, b in zip(got, want, strict=True):
         assert a == b or all(x == y or isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 2e-6 * max(1, abs(x)) for x, y in zip(a, b, strict=True))
+
+
+def test_probabilistic_climatology_has_all_target_times(spark, sf):
+    out = catalog.QUERIES["prob_climatology_all"](spark, sf)
+    ser = catalog.cubes.series(spark, sf)
+    assert out.select("time", "latitude").distinct().count() == ser.select("time", "latitude").distinct().count()
+    assert out.selectExpr("left(time, 4) AS y").distinct().count() == ser.selectExpr("year(time) AS y").distinct().count() > 1
