@@ -5,9 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +23,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (single machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local folder serves, on a single machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/skillcube-checkpoints-{os.getuid()}"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/skillcube/{name}-{uuid.uuid4().hex}"
-    _hadoop(spark, path, lambda fs, p: fs.deleteOnExit(p))
-    return path
+    """A fresh path in the shared folder; what is written there must be handed to remove_at_exit."""
+    return f"{shared_dir(spark)}/skillcube/{name}-{uuid.uuid4().hex}"
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a path when the driver's JVM ends. The path must exist: a missing one would be forgotten."""
+    if not _hadoop(spark, path, lambda fs, p: fs.deleteOnExit(p)):
+        raise FileNotFoundError(path)
 
 
 def drop_path(spark: SparkSession, *paths: str) -> None:
@@ -42,10 +50,10 @@ def drop_path(spark: SparkSession, *paths: str) -> None:
         _hadoop(spark, path, lambda fs, p: fs.delete(p, True))
 
 
-def _hadoop(spark: SparkSession, path: str, call) -> None:
+def _hadoop(spark: SparkSession, path: str, call) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    call(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p)
+    return call(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p)
 
 
 def staged(df: DataFrame, name: str, path: str | None = None, codec: str = "zstd") -> tuple[DataFrame, str]:
@@ -53,6 +61,7 @@ def staged(df: DataFrame, name: str, path: str | None = None, codec: str = "zstd
     spark = df.sparkSession
     path = path or new_path(spark, name)
     df.write.option("compression", codec).mode("overwrite").parquet(path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -104,25 +113,48 @@ def worker_state(operator: str, make=lambda: None):
     return _STATE[operator]
 
 
-_LCG = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Words of at most so many bytes are remembered with their digests, so many at once.
+KNOWN_BYTES, KNOWN_WORDS = 64, 200_000
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, grown as needed and kept by the worker."""
+class Known(dict):
+    """Digests of words of 16 bytes, of which a bounded number is remembered."""
 
-    def __init__(self) -> None:
-        self.n, self.up, self.down = 0, np.ones(1, np.uint64), np.ones(1, np.uint64)
+    def __missing__(self, word: bytes) -> bytes:
+        found = hashlib.blake2b(word, digest_size=16).digest()
+        if len(word) <= KNOWN_BYTES:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[word] = found
+        return found
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, 1 << 16)
-            self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.n, _LCG)]), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.n, _INV)]), dtype=np.uint64)
-        return self.up, self.down
 
+def pieces(text: bytes, most: int, is_word: np.ndarray) -> Iterator[bytes]:
+    """Parts of a text of about `most` bytes that no word spans; only a longer word makes a longer part. is_word: bool[256]."""
+    at = 0
+    while at < len(text):
+        end = at + most
+        while end < len(text) and is_word[text[end]]:
+            near = np.flatnonzero(~is_word[np.frombuffer(text, np.uint8, min(4096, len(text) - end), end)])
+            end += int(near[0]) if len(near) else 4096
+        yield text[at:end] if at or end < len(text) else text
+        at = end
 
-_POWERS = _Powers()
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bytes that are hashed at once; a longer word makes a longer step.
+HASH_STEP = 1 << 18
+
+
+def _powers(n: int, kept: list = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """Powers of the hash base and of its inverse modulo 2**64; those of a usual step are kept by the worker."""
+    make = lambda m: tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(m, b)]), dtype=np.uint64) for b in (_BASE, _INV))
+    if n > 2 * HASH_STEP:
+        return make(n)
+    if not kept:
+        kept.append(make(2 * HASH_STEP))
+    return kept[0]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -140,33 +172,48 @@ _LOWER[65:91] += np.uint64(32)
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of many texts at once, A-Z lower-cased.
+    """Words of many texts at once, A-Z lower-cased, for statistics.
 
     raw/offsets: as utf8() gives them. word_byte: bool[256], the bytes of words (a word never crosses texts).
-    Returns (hash uint64 of each word, its byte start, its text's number), in order. Equal words have equal hashes;
-    the hash is a polynomial of the bytes modulo 2**64 with a finaliser that also takes in the length.
+    Returns (hash uint64 of each word, its byte start, its text's number), in order. Equal words have equal hashes, but words that
+    differ may share one by construction (it is a polynomial of the bytes modulo 2**64): what must be exact uses Known or the words.
     """
     h, s, _, doc = spans_of(raw, offsets, word_byte, _LOWER)
     return h, s, doc
 
 
 def spans_of(raw: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As words_of, with the byte end of each word; values: uint64[256], what a byte counts as in the hash (not 0)."""
-    n = len(raw)
-    if n == 0:
+    """As words_of, with the byte end of each word; values: uint64[256], what a byte counts as in the hash (not 0).
+
+    Bytes are taken in steps that end between words, so memory beyond the results does not grow with the texts.
+    """
+    n, at, parts = len(raw), 0, []
+    while at < n:
+        end = min(n, at + HASH_STEP)
+        while end < n and word_byte[raw[end]]:
+            near = np.flatnonzero(~word_byte[raw[end : end + 4096]])
+            end = min(n, end + (int(near[0]) if len(near) else 4096))
+        parts.append(_spans(raw[at:end], offsets[slice(*np.searchsorted(offsets, [at + 1, end]))] - at, word_byte, values, at))
+        at = end
+    if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, s, e = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return h, s, e, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(s, offsets)))
+
+
+def _spans(raw: np.ndarray, cuts: np.ndarray, word_byte: np.ndarray, values: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the words of one step; cuts: where texts end inside it."""
+    n = len(raw)
     inside = word_byte[raw]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
-    some = offsets[:-1] < offsets[1:]
-    first, last = offsets[:-1][some], offsets[1:][some] - 1
-    starts[first], ends[last] = inside[first], inside[last]
+    starts[cuts], ends[cuts - 1] = inside[cuts], inside[cuts - 1]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    up, down = _POWERS.get(n + 1)
+    up, down = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     terms = values[raw]
     terms *= up[:n]
     np.cumsum(terms, out=sums[1:])
     h = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return h, s, e, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(s, offsets)))
+    return h, s + at, e + at

@@ -1,17 +1,19 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is a table of segments, each over a few neighbouring documents: the distinct terms (64-bit hashes of words), and for each
-term the ascending list of its positions. It is stored once in the shared folder and can be asked again. A test window
-is looked up in every segment that has all its terms: the rarest term's list, shifted by its offset, gives start positions, and the
+The index is a table of segments, each over a few neighbouring documents or a part of a long one: the distinct terms (words) with
+their counts, and for each term the ascending list of its positions. It is stored once in the shared folder and can be asked again. A test window
+is looked up in segments that have its terms: the rarest term's list, shifted by its offset, gives start positions, and the
 next rarer terms' shifted lists are intersected with them one after another. What remains is exact; proximity matches (all
 distinct terms of a window within `span` words, in any order) are found from the rarest term in the same way.
 
-The test set is read in blocks of at most BENCHMARK_BYTES of text (one item where that is longer), each shipped to the tasks on its
-own, so no broadcast grows with the test set; hits of several blocks are united per document.
+Windows are a table of their own. Up to BROADCAST_BYTES of them go to all segments at once. Beyond, every window is joined on the
+term of its that the whole index holds least often, so it goes to the segments with that term alone, through a shuffle; neither the driver nor a
+task then holds more than a part of the test set.
 
-Words: A-Z lower-cased, runs of ASCII digits and letters and of non-ASCII characters. A null text has no words. Items of fewer words than a
-window are one window; items without words match nothing, nor do items with a null id. Equal item ids count once. Rows with equal doc_id stay
-separate; extra columns are ignored (find) or kept (drop). Windows never cross documents. Equal 64-bit hashes count as equal words.
+Words: A-Z lower-cased, runs of ASCII digits and letters and of non-ASCII characters, compared as they are (no hashes). A null text has no words. Items of
+fewer words than a window are one window; items without words match nothing, nor do items with a null id. Equal item ids count once. Rows with equal
+doc_id stay separate; extra columns are ignored (find) or kept (drop). Windows never cross documents. A long text is cut into segments that
+overlap by OVERLAP words, so no text is too long; a window and its slop may not be longer.
 """
 
 from __future__ import annotations
@@ -20,70 +22,149 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillcube.llm.common import read_table, slices, staged, utf8, words_of, worker_state
+from skillcube.llm.common import pieces, read_table, slices, staged, worker_state
 
-SEGMENT_BYTES = 1 << 20
-BENCHMARK_BYTES = 8 << 20
+SEGMENT_BYTES = 1 << 21
+#: Windows of so many bytes in all may be sent to every task.
+BROADCAST_BYTES = 8 << 20
+#: Windows that one row of the join carries at most, about.
+BATCH_WINDOWS = 20_000
+OVERLAP = 64
 WINDOW = 10
 SLOP = 2
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
+_TABLE = bytes(ord(" ") if not _WORD[b] else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(_TABLE).split()
+
+
+_HEAD = "row long, doc_id long, tk long, n_words long"
+_INDEX = f"seg long, terms array<string>, counts array<int>, positions binary, rows array<long>, begins array<int>, bases array<long>, heads array<struct<{_HEAD.replace(' long', ':long')}>>"
+
+
+class _Open:
+    """A segment that is being filled: words, and for each part of a document its row, begin in the segment and begin in the document."""
+
+    def __init__(self) -> None:
+        self.words: list[bytes] = []
+        self.rows: list[int] = []
+        self.begins: list[int] = []
+        self.bases: list[int] = []
+        self.heads: list[dict] = []
+        self.bytes = 0
+
+    def batch(self, seg: int) -> pa.RecordBatch:
+        terms = list(dict.fromkeys(self.words))
+        number = dict(zip(terms, range(len(terms)), strict=True))
+        ids = np.fromiter(map(number.__getitem__, self.words), np.int64, len(self.words))
+        positions = (np.sort(ids << 32 | np.arange(len(ids))) & 0xFFFFFFFF).astype("<u4")
+        list_of = lambda x, kind: pa.array([x], pa.list_(kind))
+        one = pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), pa.array(terms, pa.binary()).cast(pa.string()))
+        head = pa.struct([(k, pa.int64()) for k in ("row", "doc_id", "tk", "n_words")])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([seg]), one, list_of(np.bincount(ids, minlength=len(terms)), pa.int32()), pa.array([positions.tobytes()], pa.binary()), list_of(self.rows, pa.int64()),
+             list_of(self.begins, pa.int32()), list_of(self.bases, pa.int64()), list_of(self.heads, head)],
+            ["seg", "terms", "counts", "positions", "rows", "begins", "bases", "heads"],
+        )
+
+
+def _segments(size: int):
+    return lambda batches: _cut(batches, size)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     worker_state("decontamination")
-    part, no = TaskContext.get().partitionId(), 0
+    first, seg, row = TaskContext.get().partitionId() << 32, 0, 0
+    now = _Open()
     for whole in batches:
-        for b in slices(whole, "text", SEGMENT_BYTES):
-            h, _, doc = words_of(*utf8(b.column("text")), _WORD)
-            order = np.argsort(h, kind="stable")
-            sorted_ = h[order]
-            first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(h) else np.zeros(0, np.int64)
-            row = (sorted_[first].astype("<u8"), np.append(first, len(h)).astype("<u4"), order.astype("<u4"), np.bincount(doc, minlength=b.num_rows).astype("<u4"))
-            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + no]), pa.array([b.column("doc_id").to_pylist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in row)], ["seg", "doc_ids", "terms", "lists", "positions", "sizes"])
-            no += 1
+        for b in slices(whole, "text", size):
+            for text, doc_id, tk in zip(b.column("text"), b.column("doc_id").to_pylist(), b.column("tk").to_pylist(), strict=True):
+                raw, total, tail = text.as_buffer().to_pybytes(), 0, []
+                for part in pieces(raw, size, _WORD):
+                    if now.words and now.bytes + len(part) > size:
+                        yield now.batch(first + seg)
+                        now, seg = _Open(), seg + 1
+                    words = words_of(part)
+                    now.rows.append(first + row)
+                    now.begins.append(len(now.words))
+                    now.bases.append(total - len(tail))
+                    now.words += tail + words
+                    now.bytes += len(part)
+                    total += len(words)
+                    tail = (tail + words)[-OVERLAP:]
+                if not raw:
+                    now.rows.append(first + row)
+                    now.begins.append(len(now.words))
+                    now.bases.append(0)
+                now.heads.append({"row": first + row, "doc_id": doc_id, "tk": tk, "n_words": total})
+                row += 1
+    if row:
+        yield now.batch(first + seg)
+
+
+def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """Segments of the positional index of every whole text, stored in the shared folder."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tk"))
+    return staged(rows.mapInArrow(_segments(segment_bytes), _INDEX), "postings")[0]
+
+
+def _windowed(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("decontamination")
+        for b in batches:
+            for text, item in zip(b.column("text"), b.column("item"), strict=True):
+                held: list[bytes] = []
+                short = True
+                for part in pieces(text.as_buffer().to_pybytes(), SEGMENT_BYTES, _WORD):
+                    words = held + words_of(part)
+                    held = words[-(size - 1) :] if size > 1 else []
+                    if len(words) >= size:
+                        short = False
+                        yield of([b" ".join(words[k : k + size]) for k in range(len(words) - size + 1)], item)
+                if short and held:
+                    yield of([b" ".join(held)], item)
+
+    def of(found: list[bytes], item: pa.Scalar) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()).cast(pa.string()), pa.array([item.as_py()] * len(found), pa.string())], ["window", "item"])
 
+    return run
 
-_INDEX = "seg long, doc_ids array<long>, terms binary, lists binary, positions binary, sizes binary"
 
+def windows_of(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(win, window) of the distinct windows, words joined by a space, and (win, item) of the items that have them; both written out."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).where("item is not null")
+    rows, _ = staged(items.mapInArrow(_windowed(size), "window string, item string").distinct(), "windows-of-items")
+    windows, _ = staged(rows.select("window").distinct().select(F.monotonically_increasing_id().alias("win"), "window"), "windows")
+    return windows, rows.join(windows, "window").select("win", "item")
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """Segments of the positional index of every whole text, stored in the shared folder."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return staged(rows.mapInArrow(_segments, _INDEX), "postings")[0]
-
-
-class Windows:
-    """Distinct windows of a block of items: term ids and, for each window, its items."""
-
-    def __init__(self, items: list[tuple[str, str]], size: int) -> None:
-        raw, offsets = utf8(pa.array([t or "" for _, t in items], pa.string()))
-        h, _, doc = words_of(raw, offsets, _WORD)
-        ends = np.searchsorted(doc, np.arange(len(items) + 1))
-        self.terms, ids = np.unique(h, return_inverse=True)
-        found: dict[bytes, set[str]] = {}
-        for (item, _), a, z in zip(items, ends, ends[1:], strict=False):
-            n = min(size, z - a)
-            for s in range(a, z - n + 1) if n else ():
-                found.setdefault(ids[s : s + n].astype("<u4").tobytes(), set()).add(item)
-        self.items = [sorted(v) for v in found.values()]
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # length -> (numbers, term ids [windows, length])
-        rows = [np.frombuffer(k, "<u4") for k in found]
-        for n in sorted({len(r) for r in rows}):
-            at = [i for i, r in enumerate(rows) if len(r) == n]
-            self.by_size[n] = np.array(at), np.stack([rows[i] for i in at]).astype(np.int64)
+
+class Asked:
+    """Windows by length: their numbers in the table and their terms as places in a list of distinct terms."""
+
+    def __init__(self, wins: np.ndarray, windows: pa.Array) -> None:
+        words = pc.split_pattern(windows, " ")
+        coded = words.flatten().dictionary_encode()
+        self.terms = coded.dictionary
+        flat, ends = coded.indices.to_numpy().astype(np.int64), np.append(0, np.cumsum(pc.list_value_length(words).to_numpy()))
+        sizes = np.diff(ends)
+        self.by_size = {int(n): (wins[sizes == n], flat[ends[:-1][sizes == n][:, None] + np.arange(n)]) for n in np.unique(sizes)}
 
 
 class Segment:
-    def __init__(self, terms: bytes, lists: bytes, positions: bytes, sizes: bytes) -> None:
-        self.terms, self.lists = np.frombuffer(terms, "<u8"), np.frombuffer(lists, "<u4").astype(np.int64)
+    def __init__(self, terms: pa.Array, counts: np.ndarray, positions: bytes, begins: np.ndarray) -> None:
+        self.terms, self.lists = terms, np.append(0, np.cumsum(counts)).astype(np.int64)
         self.positions = np.frombuffer(positions, "<u4").astype(np.int64)
-        self.ends = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64))])
+        self.ends = np.append(begins, len(self.positions)).astype(np.int64)
         self._keys: np.ndarray | None = None
 
     @property
@@ -93,12 +174,9 @@ class Segment:
             self._keys = np.repeat(np.arange(len(self.terms)) << 32, np.diff(self.lists)) | self.positions
         return self._keys
 
-    def numbers(self, terms: np.ndarray) -> np.ndarray:
+    def numbers(self, terms: pa.Array) -> np.ndarray:
         """Numbers of terms in this segment, -1 where absent."""
-        if not len(self.terms):
-            return np.full(len(terms), -1)
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        return np.where(self.terms[at] == terms, at, -1)
+        return pc.fill_null(pc.index_in(terms, value_set=self.terms), -1).to_numpy().astype(np.int64)
 
     def starts(self, rarest: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, position - offset) over the lists of one term per row."""
@@ -158,84 +236,123 @@ class Segment:
 _MOST = 1 << 20
 
 
-def _ask(items: list[tuple[str, str]], window: int, slop: int | None):
+def _matched(seg: Segment, asked: Asked, rows: np.ndarray, bases: np.ndarray, slop: int | None) -> pa.RecordBatch:
+    """row, ranges (in the document), exact and near (numbers of windows) of the documents of a segment that have matches."""
+    numbers = seg.numbers(asked.terms)
+    ranges: dict[int, list] = {}
+    exact: dict[int, set] = {}
+    near: dict[int, set] = {}
+    for size, (wins, terms) in asked.by_size.items():
+        windows = numbers[terms]
+        there = seg.present(windows)
+        cost = (seg.lists[windows[there] + 1] - seg.lists[windows[there]]).min(1) if len(there) else np.zeros(0, np.int64)
+        for some in np.split(there, np.flatnonzero(np.diff(np.cumsum(cost) // _MOST)) + 1):
+            if not len(some):
+                continue
+            row, start = seg.exact(windows[some])
+            doc = np.searchsorted(seg.ends, start, "right") - 1
+            for w, s, d in zip(wins[some[row]].tolist(), (start - seg.ends[doc] + bases[doc]).tolist(), doc.tolist(), strict=True):
+                ranges.setdefault(d, []).append({"a": s, "b": s + size})
+                exact.setdefault(d, set()).add(w)
+            if slop is not None:
+                for r, d in seg.near(windows[some], size + slop, set(zip(row.tolist(), doc.tolist(), strict=True))):
+                    near.setdefault(d, set()).add(int(wins[some[r]]))
+    docs = sorted({*ranges, *near})
+    of = lambda found: pa.array([sorted(found.get(d, ())) for d in docs], pa.list_(pa.int64()))
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    return pa.RecordBatch.from_arrays([pa.array(rows[docs] if docs else [], pa.int64()), pa.array([ranges.get(d, []) for d in docs], kind), of(exact), of(near)], ["row", "ranges", "exact", "near"])
+
+
+_MATCHED = "row long, ranges array<struct<a:long,b:long>>, exact array<long>, near array<long>"
+
+
+def _ask(window_rows, slop: int | None):
+    """Ask every segment; window_rows: a broadcast (win, window) table, or None where each row brings its own windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("decontamination")
-        asked = Windows(items, window)
+        asked = Asked(*window_rows.value) if window_rows is not None else None
         for b in batches:
             for i in range(b.num_rows):
-                seg = Segment(*(b.column(k)[i].as_buffer() for k in ("terms", "lists", "positions", "sizes")))
-                numbers = seg.numbers(asked.terms)
-                n_docs = len(seg.ends) - 1
-                ranges: list[list] = [[] for _ in range(n_docs)]
-                hits: list[set] = [set() for _ in range(n_docs)]
-                near: list[set] = [set() for _ in range(n_docs)]
-                for size, (which, terms) in asked.by_size.items():
-                    windows = numbers[terms]
-                    there = seg.present(windows)
-                    cost = (seg.lists[windows[there] + 1] - seg.lists[windows[there]]).min(1) if len(there) else np.zeros(0, np.int64)
-                    for rows in np.split(there, np.flatnonzero(np.diff(np.cumsum(cost) // _MOST)) + 1):
-                        if not len(rows):
-                            continue
-                        row, start = seg.exact(windows[rows])
-                        doc = np.searchsorted(seg.ends, start, "right") - 1
-                        for r, s, d in zip(which[rows[row]].tolist(), (start - seg.ends[doc]).tolist(), doc.tolist(), strict=True):
-                            ranges[d].append({"a": s, "b": s + size})
-                            hits[d].update(asked.items[r])
-                        if slop is not None:
-                            for r, d in seg.near(windows[rows], size + slop, set(zip(row.tolist(), doc.tolist(), strict=True))):
-                                near[d].update(asked.items[which[rows[r]]])
-                kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-                sets = [pa.array([sorted(x) for x in xs], pa.list_(pa.string())) for xs in (hits, near)]
-                ids = b.column("doc_ids")[i].values
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n_docs, b.column("seg")[i].as_py())), pa.array(np.arange(n_docs, dtype=np.int32)), ids, pa.array(np.diff(seg.ends)), pa.array(ranges, kind), *sets], ["seg", "doc", "doc_id", "n_words", "ranges", "items", "near"])
+                get = lambda k: b.column(k)[i].values  # noqa: B023, E731
+                seg = Segment(get("terms"), get("counts").to_numpy(), b.column("positions")[i].as_buffer(), get("begins").to_numpy())
+                some = asked or Asked(get("wins").to_numpy(), get("windows"))
+                yield _matched(seg, some, get("rows").to_numpy(), get("bases").to_numpy(), slop)
 
     return run
 
 
-_FOUND = "seg long, doc int, doc_id long, n_words long, ranges array<struct<a:int,b:int>>, items array<string>, near array<string>"
+def _candidates(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """seg, wins, windows: for every segment, the windows whose rarest term over the whole index it holds, in batches."""
+    terms, _ = staged(windows.select("win", F.explode(F.array_distinct(F.split("window", " "))).alias("term")), "window-terms")
+    held = index.select("seg", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("seg", F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
+    held, _ = staged(held.join(terms.select("term").distinct(), "term"), "terms-of-segments")
+    total = held.groupBy("term").agg(F.sum("n").alias("total"))
+    # a window with a term that no segment has matches nothing
+    rarest = terms.join(total, "term", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("total", F.lit(0)).alias("total"), "term")).alias("rarest")).where("rarest.total > 0")
+    found = rarest.select("win", F.col("rarest.term").alias("term")).join(held.select("term", "seg"), "term").select("seg", "win").join(windows, "win")
+    batches = max(1, -(-windows.count() // BATCH_WINDOWS))
+    found = found.groupBy("seg", F.pmod("win", F.lit(batches)).alias("batch")).agg(F.collect_list(F.struct("win", "window")).alias("w"))
+    return staged(found.select(F.col("seg").alias("of"), F.col("w.win").alias("wins"), F.col("w.window").alias("windows")), "asked-segments")[0]
+
+
+def _matches(index: DataFrame, windows: DataFrame, slop: int | None) -> DataFrame:
+    """row, ranges, exact, near: a row per document with matches."""
+    spark = index.sparkSession
+    columns = ["terms", "counts", "positions", "rows", "begins", "bases"]
+    total = windows.agg(F.sum(F.octet_length("window") + 8)).first()[0] or 0
+    if total <= BROADCAST_BYTES:
+        table = windows.orderBy("win").toArrow()
+        # a bound of bytes is shown for what is broadcast
+        rows = spark.sparkContext.broadcast((table.column("win").to_numpy(), table.column("window").combine_chunks()))
+        found = index.select(*columns).mapInArrow(_ask(rows, slop), _MATCHED)
+    else:
+        found = index.join(_candidates(index, windows), F.col("seg") == F.col("of")).select(*columns, "wins", "windows").mapInArrow(_ask(None, slop), _MATCHED)
+    found, _ = staged(found, "matches")
+    return found.groupBy("row").agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("ranges", "exact", "near")))  # parts of one document
 
 
 def _covered(ranges: Column) -> Column:
     """Positions inside any of the ranges."""
-    state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("at"))
-    step = lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], s["at"]))).alias("n"), F.greatest(s["at"], r["b"]).alias("at"))
+    zero = F.lit(0).cast("long")
+    state = F.struct(zero.alias("n"), zero.alias("at"))
+    step = lambda s, r: F.struct((s["n"] + F.greatest(zero, r["b"] - F.greatest(r["a"], s["at"]))).alias("n"), F.greatest(s["at"], r["b"]).alias("at"))
     return F.aggregate(F.array_sort(ranges), state, step, lambda s: s["n"])
 
 
 def find_matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = SLOP) -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids, sorted as strings) with exact matches, near (items with proximity matches), per document.
+    """doc_id, tk (hash of the text), n_words, n_hit, items (ids, sorted as strings) with exact matches, near (items with proximity matches), per document.
 
     slop: words that a proximity match may have besides the window's; None: no proximity matches.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // BENCHMARK_BYTES))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    found = None
-    for k in range(n):
-        rows = sorted((r.item_id, r.text) for r in items.where(block == k).collect())
-        part = index.mapInArrow(_ask(rows, window, slop), _FOUND)
-        found = part if found is None else found.unionByName(part)
-    if n > 1:  # a group has one row of each block
-        found = found.groupBy("seg", "doc").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("ranges", "items", "near")))
-        found = found.withColumns({c: F.array_sort(F.array_distinct(c)) for c in ("items", "near")})
-    return found.select("doc_id", "n_words", F.when(F.size("ranges") > 0, _covered(F.col("ranges"))).otherwise(F.lit(0).cast("long")).alias("n_hit"), "items", "near")
+    if window + (slop or 0) > OVERLAP:
+        raise ValueError(f"a window and its slop may have {OVERLAP} words")
+    windows, of_items = windows_of(benchmark, window)
+    matches, _ = staged(_matches(index, windows, slop), "matched-documents")
+    items = matches.select("row", F.explode(F.array(F.struct(F.lit("items").alias("kind"), F.col("exact").alias("wins")), F.struct(F.lit("near").alias("kind"), F.col("near").alias("wins")))).alias("k"))
+    items = items.select("row", "k.kind", F.explode("k.wins").alias("win")).join(of_items, "win").groupBy("row").agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("item")))).alias(k) for k in ("items", "near")))
+    hits, _ = staged(matches.select(F.col("row").alias("of"), _covered(F.col("ranges")).alias("n_hit")).join(items.withColumnRenamed("row", "of"), "of"), "hits")
+    heads = index.select(F.explode("heads").alias("h")).select("h.*")
+    none = F.array().cast("array<string>")
+    return heads.join(hits, F.col("row") == F.col("of"), "left").select("doc_id", "tk", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), *(F.coalesce(k, none).alias(k) for k in ("items", "near")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs without an exact match of a window, with their columns as they were.
 
-    Rows are told apart by doc_id: rows that share one go together if any of them has a match.
+    Rows are told apart by doc_id and text, so a clean row stays whatever other rows share its id.
     """
-    hit = find_matches(build_index(docs), benchmark, window, slop=None).where("n_hit > 0").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    hit = find_matches(build_index(docs), benchmark, window, slop=None).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__tk"))
+    return docs.join(hit, same, "left_anti")
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact matches of every document."""
-    found = find_matches(build_index(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"), slop=None)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    """Exact matches of every document, and the items of which a window's words lie close together in any order (n_near, near_sha256)."""
+    found = find_matches(build_index(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"))
+    digest = lambda c: F.sha2(F.array_join(c, ","), 256)
+    n = lambda c: F.size(c).cast("long")
+    return found.select("doc_id", "n_words", "n_hit", n("items").alias("n_items"), digest("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), n("near").alias("n_near"), digest("near").alias("near_sha256"))
 
 
 def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,12 +15,17 @@ shingles in common if they link (nine at 90 %), so smaller sets link to equal on
 
 Words: A-Z lower-cased, parted by spaces and the ASCII controls 9 to 13. A null or empty text has an empty set and its own component. A null doc_id
 takes part in links, but a component's id is its smallest non-null doc_id. Rows with equal doc_id are separate documents with that id. Extra
-columns are ignored (link table) or kept (keep_first). Shingles are 64-bit hashes.
+columns are ignored (link table) or kept (keep_first).
+
+A shingle is known by 128 bits, chained from 128-bit digests of its words, and sets are told apart and verified by these; its first 64 bits
+alone set the order, prefixes and histograms, which can only cost time. A text is read in parts that end between words; what is kept of it is its
+distinct shingles (16 bytes each).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillcube.llm.common import drop_path, mix64, read_table, slices, staged, utf8, words_of, worker_state
+from skillcube.llm.common import Known, drop_path, mix64, pieces, read_table, slices, staged, worker_state
 from skillcube.llm.components import connected_components
 
 STEP_BYTES = 1 << 20
@@ -39,48 +44,86 @@ SKETCH_BITS = 21
 _CHUNK = 1 << 15
 _FANIN = 64
 HISTOGRAM = 64
-#: Up to so many candidate documents (16 bytes each) are broadcast to fetch their texts; beyond, texts are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 WIDTH = 3
 PERCENT = 90
 
 _NOT_SPACE = np.ones(256, bool)
 _NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
-_A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
-
-
-def shingles(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text number) of all word n-grams in order; a text of fewer words has its whole sequence as one."""
-    raw, offsets = utf8(column)
-    h, _, doc = words_of(raw, offsets, _NOT_SPACE)
-    if not len(h):
-        return h, doc
-    sizes = np.bincount(doc, minlength=len(offsets) - 1)
-    first = np.cumsum(sizes) - sizes
-    length = np.minimum(sizes[doc], width)  # of the n-gram that starts here
-    left = (first + sizes)[doc] - np.arange(len(h))
-    starts = np.flatnonzero(left >= length)
-    out = length[starts].astype(np.uint64) * _A
+_A = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F], np.uint64)
+_B = np.array([0xD6E8FEB86659FD93, 0x9FB21C651E98DF25], np.uint64)
+
+
+def shingles(text: bytes, width: int, known: Known) -> Iterator[np.ndarray]:
+    """uint64[n, 2] of the word n-grams of a text, part by part; a text of fewer words has its whole sequence as one, and none none."""
+    held: list[bytes] = []
+    first = True
+    for part in pieces(text, STEP_BYTES, _NOT_SPACE):
+        words = held + part.lower().split()  # of bytes: A-Z alone change, and the six spaces of ASCII part
+        held = words[-(width - 1) :] if width > 1 else []
+        if len(words) >= width:
+            first = False
+            yield _chained(np.frombuffer(b"".join(map(known.__getitem__, words)), "<u8").reshape(-1, 2), width)
+    if first and held:
+        yield _chained(np.frombuffer(b"".join(map(known.__getitem__, held)), "<u8").reshape(-1, 2), len(held))
+
+
+def _chained(h: np.ndarray, width: int) -> np.ndarray:
+    n = len(h) - width + 1
+    out = np.broadcast_to(_A * np.uint64(width), (n, 2))
     for k in range(width):
-        more = length[starts] > k
-        out = np.where(more, mix64(out * _B + h[np.minimum(starts + k, len(h) - 1)]), out)
-    return out, doc[starts]
+        out = mix64(out * _B + h[k : k + n])
+    return out
+
+
+def _unique(x: np.ndarray) -> np.ndarray:
+    """Distinct rows of uint64[n, 2], ascending."""
+    x = x[np.argsort(x[:, 0], kind="stable")]
+    same = x[1:, 0] == x[:-1, 0]
+    if (x[1:, 1] != x[:-1, 1])[same].any():  # two shingles that agree in 64 bits
+        x = x[np.lexsort((x[:, 1], x[:, 0]))]
+        same = (x[1:] == x[:-1]).all(1)
+    return x[np.concatenate([[True], ~same])] if len(x) else x
+
 
+def set_of(text: bytes, width: int, known: Known) -> np.ndarray:
+    """uint64[n, 2]: a text's distinct shingles, ascending. Parts of a long text meet in rising sizes."""
+    found: list[np.ndarray] = []
+    for part in shingles(text, width, known):
+        part = _unique(part)
+        while found and len(found[-1]) <= 2 * len(part):
+            part = _unique(np.concatenate([found.pop(), part]))
+        found.append(part)
+    return _unique(np.concatenate(found)) if len(found) > 1 else found[0] if found else np.zeros((0, 2), np.uint64)
 
-def sets_of(column: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
-    """Each text's distinct shingles, ascending."""
-    s, doc = shingles(column, width)
-    ends = np.searchsorted(doc, np.arange(len(column) + 1))
-    return [np.unique(s[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)]
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Shingles that two sets share."""
+    if any((u[1:, 0] == u[:-1, 0]).any() for u in (x, y)):
+        return len(set(map(tuple, x.tolist())) & set(map(tuple, y.tolist())))
+    _, i, j = np.intersect1d(x[:, 0], y[:, 0], assume_unique=True, return_indices=True)
+    return int((x[i, 1] == y[j, 1]).sum())
+
+
+def _texts(b: pa.RecordBatch) -> Iterator[bytes]:
+    for t in b.column("text"):
+        yield t.as_buffer().to_pybytes() if t.is_valid else b""
 
 
 def _sketched(bits: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_state("jaccard join")
+        known = worker_state("jaccard join", Known)
         total = np.zeros(1 << bits, np.int64)
         for whole in batches:
-            for b in slices(whole, "text", 2 * STEP_BYTES):
-                total += np.bincount((shingles(b.column("text"), width)[0] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            for b in slices(whole, "text", STEP_BYTES):
+                held: list[np.ndarray] = []
+                for t in _texts(b):
+                    for part in shingles(t, width, known):
+                        held.append((part[:, 0] >> np.uint64(64 - bits)).astype(np.int32))
+                        if len(held) == 4096 or len(part) > 1 << 16:
+                            total += np.bincount(np.concatenate(held), minlength=1 << bits)
+                            held = []
+                if held:
+                    total += np.bincount(np.concatenate(held), minlength=1 << bits)
         n = max(1, len(total) // _CHUNK)
         parts = [zlib.compress(c.astype("<i8" if total.max() >= 1 << 32 else "<u4").tobytes(), 1) for c in np.split(total, n)]
         wide = bool(total.max() >= 1 << 32)
@@ -126,15 +169,17 @@ _ROW = "doc_id long, tk long, n long, digest binary, prefix_digest binary, token
 
 def _described(classes, width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_state("jaccard join")
+        known = worker_state("jaccard join", Known)
         order = classes.value
         for whole in batches:
             for b in slices(whole, "text", STEP_BYTES):
                 n, digest, of_prefix, tokens, histogram = [], [], [], [], []
-                for u in sets_of(b.column("text"), width):
+                for text in _texts(b):
+                    both = set_of(text, width, known)
+                    u = both[:, 0]
                     t = ordered(u, order)[: prefix_length(len(u), percent)] if len(u) >= least_size(percent) else np.zeros(0, np.uint64)
                     n.append(len(u))
-                    digest.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
+                    digest.append(hashlib.blake2b(both.tobytes(), digest_size=16).digest())
                     of_prefix.append(hashlib.blake2b(t.tobytes(), digest_size=16).digest())
                     tokens.append(t.view(np.int64))
                     histogram.append(np.bincount((u & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM).astype("<u4").tobytes())
@@ -159,10 +204,10 @@ def _close(percent: int):
 
 def _fetched(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_state("jaccard join")
+        known = worker_state("jaccard join", Known)
         for whole in batches:
             for b in slices(whole, "text", STEP_BYTES):
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([u.tobytes() for u in sets_of(b.column("text"), width)], pa.binary())], ["id", "members"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([set_of(t, width, known).tobytes() for t in _texts(b)], pa.binary())], ["id", "members"])
 
     return run
 
@@ -172,9 +217,9 @@ def _verified(percent: int):
         for b in batches:
             keep = []
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                x, y = (np.frombuffer(k.as_buffer(), np.uint64).reshape(-1, 2) for k in (x, y))
+                both = common(x, y)
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -214,9 +259,8 @@ class _Join:
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        # written first: the join then knows its size and broadcasts it only below Spark's threshold
         asked, _ = staged(self.sets.join(ids, "id").select("id", F.col("row.doc_id").alias("of"), F.col("row.tk").alias("at")), "asked")
-        if asked.count() <= BROADCAST_ROWS:
-            asked = F.broadcast(asked)
         found = self.texts.join(asked, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tk") == F.col("at"))).select("id", "text").mapInArrow(_fetched(self.width), "id long, members binary")
         found = staged(found, "members")[0].dropDuplicates(["id"])
         rows = pairs.join(found.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
@@ -240,11 +284,14 @@ class _Join:
         spread = postings.drop("leader").join(members, "gid")
         mixed = spread.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
         open_, _ = staged(spread.join(mixed, "token").select("token", "id", "n", "pos", "label"), "open-postings")
-        other = open_.select("token", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "pos", "label")))
+        # linked sets differ in size by one bucket at most, so a hot shingle meets itself in buckets
+        bucket = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / self.percent) + 1e-6)).cast("int")  # a little wider, so rounding cannot part a pair by two
+        open_ = open_.withColumn("bucket", bucket)
+        other = open_.select("token", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "pos", "label")), F.explode(F.array(*(F.col("bucket") + k for k in (-1, 0, 1)))).alias("bucket"))
         need = F.ceil((F.col("n") + F.col("n_b")) * self.percent / (100 + self.percent))  # shingles that linked sets share
         fits = (F.col("label") != F.col("label_b")) & (F.col("id") < F.col("id_b")) & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * self.percent)
         fits &= F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) >= need  # holds for the first shingle they share
-        second = open_.join(other, "token").where(fits).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+        second = open_.join(other, ["token", "bucket"]).where(fits).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
         more = self.verify(self.near(second))
         links = links.unionByName(more)
         return links, connected_components(links)

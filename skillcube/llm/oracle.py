@@ -19,16 +19,38 @@ SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITIO
 """
 
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WINDOWS = rf"""i AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+ws AS (SELECT DISTINCT item, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS win, least(10, len(w)) AS n FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) + 1)) AS k FROM i)),"""
+
+# A window's term that fewest words of documents are gives the places to look at; a span has the window's words and two more.
+_NEAR = """
+dp AS (SELECT r, p, w[p] AS x FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+wt AS (SELECT win, n, list_distinct(string_split(win, ' ')) AS need FROM (SELECT DISTINCT win, n FROM ws)),
+df AS (SELECT x, count(*) AS k FROM dp GROUP BY x),
+rare AS (SELECT win, any_value(n) AS n, any_value(need) AS need, arg_min(x, (k, x)) AS x FROM (SELECT win, n, need, unnest(need) AS x FROM wt) JOIN df USING (x) GROUP BY win HAVING count(*) = len(any_value(need))),
+nw AS (SELECT DISTINCT r, win FROM (SELECT r, win, need, w[s : s + n + 1] AS part FROM (SELECT dp.r, rare.win, rare.n, rare.need, unnest(range(greatest(1, p - rare.n - 1), p + 1)) AS s FROM dp JOIN rare USING (x)) JOIN d USING (r))
+  WHERE list_has_all(part, need)),
+nr AS (SELECT r, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near FROM (SELECT DISTINCT r, item FROM nw JOIN ws USING (win)) GROUP BY r)
+"""
+
 DECONTAM = rf"""
-WITH i AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
-ws AS (SELECT DISTINCT item, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS win, least(10, len(w)) AS n FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) + 1)) AS k FROM i)),
+WITH {_WINDOWS}
 d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 dw AS (SELECT r, n, k, array_to_string(w[k : k + n - 1], ' ') AS win FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d CROSS JOIN (SELECT DISTINCT n FROM ws) WHERE len(w) >= n)),
 h AS (SELECT r, k, dw.n AS n, item FROM dw JOIN ws ON dw.win = ws.win AND dw.n = ws.n),
 c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM h) GROUP BY r),
-t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r),
+{_NEAR}
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0)::BIGINT AS n_near, sha256(coalesce(near, '')) AS near_sha256
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r) LEFT JOIN nr USING (r)
+"""
+
+PROXIMITY = rf"""
+WITH {_WINDOWS}
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+{_NEAR}
+SELECT doc_id, near AS items FROM d JOIN nr USING (r)
 """
 
 JACCARD = rf"""
@@ -40,4 +62,4 @@ r AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT l.b, r.root FROM r JOIN
 SELECT doc_id, len(any_value(sh))::BIGINT AS n_shingles, min(root) AS component_id FROM s JOIN r USING (doc_id) GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op4_warc": WARC, "op5_topk": TOPK, "op6_decontam": DECONTAM, "op10_jaccard_join": JACCARD}
+ORACLE_SQL = {"op4_warc": WARC, "op5_topk": TOPK, "op6_decontam": DECONTAM, "op10_jaccard_join": JACCARD, "proximity_matches": PROXIMITY}

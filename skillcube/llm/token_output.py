@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillcube.llm.common import PLAIN, drop_path, new_path, read_table, slices, spans_of, staged, utf8, worker_state
+from skillcube.llm.common import PLAIN, drop_path, new_path, read_table, remove_at_exit, slices, spans_of, staged, utf8, worker_state
 
 MAX_BITS = 18
 BLOCK = 1024
@@ -414,4 +414,5 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = new_path(spark, "token-output")
     write_token_ids(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path, end_id=2)
+    remove_at_exit(spark, path)
     return read_token_ids(spark, path)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillcube.llm.common import new_path, read_table, staged
+from skillcube.llm.common import new_path, read_table, remove_at_exit, staged
 
 CHUNK_BYTES = 1 << 18
 REVISIT_BYTES = 100
@@ -204,4 +204,5 @@ def archive_bytes(rows: DataFrame) -> Iterator[bytes]:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archive(read_table(spark, sf_dir, "pages"), path)
+    remove_at_exit(spark, path)
     return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

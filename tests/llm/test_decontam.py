@@ -42,7 +42,7 @@ def cases(words):
 
 def find(spark, make_docs, docs, items, **kw):
     benchmark = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc int")
-    rows = decontam.find_matches(decontam.build_index(make_docs(docs)), benchmark, **kw)
+    rows = decontam.find_matches(decontam.build_index(make_docs(docs), kw.pop("segment_bytes", decontam.SEGMENT_BYTES)), benchmark, **kw)
     return sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in rows.collect()), key=str), rows
 
 
@@ -51,12 +51,55 @@ def test_is_brute_force(spark, make_docs, words):
     assert find(spark, make_docs, docs, items)[0] == brute(docs, items)
 
 
-def test_blocks_of_items_are_united(spark, make_docs, words, monkeypatch):
+def near_brute(docs, items, size=10, slop=2):
+    """Items of which all distinct words of a window lie within size + slop words."""
+    out = {}
+    for d, t in docs:
+        w, found = tokens(t), set()
+        for i, item in items:
+            x = tokens(item)
+            n = min(size, len(x))
+            for k in range(len(x) - n + 1 if n and i is not None else 0):
+                need = set(x[k : k + n])
+                if any(need <= set(w[s : s + n + slop]) for s in range(max(1, len(w) - n - slop + 1))):
+                    found.add(str(i))
+        out[d] = sorted(found)
+    return out
+
+
+def test_windows_by_their_rarest_term(spark, make_docs, words, monkeypatch):
+    docs, items = cases(words)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(decontam, "BATCH_WINDOWS", 3)
+    assert find(spark, make_docs, docs, items)[0] == brute(docs, items)
+    assert find(spark, make_docs, docs, [])[0] == brute(docs, []) and find(spark, make_docs, [], items)[0] == []
+
+
+def test_long_texts_are_cut_into_segments(spark, make_docs, words, monkeypatch):
     docs, items = cases(words)
-    monkeypatch.setattr(decontam, "BENCHMARK_BYTES", 100)
+    near = near_brute(docs, items)
+    near.pop(8)
+    want = brute(docs, items)
+    for bound in (0, 8 << 20):
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", bound)
+        got, rows = find(spark, make_docs, docs, items, segment_bytes=400)
+        assert got == want and {r.doc_id: r["near"] for r in rows.collect() if r.doc_id != 8} == near
+
+
+def test_words_that_collide_in_a_polynomial_hash(spark, make_docs):
+    bits = [i.bit_count() % 2 for i in range(1024)]
+    one, other = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    docs, items = [(1, f"zero {other} one two end"), (2, f"zero {one} one two end")], [(1, f"{one} one two")]
     assert find(spark, make_docs, docs, items)[0] == brute(docs, items)
 
 
+def test_rows_that_share_an_id_go_alone(spark, make_docs, words):
+    item = words(1, 25)
+    docs = [(1, "clean words alone"), (1, f"x {item}"), (None, item), (None, "clean too"), (None, None)]
+    out = decontam.drop_contaminated(make_docs(docs), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, "clean words alone"), (None, "clean too"), (None, None)], key=str)
+
+
 def test_proximity(spark, make_docs):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     shuffled = "beta alpha gamma delta epsilon x zeta eta theta kappa iota"

@@ -1,11 +1,12 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from skillcube.llm import jaccard_join as J
+from skillcube.llm.common import Known
 from skillcube.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -109,11 +110,38 @@ def test_prefix_filter_is_exact():
         assert p == n - -(-9 * n // 10) + 1 and p >= 1
 
 
-def test_shingles_match_words():
-    texts = ["a b c d", "", "a", "a b", "A  b\tc", None, "é b c"]
-    sets = J.sets_of(pa.array(texts))
-    assert [len(s) for s in sets] == [len(shingle_set(t)) for t in texts]
-    assert sets[4][0] in sets[0] and np.intersect1d(sets[6], sets[0]).size == 0
+def test_shingles_match_words(monkeypatch):
+    texts = ["a b c d", "", "a", "a b", "A  b\tc", "é b c", "x " * 3000 + "a\u00a0b c"]
+    known = Known()
+    for step in (1 << 20, 7):
+        monkeypatch.setattr(J, "STEP_BYTES", step)
+        sets = [J.set_of(t.encode(), 3, known) for t in texts]
+        assert [len(s) for s in sets] == [len(shingle_set(t)) for t in texts]
+        assert J.common(sets[4], sets[0]) == 1 and J.common(sets[5], sets[0]) == 0 and J.common(sets[0], sets[0]) == 2
+    assert J.common(np.array([[1, 1], [1, 2]], np.uint64), np.array([[1, 2], [3, 3]], np.uint64)) == 1
+
+
+def thue_morse(k):
+    """A word over a and b and its complement: any polynomial hash modulo 2**64 gives both one value from 1,024 letters on."""
+    bits = [i.bit_count() % 2 for i in range(1 << k)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("k", [10, 11])
+def test_words_that_collide_in_a_polynomial_hash_do_not_link(make_docs, words, k):
+    one, other = thue_morse(k)
+    docs = [(1, f"{one} foo bar"), (2, f"{other} foo bar"), (3, f"{one} foo bar"), (4, f"{words(1, 12)} {one}"), (5, f"{words(1, 12)} {other}")]
+    assert link(make_docs, docs) == brute(docs)
+
+
+def test_a_long_text_takes_memory_for_its_set_alone():
+    text = b"some words that come again and again " * 300_000  # 11 MB
+    known = Known()
+    tracemalloc.start()
+    assert len(J.set_of(text, 3, known)) == 7
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
 
 
 def test_components(spark):
