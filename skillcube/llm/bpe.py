@@ -4,8 +4,10 @@ Encoding. A merge list has a sufficient lookahead: a number L of symbols such th
 symbols before the end of what was read is final, whatever follows. `lookahead` computes it from the merges: a merge (a, b)
 can only be undone from its right by an earlier merge (b, c) that takes b away, which in turn needs c, which an earlier merge
 of c's last part may take away, and so on with falling ranks; the longest such chain, in symbols, is L. The transducer keeps
-a window of a few L symbols, merges it, emits the tokens that end at least L symbols before its end, and goes on behind them.
-So a word of any length needs constant memory. Words that recur are remembered in a cache of bounded size.
+a window of 4 L symbols, merges it, emits the tokens that end at least L symbols before its end, and goes on behind them. A word's end is final
+at once. Every word goes this way; the tokens of words that recur are remembered in a cache of bounded size. Texts are read in chunks, and ids leave
+as they become stable, so a text of any length and a word of any length need constant memory (a stretch of more than CHUNK characters without
+a space or line break is cut too, unless it has characters whose class depends on the Unicode version: that stretch is pre-tokenized whole).
 
 Decoding. `Decoder` turns ids into text piece by piece: either as the library does for a file without a decoder (token
 strings joined by one space), or as text, by a byte-to-text state machine that holds back incomplete UTF-8 sequences.
@@ -23,7 +25,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +37,9 @@ from skillcube.llm.token_output import LETTERS, NUMBERS, UNSAFE, byte_characters
 
 STEP_BYTES = 1 << 20
 CACHE_WORDS = 100_000
-#: A window is at least this many symbols, so that long words take few steps.
-WINDOW = 512
+#: Characters of a text that are looked at together.
+CHUNK = 1 << 16
+_RUNS = {True: re.compile(rf"[{LETTERS}]*"), False: re.compile(rf"[^\s{LETTERS}{NUMBERS}]*")}
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 
 
@@ -73,6 +76,8 @@ class Bpe:
         self.pieces = {i: s for s, i in [*self.vocab.items(), *self.special.items()]}
         self.need = lookahead(merges, self.suffix)
         self.shown = byte_characters()
+        if any(c + end not in self.vocab for c in self.shown.values() for end in ("", self.suffix)):
+            raise ValueError("the vocabulary lacks symbols of single bytes")
         self.cache: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -110,9 +115,9 @@ class Bpe:
         return [p for p in parts if p is not None]
 
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
-        """Tokens of one word from its symbols, each as soon as it is stable. A word shorter than a window is merged at once."""
+        """Tokens of one word from its symbols, each as soon as it is stable: the word has ended, or enough symbols stand behind it."""
         held: list[str] = []
-        full = max(WINDOW, 4 * self.need)
+        full = 4 * self.need
         for s in symbols:
             if len(held) == full:
                 tokens, at = self.merge(held), 0
@@ -129,38 +134,120 @@ class Bpe:
             held[-1] += self.suffix
             yield from self.merge(held)
 
-    def word(self, word: str) -> tuple[int, ...]:
-        vocab = self.vocab
-        if len(word) < WINDOW:
-            tokens = self.merge([*word[:-1], word[-1] + self.suffix])
-        else:
-            tokens = self.stream(word)
-        return tuple([vocab[t] for t in tokens if t in vocab])
+    def symbols(self, text: str) -> str:
+        """The bytes of a text as symbols of the vocabulary."""
+        return text.encode().decode("latin-1").translate(self.shown)
+
+    def word(self, symbols: str) -> tuple[int, ...]:
+        return tuple([self.vocab[t] for t in self.stream(symbols)])
 
     def words(self, text: str) -> tuple[list[str], bool]:
-        """Pre-tokens of a text, and whether they are byte-level strings already."""
-        if not text.isascii() and UNSAFE.search(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        """Pre-tokens of a text, and whether they are symbols already."""
+        if _unsafe(text):
             return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))], True
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return _WORDS.findall(text.lower()), False
+        return _WORDS.findall(_lowered(text)), False
 
-    def _plain(self, text: str) -> list[int]:
+    def _chunk(self, text: str) -> list[int]:
+        """Ids of a text that no word reaches beyond."""
         words, shown = self.words(text)
         if shown:
             return [i for w in words for i in self.word(w)]
+        return self._known(words)
+
+    def _known(self, words: list[str]) -> list[int]:
         if len(self.cache) > CACHE_WORDS:
             self.cache, self.older = {}, self.cache
         cache = self.cache
         for w in set(words).difference(cache):
-            cache[w] = self.older.get(w) or self.word(w.encode().decode("latin-1").translate(self.shown))
+            cache[w] = self.older.get(w) or self.word(self.symbols(w))
         return list(chain.from_iterable(map(cache.__getitem__, words)))
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text, without special tokens but those that its own characters spell."""
+    def _plain(self, text: str) -> Iterator[list[int]]:
+        at = 0
+        while len(text) - at > CHUNK:
+            end = max(text.rfind(c, at + 1, at + CHUNK) for c in " \n")
+            if end > 0:
+                yield self._chunk(text[at:end])
+            else:  # a stretch without a space
+                ends = [k for c in " \n" if (k := text.find(c, at + CHUNK)) >= 0]
+                end = min(ends, default=len(text))
+                if _unsafe(stretch := text[at:end]):
+                    yield self._chunk(stretch)
+                else:
+                    yield from self._stretch(stretch)
+            at = end
+        yield self._chunk(text[at:] if at else text)
+
+    def _stretch(self, text: str) -> Iterator[list[int]]:
+        """Ids of a long stretch of safe characters; a word of it that does not end goes into the transducer symbol by symbol."""
+        parts = _parts(text)
+        for words, begun in parts:
+            yield self._known(words)
+            if begun:
+
+                def symbols(part: str) -> Iterator[str]:
+                    yield from self.symbols(part)
+                    for (part,), more in parts:
+                        yield from self.symbols(part)
+                        if not more:
+                            return
+
+                tokens = self.stream(symbols(begun))
+                while some := [self.vocab[t] for t in islice(tokens, 4096)]:
+                    yield some
+
+    def ids(self, text: str) -> Iterator[list[int]]:
+        """Ids of a whole text as they become stable, without special tokens but those that its own characters spell."""
         if not any(s in text for s in self.special):
-            return self._plain(text)
-        return [i for part in self.split.split(text) for i in ([self.special[part]] if part in self.special else self._plain(part))]
+            yield from self._plain(text)
+            return
+        at = 0
+        for m in self.split.finditer(text):
+            yield from self._plain(text[at : m.start()])
+            yield [self.special[m[0]]]
+            at = m.end()
+        yield from self._plain(text[at:])
+
+    def encode(self, text: str) -> list[int]:
+        """All ids of a text."""
+        return list(chain.from_iterable(self.ids(text)))
+
+
+def _unsafe(text: str) -> bool:
+    return not text.isascii() and UNSAFE.search(text) is not None or any(c in text for c in "\x1c\x1d\x1e\x1f")
+
+
+def _lowered(text: str) -> str:
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    return text.lower()
+
+
+def _parts(text: str) -> Iterator[tuple[list[str], str]]:
+    """(whole words, begin of a word that goes on) of a stretch, chunk by chunk. What follows such a begin: ([part], whether it goes on still)."""
+    held, run, at = "", None, 0
+    while at < len(text):
+        end = at + CHUNK
+        while end < len(text) and unicodedata.combining(text[end]):  # a mark may join what stands before it
+            end += 1
+        buffer, at = held + _lowered(text[at:end]), end
+        last, start, held = end >= len(text), 0, ""
+        if run is not None:
+            start = run.match(buffer).end()
+            more = start == len(buffer) and not last
+            yield [buffer[:start]], "more" if more else ""
+            if more:
+                continue
+            run = None
+        found = list(_WORDS.finditer(buffer, start))
+        if last or not found or found[-1].end() < len(buffer):
+            yield [m[0] for m in found], ""
+        elif len(open_ := found[-1][0]) > CHUNK // 2:
+            yield [m[0] for m in found[:-1]], open_
+            run = _RUNS[_RUNS[True].fullmatch(open_) is not None]
+        else:  # an apostrophe and what follows it may become one word yet
+            yield [m[0] for m in found[:-2]], ""
+            held = buffer[found[-2:][0].start() :]
 
 
 class Decoder:
@@ -218,15 +305,19 @@ def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         shown = [str(i) for i in range(max(bpe.pieces) + 1)]
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for whole in batches:
             for b in slices(whole, "text", STEP_BYTES):
                 n, by_ids, by_text = [], [], []
                 for t in b.column("text").to_pylist():
-                    ids = bpe.encode(t)
-                    n.append(len(ids))
-                    by_ids.append(sha(" ".join(map(shown.__getitem__, ids))))
-                    by_text.append(sha(Decoder(bpe).feed(ids)))
+                    decoder, total, of_ids, of_text = Decoder(bpe), 0, hashlib.sha256(), hashlib.sha256()
+                    for ids in bpe.ids(t):
+                        of_ids.update((" " * bool(total and ids) + " ".join(map(shown.__getitem__, ids))).encode())
+                        of_text.update(decoder.feed(ids).encode())
+                        total += len(ids)
+                    of_text.update(decoder.end().encode())
+                    n.append(total)
+                    by_ids.append(of_ids.hexdigest())
+                    by_text.append(of_text.hexdigest())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(by_ids), pa.array(by_text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -60,7 +61,45 @@ def test_long_words_stream_in_constant_windows(own, library):
 
     stream = own.stream(symbols())
     next(stream)
-    assert len(fed) <= max(B.WINDOW, 4 * own.need) + 1
+    assert len(fed) <= 4 * own.need + 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=st.lists(st.sampled_from(["a", "'", "s", "'re", "!", "é", "e\u0301", "\u0301", " ", "\n", "\t", "1", "the", "ß", "日", "<|endoftext|>", "xyz" * 9, "\u00a0"]), max_size=40).map("".join), chunk=st.integers(2, 12))
+def test_chunks_do_not_show(text, chunk):
+    library, own = _both()
+    was, B.CHUNK = B.CHUNK, chunk
+    try:
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+    finally:
+        B.CHUNK = was
+
+
+def test_ordinary_documents_go_through_the_transducer(own, words, monkeypatch):
+    text, seen = words(5, 500) + " It's 12 o'clock!", []
+    stream = own.stream
+
+    def watched(symbols):
+        tokens = list(stream(symbols))
+        seen.append("".join(tokens).removesuffix("</w>"))
+        return iter(tokens)
+
+    monkeypatch.setattr(own, "stream", watched)
+    monkeypatch.setattr(own, "cache", {})
+    monkeypatch.setattr(own, "older", {})
+    own.encode(text)
+    assert sorted(seen) == sorted(set(own.words(text)[0]))
+
+
+def test_a_long_text_needs_constant_memory(own):
+    for text in ("some words again " * 600_000, "ab" * 1_000_000):  # 10 MB; 2 MB in one word
+        n = 0
+        tracemalloc.start()
+        for ids in own.ids(text):
+            n += len(ids)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n and peak < 8 << 20
 
 
 def test_lookahead_of_chains():
