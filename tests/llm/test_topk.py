@@ -7,12 +7,12 @@ VECTORS = "vec_id long, embedding array<float>, label int, dim int"
 
 
 def brute(rows, k):
-    ok = [(i, np.floor(1024 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, np.array([int(c) for c in np.floor(1024 * np.array(v, np.float64))] + [None], object)[:-1]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, v in {(i, tuple(x)) for i, x in ok if i % 100 == 0}:
         v = np.array(v)
         scores = sorted((-int(v @ x), i) for i, x in ok if i != q and len(x) == len(v))[:k]
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+        out += [(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(scores)]
     return sorted(out)
 
 
@@ -57,4 +57,28 @@ def test_pruning_skips_blocks():
     all_ = np.concatenate([b[1] for b in blocks]) @ q[0]
     ids = np.concatenate([b[0] for b in blocks])
     order = np.lexsort((ids, -all_))[:5]
-    assert best[0][0].tolist() == ids[order].tolist() and best[0][1].tolist() == all_[order].tolist() and set(seen) == {7}
+    assert best[0][0] == ids[order].tolist() and best[0][1] == all_[order].tolist() and set(seen) == {7}
+
+
+def test_large_components_are_exact(spark):
+    r = np.random.default_rng(3)
+    for scale in (1e5, 1e9, 1e17, 1e30):
+        rows = [(i, f32(r.normal(size=6) * (scale if i % 7 == 0 else 1))) for i in range(400)]
+        rows += [(1000 + i, f32(np.full(6, scale))) for i in range(30)]  # ties
+        assert run(spark, rows) == brute(rows, 10)
+
+
+def test_groups_share_the_kth_score(spark, monkeypatch):
+    """Clustered vectors: most groups' bounds are below what the first group gives."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "GROUP_BLOCKS", 2)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "SUMMARIES", 7)
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(40, 8)) * 5
+    rows = [(i, f32(centres[i // 50] + r.normal(size=8) * 0.1)) for i in range(2000)]
+    assert run(spark, rows) == brute(rows, 10)
+    df = spark.createDataFrame([(i, v, 0, 9) for i, v in rows], VECTORS)
+    search = topk.Search(df, F.col("vec_id") % 100 == 0, 10, "vec_id", "embedding", 1024)
+    more = search.found()[1].count()
+    assert search.groups.count() > 60 and more < 0.5 * 20 * search.groups.count()
