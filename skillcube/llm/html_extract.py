@@ -4,18 +4,21 @@ Every page is parsed and its containers are scored: the share of the page's runn
 with a little for depth and for names that say content. The page votes for its best container's generalised path (tags and classes from the
 root, digits dropped). The best container is widened first until it holds all running text of the page, its article and the headings before
 it. Votes are counted per host and path in Spark; each host's winning path then extracts all its pages, so one
-odd page follows its host; a page whose own choice lies on the path keeps its widened container too. A page without an element on that path falls back to its own best container.
+odd page follows its host; a page whose own choice lies on the path keeps its widened container too. A page without an element on that path, or without
+any text there, falls back to its own best container.
 
 Inside the chosen elements, subtrees of boilerplate tags or names (menus, headers, footers, sidebars, notices, adverts, forms, comments)
 are left out, block elements part the text, white space inside a block (line breaks too) becomes one space, and empty blocks vanish.
 
 Nulls: a null html is an empty page with an empty text; pages with a null url share the host "". Broken markup never fails: unclosed
-elements end with their parents, stray end tags are ignored. Rows with equal page_id stay separate; extra columns are ignored. Ties between
+elements end with their parents, stray end tags are ignored. Parsing takes linear time whatever the markup, and memory in proportion to the page: a page is
+parsed whole, on its own, so a very long one needs a worker that can hold it some ten times. Rows with equal page_id stay separate; extra columns are ignored. Ties between
 paths go to more score, then to the smaller path.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import Counter
@@ -53,6 +56,9 @@ _CLOSES = {
     "p": _BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
     "option": {"option"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"},
 }
+_CLOSED_BY = {tag: frozenset(k for k, by in _CLOSES.items() if tag in by) for tag in _BLOCK}
+_SPECIAL = re.compile("[\"'>]")
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 _SCOPE = frozenset("html body table ul ol dl div article section main aside nav header footer form td th button".split())
 
 
@@ -73,19 +79,50 @@ class Page:
     def _parse(self, source: str) -> None:
         stack, at, mark = [0], 0, 0
         opened: Counter[str] = Counter()  # of the tags on the stack
+        scopes: list[tuple[int, Counter[str]]] = [(0, Counter())]  # place on the stack of each scope, and the tags since
         last = source.rfind(">")
+        ends: _TagEnds | None = None
+
+        def push(i: int) -> None:
+            stack.append(i)
+            opened[self.tag[i]] += 1
+            if self.tag[i] in _SCOPE:
+                scopes.append((len(stack) - 1, Counter()))
+            else:
+                scopes[-1][1][self.tag[i]] += 1
 
         def pop(i: int) -> None:
-            opened.subtract(self.tag[k] for k in stack[i:])
-            del stack[i:]
+            while len(stack) > i:
+                tag = self.tag[stack.pop()]
+                opened[tag] -= 1
+                if scopes[-1][0] == len(stack):
+                    scopes.pop()
+                else:
+                    scopes[-1][1][tag] -= 1
+
+        def open_in_scope(tags) -> bool:
+            """Whether one of the tags is open in the innermost scope or opens it; a search for it then ends with a pop."""
+            at, since = scopes[-1]
+            return self.tag[stack[at]] in tags or any(since[t] > 0 for t in tags)
 
         while at < len(source):
-            if at > last and not source.startswith("<!", at):  # no tag ends behind here
-                self.texts.append((stack[-1], mark, html.unescape(source[at:])))
-                break
-            m = _TOKEN.match(source, at)
-            at = m.end()
-            cdata, end, tag, attributes, text = m.groups()
+            if at > last and not source.startswith(("<!--", "<![CDATA["), at):  # no tag ends behind here
+                k = source.find("<!--", at)
+                text = source[at:] if k < 0 else source[at:k]
+                self.texts.append((stack[-1], mark, html.unescape(text)))
+                at += len(text)
+                continue
+            m = _TOKEN.match(source, at) if ends is None or not _TAG.match(source, at) else None
+            if m is None or m[5] == "<" and ends is None and _TAG.match(source, at):
+                # a tag whose quotes never close sends the pattern to the page's end: from here on tag ends are looked up
+                ends = ends or _TagEnds(source)
+                m = _TAG.match(source, at)
+                z = ends.find(m.end())
+                cdata, (end, tag), attributes, text = None, m.groups(), source[m.end() : max(z, 0)], None if z >= 0 else "<"
+                at = z + 1 if z >= 0 else at + 1
+            else:
+                at = m.end()
+                cdata, end, tag, attributes, text = m.groups()
             if text is not None or cdata is not None:
                 self.texts.append((stack[-1], mark, html.unescape(text) if text is not None else cdata))
                 continue
@@ -95,25 +132,24 @@ class Page:
             if end:
                 if tag in _BLOCK:
                     mark += 1
-                for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
-                    if self.tag[stack[i]] == tag:
-                        pop(i)
-                        break
-                    if tag not in _BLOCK and self.tag[stack[i]] in _SCOPE:
-                        break
+                if opened[tag] > 0 if tag in _BLOCK else open_in_scope((tag,)):
+                    i = len(stack) - 1
+                    while self.tag[stack[i]] != tag:
+                        i -= 1
+                    pop(i)
                 continue
             if tag == "br":
                 self.texts.append((stack[-1], mark, " "))
                 continue
             if tag in _BLOCK:
                 mark += 1
-                for i in range(len(stack) - 1, 0, -1):
+                while open_in_scope(_CLOSED_BY[tag]):
+                    i = len(stack) - 1
+                    while self.tag[stack[i]] not in _CLOSED_BY[tag]:
+                        i -= 1
                     open_ = self.tag[stack[i]]
-                    if tag in _CLOSES.get(open_, ()):
-                        pop(i)
-                        if open_ in ("p", "dt", "dd", "li"):
-                            break
-                    elif open_ in _SCOPE:
+                    pop(i)
+                    if open_ in ("p", "dt", "dd", "li"):
                         break
             if tag in _VOID:
                 continue
@@ -122,8 +158,7 @@ class Page:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
                 at = close.end() if close else len(source)
             elif not attributes.endswith("/") or tag in _BLOCK:
-                stack.append(len(self.tag) - 1)
-                opened[tag] += 1
+                push(len(self.tag) - 1)
 
     def _open(self, tag: str, attributes: str, parent: int) -> None:
         a = {k.lower(): html.unescape(x or y or z) for k, x, y, z in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
@@ -145,13 +180,13 @@ class Page:
             i = self.parent[i]
         return ">".join(reversed(names))
 
-    def on_path(self, i: int, names: list[str]) -> bool:
-        """Whether an element's path has these names."""
-        for name in reversed(names):
-            if i <= 0 or self.name[i] != name:
-                return False
-            i = self.parent[i]
-        return i == 0
+    def on_path(self, names: list[str]) -> set[int]:
+        """The elements whose path has these names and that are not dropped."""
+        met = [0] + [-1] * (len(self.tag) - 1)  # names that an element's path has met, -1 where it strays
+        for i in range(1, len(self.tag)):
+            k = met[self.parent[i]]
+            met[i] = k + 1 if 0 <= k < len(names) and self.name[i] == names[k] else -1
+        return {i for i in range(1, len(met)) if met[i] == len(names) and not self.dropped[i]}
 
     def best(self) -> tuple[int, float]:
         """The best container, widened, and its score; (0, 0.0) if the page has no running text."""
@@ -240,18 +275,52 @@ class Page:
         return "\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
 
 
+class _TagEnds:
+    """Where a tag that starts somewhere ends: at the first > outside quotes. Every quote is looked at once, whatever the starts."""
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.marks = [m.start() for m in _SPECIAL.finditer(source)]
+        self.known: dict[int, int] = {}  # place in marks of a quote that opens -> where the tag ends, -1: nowhere
+        self.after: dict[int, int] = {}  # place of a quote -> place of the next quote of its kind
+        last: dict[str, int] = {}
+        for i in range(len(self.marks) - 1, -1, -1):
+            c = source[self.marks[i]]
+            if c != ">":
+                self.after[i] = last.get(c, -1)
+                last[c] = i
+
+    def find(self, at: int) -> int:
+        i = bisect.bisect_left(self.marks, at)
+        chain = []
+        while True:
+            if i < 0 or i >= len(self.marks):
+                end = -1
+                break
+            if self.source[self.marks[i]] == ">":
+                end = self.marks[i]
+                break
+            if i in self.known:
+                end = self.known[i]
+                break
+            chain.append(i)
+            i = self.after[i] + 1 if self.after[i] >= 0 else -1
+        for i in chain:
+            self.known[i] = end
+        return end
+
+
 def extract(source: str, path: str | None = None) -> str:
     """The main text of a page: of the elements on a path, or of its best container."""
     page = Page(source)
-    names = path.split(">") if path else []
-    roots = {i for i in range(1, len(page.tag)) if not page.dropped[i] and page.on_path(i, names)} if names else set()
+    roots = page.on_path(path.split(">")) if path else set()
     chosen, widened, _ = page.choice()
     k = chosen
     while k > 0 and k not in roots:
         k = page.parent[k]
     if not roots or k in roots:
         roots = roots | {widened}
-    return page.text_of(roots)
+    return page.text_of(roots) or page.text_of({widened})
 
 
 def host(url: Column) -> Column:
