@@ -28,10 +28,8 @@ def along(cell: Sequence[str], coordinate: str):
     return Window.partitionBy(*[c for c in cell if c != coordinate]).orderBy(coordinate)
 
 
-def d_dx(f: str | Column, cell: Sequence[str], wrap: bool = False) -> Column:
+def d_dx(f: str | Column, cell: Sequence[str]) -> Column:
     """Eastward derivative per metre, 0 where the cosine of latitude vanishes. Longitudes do not wrap."""
-    if wrap:
-        raise NotImplementedError("periodic derivatives are not supported")
     f = F.col(f) if isinstance(f, str) else f
     cos = F.cos(F.radians("latitude"))
     slope = gradient(f, F.col("longitude"), along(cell, "longitude"))

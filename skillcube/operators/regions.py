@@ -31,13 +31,14 @@ BOXES: dict[str, list[tuple[float, float, float, float]]] = {
 
 @dataclass(frozen=True)
 class Region:
-    """Weight of a cell: cells of boxes count once per box that holds them; the other parts multiply."""
+    """Weight of a cell: cells of boxes count once per box that holds them; the other parts multiply. parts: regions that all hold at once."""
 
     name: str
     boxes: tuple[tuple[float, float, float, float], ...] = ()
     extra_tropics_from: float | None = None
     land_mask: str | None = None
     land_threshold: float | None = None
+    parts: tuple[Region, ...] = ()
 
     def weight(self, lat: Column, lon: Column) -> Column:
         one = lambda p: p.cast("double")
@@ -49,16 +50,17 @@ class Region:
         if self.land_mask:
             mask = F.coalesce(F.col(self.land_mask), F.lit(0.0))
             w = w * (mask if self.land_threshold is None else one(mask > self.land_threshold))
+        for part in self.parts:
+            w = w * part.weight(lat, lon)
         return w
 
+    def masks(self) -> set[str]:
+        """Columns of land masks that the weight reads."""
+        return {self.land_mask} - {None} | {m for p in self.parts for m in p.masks()}
+
     def combined(self, other: Region) -> Region:
-        """Both regions at once. Boxes of the two cannot be joined into one list, so at most one may have boxes."""
-        if self.boxes and other.boxes:
-            raise ValueError("only one of two combined regions may have boxes")
-        return Region(
-            f"{self.name}_{other.name}", self.boxes or other.boxes, other.extra_tropics_from if self.extra_tropics_from is None else self.extra_tropics_from,
-            self.land_mask or other.land_mask, other.land_threshold if self.land_threshold is None else self.land_threshold,
-        )
+        """Both regions at once: a cell's weights multiply, so two boxed regions overlap."""
+        return Region(f"{self.name}_{other.name}", parts=(self, other))
 
 
 def named(*names: str, land_mask: str = "land_sea_mask") -> list[Region]:

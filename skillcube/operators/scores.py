@@ -137,42 +137,65 @@ def ensemble_cells(df: DataFrame, x: str, cell: Sequence[str], keep: Sequence[st
     )
 
 
-def zero_variance_of_one(var: str = "var") -> Column:
+def ensemble_cells_of(df: DataFrame, variables: Sequence[str], cell: Sequence[str], member: str = "member", skipna: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """As ensemble_cells for several variables at once: one shuffle for all. A variable's columns begin with its name and two underscores.
+
+    A cell's members are sorted inside it, so ranks need no window.
+    """
+    n = F.count(F.lit(1))
+    whole = lambda agg, v: agg if skipna else strict(agg, v)
+    columns = [n.alias("n")]
+    for v in variables:
+        x, t = F.col(v), F.col(f"{v}_t")
+        values = F.array_sort(F.collect_list(x))
+        ranked = F.aggregate(F.transform(values, lambda y, i: y * (i + 1)), F.lit(0.0), lambda a, y: a + y) / F.nullif(F.count(x), F.lit(0))
+        spread = whole(fdiv(4 * ranked - 2 * (n + 1) * F.avg(x), n - 1), x)
+        columns += [
+            n.alias(f"{v}__n"), whole(F.avg(x), x).alias(f"{v}__mean"), whole(F.var_samp(x), x).alias(f"{v}__var"), whole(F.avg(F.abs(t - x)), t - x).alias(f"{v}__crps_skill"),
+            F.when(n < 2, F.lit(0.0)).otherwise(spread).alias(f"{v}__crps_spread"), F.first(t).alias(f"{v}__truth"),
+        ]
+    return df.groupBy(*cell).agg(*columns, *(F.first(k).alias(k) for k in keep))
+
+
+def zero_variance_of_one(var: str = "var", n: str = "n") -> Column:
     """Variance of an ensemble of one counts as zero."""
-    return F.when(F.col("n") == 1, F.lit(0.0)).otherwise(F.col(var))
+    return F.when(F.col(n) == 1, F.lit(0.0)).otherwise(F.col(var))
 
 
-def crps() -> Score:
-    return Score("crps", {"p_crps": F.col("crps_skill") - F.col("crps_spread") / 2})
+# p: what the columns of a variable begin with (see ensemble_cells_of)
 
 
-def crps_skill() -> Score:
-    return Score("crps_skill", {"p_crps_skill": F.col("crps_skill")})
+def crps(p: str = "") -> Score:
+    return Score("crps", {f"{p}p_crps": F.col(f"{p}crps_skill") - F.col(f"{p}crps_spread") / 2})
 
 
-def crps_spread() -> Score:
-    return Score("crps_spread", {"p_crps_spread": F.col("crps_spread")})
+def crps_skill(p: str = "") -> Score:
+    return Score("crps_skill", {f"{p}p_crps_skill": F.col(f"{p}crps_skill")})
 
 
-def ensemble_mean_mse() -> Score:
-    return Score("ensemble_mean_mse", {"p_em_mse": (F.col("truth") - F.col("mean")) ** 2})
+def crps_spread(p: str = "") -> Score:
+    return Score("crps_spread", {f"{p}p_crps_spread": F.col(f"{p}crps_spread")})
 
 
-def ensemble_mean_rmse_sqrt_before_time_avg() -> Score:
-    return Score("ensemble_mean_rmse", {"p_em_mse": (F.col("truth") - F.col("mean")) ** 2}, F.sqrt("p_em_mse"))
+def ensemble_mean_mse(p: str = "") -> Score:
+    return Score("ensemble_mean_mse", {f"{p}p_em_mse": (F.col(f"{p}truth") - F.col(f"{p}mean")) ** 2})
 
 
-def debiased_ensemble_mean_mse() -> Score:
+def ensemble_mean_rmse_sqrt_before_time_avg(p: str = "") -> Score:
+    return Score("ensemble_mean_rmse", ensemble_mean_mse(p).points, F.sqrt(f"{p}p_em_mse"))
+
+
+def debiased_ensemble_mean_mse(p: str = "") -> Score:
     """Missing for an ensemble of one."""
-    return Score("debiased_ensemble_mean_mse", {"p_dem_mse": (F.col("truth") - F.col("mean")) ** 2 - F.col("var") / F.col("n")})
+    return Score("debiased_ensemble_mean_mse", {f"{p}p_dem_mse": (F.col(f"{p}truth") - F.col(f"{p}mean")) ** 2 - F.col(f"{p}var") / F.col(f"{p}n")})
 
 
-def ensemble_variance() -> Score:
-    return Score("ensemble_variance", {"p_var": zero_variance_of_one()})
+def ensemble_variance(p: str = "") -> Score:
+    return Score("ensemble_variance", {f"{p}p_var": zero_variance_of_one(f"{p}var", f"{p}n")})
 
 
-def ensemble_stddev_sqrt_before_time_avg() -> Score:
-    return Score("ensemble_stddev", {"p_var": zero_variance_of_one()}, F.sqrt("p_var"))
+def ensemble_stddev_sqrt_before_time_avg(p: str = "") -> Score:
+    return Score("ensemble_stddev", ensemble_variance(p).points, F.sqrt(f"{p}p_var"))
 
 
 def energy_score(df: DataFrame, x: str, by: Sequence[str], time: str, member: str = "member", skipna: bool = False) -> DataFrame:
@@ -204,7 +227,8 @@ def rank_histogram(df: DataFrame, x: str, cell: Sequence[str], by: Sequence[str]
     equal = F.sum((F.col(x).eqNullSafe(t)).cast("int"))
     ranks = df.groupBy(*cell).agg(below.alias("rank"), equal.alias("ties"))
     if break_ties_randomly:
-        ranks = ranks.withColumn("rank", F.col("rank") + F.floor(F.rand(seed) * (F.col("ties") + 1)))
+        # drawn from the cell's labels, so that it does not change with partitions
+        ranks = ranks.withColumn("rank", F.col("rank") + F.pmod(F.xxhash64(F.lit(seed), *(F.col(c).cast("string") for c in cell)), F.col("ties") + 1))
     counts = ranks.withColumn("bin", F.floor(F.col("rank") / ((n_members + 1) // bins)).cast("int")).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("k"))
     one_hot = [F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("k"))), F.lit(0)) / F.sum("k") for i in range(bins)]
     rows = counts.groupBy(*by).agg(F.array(*one_hot).alias("f"))
@@ -257,8 +281,11 @@ def gaussian_rps_points(v: str, h: str = "threshold") -> Column:
 # ---- thresholds
 
 
-def with_quantile_threshold(df: DataFrame, climatology: DataFrame, v: str, space: Sequence[str], q: Sequence[float], time: str = "time", tolerance: float = 0.01) -> DataFrame:
-    """A row per requested quantile with the climatology's value at the label nearest to it, all quantiles in one pass."""
+def with_quantile_threshold(df: DataFrame, climatology: DataFrame, v: str | Sequence[str], space: Sequence[str], q: Sequence[float], time: str = "time", tolerance: float = 0.01) -> DataFrame:
+    """A row per requested quantile with the climatology's value at the label nearest to it, all quantiles in one pass.
+
+    The value is the column threshold, or for several variables threshold_v of each, which all come from one join.
+    """
     from skillcube.operators.align import calendar_keys
 
     have = sorted(r[0] for r in climatology.select("quantile").distinct().collect())
@@ -271,45 +298,58 @@ def with_quantile_threshold(df: DataFrame, climatology: DataFrame, v: str, space
     wanted = F.explode(F.filter(F.array(*(F.struct(F.lit(a).alias("q"), F.lit(b).alias("label")) for a, b in chosen)), lambda s: s["label"] == F.col("quantile")))
     table = climatology.withColumn("__q", wanted)
     keys = calendar_keys(time, "hour" in climatology.columns)
-    table = table.select(*keys, *space, F.col("__q.q").alias("quantile"), F.col(f"{v}_quantile").alias("threshold"))
+    values = [F.col(f"{v}_quantile").alias("threshold")] if isinstance(v, str) else [F.col(f"{x}_quantile").alias(f"threshold_{x}") for x in v]
+    table = table.select(*keys, *space, F.col("__q.q").alias("quantile"), *values)
     return df.withColumns(keys).join(table, [*keys, *space]).drop(*keys)
 
 
-def with_gaussian_threshold(df: DataFrame, v: str, q: Sequence[float]) -> DataFrame:
-    """A row per quantile with the threshold mean + quantile * std of the climatology columns v_c and v_std_c."""
+def with_gaussian_threshold(df: DataFrame, v: str | Sequence[str], q: Sequence[float]) -> DataFrame:
+    """A row per quantile with the threshold mean + quantile * std of the climatology columns v_c and v_std_c; columns as in with_quantile_threshold."""
     options = F.array(*(F.struct(F.lit(float(x)).alias("quantile"), F.lit(norm_ppf(x)).alias("z")) for x in q))
     rows = df.withColumn("__q", F.explode(options))
-    return rows.withColumns({"quantile": F.col("__q.quantile"), "threshold": F.col(f"{v}_c") + F.col("__q.z") * F.col(f"{v}_std_c")}).drop("__q")
+    values = {"threshold": v} if isinstance(v, str) else {f"threshold_{x}": x for x in v}
+    return rows.withColumns({"quantile": F.col("__q.quantile")} | {h: F.col(f"{x}_c") + F.col("__q.z") * F.col(f"{x}_std_c") for h, x in values.items()}).drop("__q")
 
 
 THRESHOLDS = {"quantile": with_quantile_threshold, "gaussian_quantile": with_gaussian_threshold}
 
 
-def exceedance_cells(df: DataFrame, x: str, cell: Sequence[str], keep: Sequence[str] = (), h: str = "threshold") -> DataFrame:
-    """One row per cell and threshold: n, p (share above, missing if a member is), var, above (truth), p_some and below_some (missing members count as false)."""
+def _exceedances(x: str, h: str, p: str = "") -> list[Column]:
+    """n, p (share above, missing if a member is), p_var, p_some and below_some (missing members count as false), above and truth_below (truth)."""
     above = F.when(F.col(x).isNotNull() & F.col(h).isNotNull(), (F.col(x) > F.col(h)).cast("double"))
     t = F.col(f"{x}_t")
-    return df.groupBy(*cell).agg(
-        F.count(F.lit(1)).alias("n"), strict(F.avg(above), above).alias("p"), strict(F.var_samp(above), above).alias("p_var"), F.avg(F.coalesce(above, F.lit(0.0))).alias("p_some"),
-        F.avg(F.coalesce((F.col(x) < F.col(h)).cast("double"), F.lit(0.0))).alias("below_some"), F.first((t > F.col(h)).cast("double")).alias("above"),
-        F.first(F.coalesce((t < F.col(h)).cast("double"), F.lit(0.0))).alias("truth_below"), *(F.first(k).alias(k) for k in keep),
-    )
+    return [
+        F.count(F.lit(1)).alias(f"{p}n"), strict(F.avg(above), above).alias(f"{p}p"), strict(F.var_samp(above), above).alias(f"{p}p_var"), F.avg(F.coalesce(above, F.lit(0.0))).alias(f"{p}p_some"),
+        F.avg(F.coalesce((F.col(x) < F.col(h)).cast("double"), F.lit(0.0))).alias(f"{p}below_some"), F.first((t > F.col(h)).cast("double")).alias(f"{p}above"),
+        F.first(F.coalesce((t < F.col(h)).cast("double"), F.lit(0.0))).alias(f"{p}truth_below"),
+    ]
+
+
+def exceedance_cells(df: DataFrame, x: str, cell: Sequence[str], keep: Sequence[str] = (), h: str = "threshold") -> DataFrame:
+    """One row per cell and threshold (see _exceedances)."""
+    return df.groupBy(*cell).agg(*_exceedances(x, h), *(F.first(k).alias(k) for k in keep))
+
+
+def exceedance_cells_of(df: DataFrame, variables: Sequence[str], cell: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """As exceedance_cells for several variables with thresholds threshold_v, in one aggregate; columns begin with the variable and two underscores."""
+    return df.groupBy(*cell).agg(*(c for v in variables for c in _exceedances(v, f"threshold_{v}", f"{v}__")), *(F.first(k).alias(k) for k in keep))
 
 
-def brier() -> Score:
-    return Score("brier", {"p_brier": (F.col("p") - F.col("above")) ** 2})
+def brier(p: str = "") -> Score:
+    return Score("brier", {f"{p}p_brier": (F.col(f"{p}p") - F.col(f"{p}above")) ** 2})
 
 
-def debiased_brier() -> Score:
-    return Score("debiased_brier", {"p_dbrier": (F.col("p") - F.col("above")) ** 2 - F.col("p_var") / F.col("n")})
+def debiased_brier(p: str = "") -> Score:
+    return Score("debiased_brier", {f"{p}p_dbrier": (F.col(f"{p}p") - F.col(f"{p}above")) ** 2 - F.col(f"{p}p_var") / F.col(f"{p}n")})
 
 
-def ignorance() -> Score:
-    return Score("ignorance", {"p_ign": F.when(F.col("above") == 1, -flog(F.col("p_some"))).when(F.col("above") == 0, -flog(1 - F.col("p_some")))})
+def ignorance(p: str = "") -> Score:
+    some, above = F.col(f"{p}p_some"), F.col(f"{p}above")
+    return Score("ignorance", {f"{p}p_ign": F.when(above == 1, -flog(some)).when(above == 0, -flog(1 - some))})
 
 
-def rps_points() -> Column:
-    return (F.col("below_some") - F.col("truth_below")) ** 2
+def rps_points(p: str = "") -> Column:
+    return (F.col(f"{p}below_some") - F.col(f"{p}truth_below")) ** 2
 
 
 def sum_over_quantiles(per_quantile: DataFrame, value: str, by: Sequence[str]) -> DataFrame:

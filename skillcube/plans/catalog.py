@@ -16,7 +16,7 @@ from skillcube.functions.weights import window_weights, with_latitude_weights
 from skillcube.operators import align, climatology, derived, reduce, regrid, sampler, scores, select, windows
 from skillcube.operators.regions import BOXES, Region, named, with_regions
 from skillcube.plans import evaluate as ev
-from skillcube.sources import cubes, mock
+from skillcube.sources import cubes, io, mock
 from skillcube.sources.cubes import with_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -705,6 +705,102 @@ def _ratio(spark, sf):
     return rounded(ev.spread_skill_ratio(results, "temperature", ["region", "lead_hours"]), "spread_skill_ratio")
 
 
+# ---- the predefined configurations, from files, with two variables, a wind vector and a land region
+
+U, V = "u_component_of_wind", "v_component_of_wind"
+_LAND = "tropics_land"
+_BOXED = " JOIN boxes ON f.latitude BETWEEN south AND north AND f.longitude BETWEEN west AND east"
+
+
+def config_files(spark: SparkSession, sf: str) -> dict[str, str]:
+    """Forecast, ensemble, truth and climatology as Parquet cubes: u is the temperature of the test cubes, v is 2 u + latitude."""
+    v = lambda x: 2 * F.col(x) + F.col("latitude")
+    two = lambda df: df.withColumns({U: F.col("temperature"), V: v("temperature")})
+    det = two(cubes.det(spark, sf)).withColumns({f"{U}_std": F.col("temperature_std"), f"{V}_std": 2 * F.col("temperature_std")})
+    quantiles = threshold_climatology(spark, sf).withColumns({f"{U}_quantile": F.col("temperature_quantile"), f"{V}_quantile": v("temperature_quantile")})
+    clim = two(cubes.clim(spark, sf)).unionByName(quantiles.drop("temperature_quantile"), allowMissingColumns=True)
+    frames = {
+        "det": det.withColumnRenamed("init_time", "time").drop("valid_time", "temperature", "temperature_std"),
+        "ens": two(cubes.ens(spark, sf)).withColumnRenamed("init_time", "time").drop("valid_time", "temperature"),
+        "truth": two(cubes.obs(spark, sf)).drop("temperature").withColumn("land_sea_mask", F.col("longitude") / 240),
+        "clim": clim.drop("temperature"),
+    }
+    paths = {k: io.scratch(spark, f"cube-{k}") for k in frames}
+    for k, df in frames.items():
+        io.write_cube(df, paths[k])
+        io.remove_at_exit(spark, paths[k])
+    return paths
+
+
+def _land_sql(sql: str) -> str:
+    """A score's SQL with the land region, whose cells weigh longitude / 240."""
+    sql = sql.replace("AS (VALUES ", f"AS (VALUES ('{_LAND}', -20::DOUBLE, 20::DOUBLE, 0::DOUBLE, 360::DOUBLE), ").replace(_BOXED, f"{_BOXED} AND (region <> '{_LAND}' OR f.longitude > 0)")
+    return sql.replace("init_time, w, ", f"init_time, w * CASE WHEN region = '{_LAND}' THEN f.longitude / 240 ELSE 1 END AS w, ", 1)
+
+
+def _metric_sql(metric: str, sql: str, keys: Sequence[str], value: str, factor: str | None = None, wind: bool = False) -> str:
+    """Rows of one metric: the same SQL over u and over v. factor: of the wind vector's error to that of u."""
+    other = sql.replace("avg(value) AS temperature", "2 * avg(value) + any_value(latitude) AS temperature")
+    vector = f", {f'round(a.{value} * {factor}, 5)' if factor else 'NULL'}::DOUBLE AS wind_vector" if wind else ""
+    return f"SELECT '{metric}' AS metric, {', '.join(keys)}, round(a.{value}, 5) AS {U}, round(b.{value}, 5) AS {V}{vector} FROM ({sql}) a JOIN ({other}) b USING ({', '.join(keys)})"
+
+
+def _config(name: str, forecast: str, parts: list[str], keys: Sequence[str]) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        paths = config_files(spark, sf)
+        data = ev.Data(ev.Selection((U, V)), paths[forecast], paths["truth"], paths["clim"])
+        chosen = ev.named_configs((*REGIONS, _LAND), Q)[name]
+        out = ev.evaluate(spark, data, {name: chosen})[name]
+        if "init_time" in out.columns:
+            out = out.withColumn("init_time", F.col("init_time").cast("date").cast("string"))
+        values = [c for c in out.columns if c in (U, V, "wind_vector")]
+        return out.select("metric", *keys, *(F.round(F.col(c).cast("double"), 5).alias(c) for c in values))
+
+    query(f"config_{name}", " UNION ALL ".join(parts))(run)
+
+
+def _whole(sql: str) -> str:
+    """A score's SQL without rounding, so that both variables are rounded alike afterwards."""
+    return sql.replace("round((", "((").replace(")::DOUBLE, 6) + 0.0::DOUBLE", ")::DOUBLE)")
+
+
+_RK, _TK = ["region", "lead_hours"], ["region", "lead_hours", "init_time"]
+_DET_SQL = {"mse": ({"x": f"({_E}) ** 2"}, "x"), "acc": ({"ft": f"{_F} * {_T}", "ff": f"{_F} * {_F}", "tt": f"{_T} * {_T}"}, "CASE WHEN sqrt(ff * tt) <> 0 THEN ft / sqrt(ff * tt) END"), "bias": ({"x": _E}, "x"), "mae": ({"x": f"abs({_E})"}, "x")}
+
+
+def _det_parts(metrics: dict, keys: Sequence[str], frame: str = "pairs", **kw) -> list[str]:
+    factor = {"mse": "5", "rmse_sqrt_before_time_avg": "sqrt(5.0)"}
+    return [_metric_sql(m, _land_sql(_whole(score_sql(points, {"y": value}, frame=frame, **kw))), keys, "y", factor.get(m), True) for m, (points, value) in metrics.items()]
+
+
+_config("deterministic", "det", _det_parts(_DET_SQL, _RK), _RK)
+_config("deterministic_temporal", "det", _det_parts(_DET_SQL | {"rmse_sqrt_before_time_avg": ({"x": f"({_E}) ** 2"}, "sqrt(x)")}, _TK, over_time=False), _TK)
+_AP = "apairs AS (SELECT d.*, o.temperature AS temperature_t, c.temperature AS temperature_c FROM det d JOIN det o ON o.lead_hours = 0 AND d.valid_time = o.init_time AND d.latitude = o.latitude AND d.longitude = o.longitude JOIN clim c ON dayofyear(d.valid_time) = c.dayofyear AND d.latitude = c.latitude AND d.longitude = c.longitude)"
+_config("deterministic_vs_analysis", "det", _det_parts(_DET_SQL, _RK, "apairs", cte=("det", "clim"), extra=[_AP]), _RK)
+_SK = ["lead_hours", *SPACE]
+_cell_sql = lambda point, cte, keys=_SK, extra=(): with_ctes(list(cte), *extra) + f"SELECT {', '.join(keys)}, {strict_sql(f'avg({point})', f'({point})')} AS y FROM "
+_config("deterministic_spatial", "det", [_metric_sql(f"spatial_{m}", _cell_sql(p, ["pairs"]) + "pairs GROUP BY ALL", _SK, "y") for m, p in (("bias", _E), ("mse", f"({_E}) ** 2"), ("mae", f"abs({_E})"))], _SK)
+_ENS_SQL = {"crps": "crps_skill - crps_spread / 2", "crps_spread": "crps_spread", "crps_skill": "crps_skill", "ensemble_mean_mse": "(truth - mean) ** 2", "debiased_ensemble_mean_mse": "(truth - mean) ** 2 - var / n", "ensemble_variance": "var"}
+_config("probabilistic", "ens", [_metric_sql(m, _land_sql(_whole(score_sql({"x": p}, {"y": "x"}, frame="cells", cte=("cells",)))), _RK, "y") for m, p in _ENS_SQL.items()], _RK)
+_config("probabilistic_spatial", "ens", [_metric_sql(f"spatial_{m}", _cell_sql(p, ["cells"]) + "cells GROUP BY ALL", _SK, "y") for m, p in _ENS_SQL.items()], _SK)
+_energy_part = lambda m, x: _metric_sql(m, with_ctes(["epairs", "latw"], _ENERGY) + f"SELECT lead_hours, {strict_sql(f'avg({x})', x)} AS y FROM s1 JOIN s2 USING (lead_hours, init_time) GROUP BY ALL", ["lead_hours"], "y")
+_root_part = lambda m, p: _metric_sql(m, _whole(score_sql({"x": p}, {"y": "sqrt(x)"}, frame="cells", cte=("cells",), regions=False)), ["lead_hours"], "y")
+_config("ensemble_forecast_vs_era_experimental_metrics", "ens", [_energy_part("energy_score", "skill - spread / 2"), _energy_part("energy_skill", "skill"), _energy_part("energy_spread", "spread"), _root_part("ensemble_mean_rmse_sqrt_before_time_avg", "(truth - mean) ** 2"), _root_part("ensemble_stddev_sqrt_before_time_avg", "var")], ["lead_hours"])
+_BIN_SQL = {"brier": "(p - above) ** 2", "debiased_brier": "(p - above) ** 2 - p_var / n", "ignorance": "CASE WHEN above = 1 THEN CASE WHEN p_some > 0 THEN -ln(p_some) ELSE 'inf'::DOUBLE END WHEN above = 0 THEN CASE WHEN p_some < 1 THEN -ln(1 - p_some) ELSE 'inf'::DOUBLE END END"}
+_QK = ["region", "lead_hours", "quantile"]
+_over = lambda point, frame, cte, extra, keys: _land_sql(_whole(score_sql({"x": point}, {"y": "x"}, frame=frame, cte=cte, extra=extra, by=tuple(keys[1:]))))
+_config("ensemble_binary", "ens", [_metric_sql(m, _over(p, "ex", ("epairs",), [_THRESHOLDS, _EX], _QK), _QK, "y") for m, p in _BIN_SQL.items()] + [
+    _metric_sql("rps", _land_sql(_whole(score_sql({"x": "(below_some - truth_below) ** 2"}, {"y": "x"}, frame="ex", cte=("epairs",), extra=[_THRESHOLDS, _EX], by=("lead_hours", "quantile"), over_time=False))).replace("SELECT region, lead_hours, quantile, CAST(init_time", "SELECT region, lead_hours, NULL::DOUBLE AS quantile, avg(s) AS y FROM (SELECT region, lead_hours, init_time, sum(coalesce(y, 0)) AS s FROM (SELECT region, lead_hours, quantile, CAST(init_time") + ") GROUP BY ALL) GROUP BY ALL", ["region", "lead_hours"], "y").replace("'rps' AS metric, region, lead_hours,", "'rps' AS metric, region, lead_hours, NULL::DOUBLE AS quantile,")], _QK)
+_SQK = [*_SK, "quantile"]
+_config("ensemble_binary_spatial", "ens", [_metric_sql(f"spatial_{m}", _cell_sql(p, ["epairs"], _SQK, [_THRESHOLDS, _EX]) + "ex GROUP BY ALL", _SQK, "y") for m, p in _BIN_SQL.items()], _SQK)
+_HK = [*_SK, "bin"]
+_config("probabilistic_spatial_histograms", "ens", [_metric_sql("rank_histogram", with_ctes(["epairs"], _HIST.split(",\ncn AS")[0]) + "SELECT lead_hours, latitude, longitude, bin, avg((rank = bin)::INT) AS y FROM rk CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4, 5])::INTEGER AS bin) GROUP BY ALL", _HK, "y")], _HK)
+# the spread of v is twice that of u, so standardised errors agree
+_config("gaussian_probabilistic", "det", [_metric_sql("gaussian_crps", _land_sql(_whole(score_sql({"x": f"temperature_std * ({_Z} * (2 * {norm_cdf_sql(_Z)} - 1) + 2 * exp(-{_Z} * {_Z} / 2) / sqrt(2 * pi()) - 1 / sqrt(pi()))"}, {"y": "x"}))), _RK, "y"), _metric_sql("gaussian_variance", _land_sql(_whole(score_sql({"x": "temperature_std ** 2"}, {"y": "x"}))), _RK, "y")], _RK)
+_GB_SQL = {"gaussian_brier": "((1 - below) - (temperature_t > threshold)::INT) ** 2", "gaussian_ignorance": "CASE WHEN below IS NULL THEN NULL WHEN temperature_t > threshold THEN CASE WHEN 1 - below > 0 THEN -ln(1 - below) ELSE 'inf'::DOUBLE END ELSE CASE WHEN below > 0 THEN -ln(below) ELSE 'inf'::DOUBLE END END"}
+_config("gaussian_binary", "det", [_metric_sql(m, _over(p, "gt", ("pairs",), [_THRESHOLDS, _GT], _QK), _QK, "y") for m, p in _GB_SQL.items()], _QK)
+
+
 @query("extra_tropical_mask", score_sql({"mse": f"({_E}) ** 2"}, {"mse": "mse"}).replace("SELECT region, lead_hours, round", "SELECT 'extra-tropics' AS region, lead_hours, round").replace("FROM vals GROUP BY ALL", "FROM vals WHERE region = 'extra-tropics' GROUP BY ALL"))
 def _extra_tropics(spark, sf):
     rows = with_regions(with_latitude_weights(pairs(spark, sf), cubes.LATITUDES), [Region("extra-tropics", extra_tropics_from=20.0)])

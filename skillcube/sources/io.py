@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,22 @@ def write_cube(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share; on a single machine a local one will do."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='skillcube-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove what was written to a path when the driver's JVM ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def write_result(df: DataFrame, output_dir: str, name: str, prefix: str = "", fmt: str = "parquet") -> str:
     """A result cube, small by construction, under {dir}/{prefix}{name}. Formats: parquet, csv, json; array formats need a library that is absent here."""
     path = f"{output_dir.rstrip('/')}/{prefix}{name}"
@@ -54,7 +72,7 @@ def read_stations(spark: SparkSession, path: str, months: Sequence[int] | None =
 
 
 def read_array_file(spark: SparkSession, path: str, schema: str, engine: str = "xarray") -> DataFrame:
-    """A netCDF file or a Zarr store as a cube, where xarray is installed: files are opened on the executors, one per row."""
+    """netCDF files as a cube, where xarray is installed: each file is opened whole on an executor. A Zarr store is a folder of chunks and cannot be read so."""
     try:
         import xarray  # noqa: F401
     except ImportError as e:
