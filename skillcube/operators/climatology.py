@@ -18,12 +18,15 @@ from skillcube.operators.select import ordinals
 RING = 366
 
 
+def _offsets(size: int) -> Column:
+    """Structs of a day's distance o and its weight ww, over the window's days of positive weight."""
+    half = size // 2
+    return F.array(*(F.struct(F.lit(o - half).alias("o"), F.lit(float(x)).alias("ww")) for o, x in enumerate(window_weights(size)) if x > 0))
+
+
 def _spread(df: DataFrame, size: int) -> DataFrame:
     """A row for each day of year whose window holds the row's day, with the weight ww. Zero weights at the ends make no rows."""
-    w = window_weights(size)
-    half = size // 2
-    pairs = F.array(*(F.struct(F.lit(o - half).alias("o"), F.lit(float(x)).alias("ww")) for o, x in enumerate(w) if x > 0))
-    rows = df.withColumn("__w", F.explode(pairs))
+    rows = df.withColumn("__w", F.explode(_offsets(size)))
     return rows.withColumns({"dayofyear": F.pmod(F.col("dayofyear") - F.col("__w.o") - 1, F.lit(RING)) + 1, "ww": F.col("__w.ww")}).drop("__w")
 
 
@@ -39,18 +42,31 @@ def by_year_and_day(df: DataFrame, value: str, space: Sequence[str], hourly: boo
 
 
 def explicit(df: DataFrame, value: str, space: Sequence[str], statistics: Sequence[str] = ("mean",), window: int = 61, hourly: bool = False, time: str = "time") -> DataFrame:
-    """Weighted mean and population std over window and years, missing values skipped: columns value and value_std."""
-    rows = _spread(by_year_and_day(df, value, space, hourly, time), window).where(F.col(value).isNotNull())
-    x, w = F.col(value), F.col("ww")
-    keys = ["dayofyear", *(["hour"] if hourly else []), *space]
-    mean = F.sum(w * x) / F.sum(w)
-    if "std" not in statistics:
-        return rows.groupBy(*keys).agg(mean.alias(value))
-    # shifted by the cell's plain mean, so squares keep their precision
-    centre = Window.partitionBy(*keys)
-    rows = rows.withColumn("__m", F.sum(w * x).over(centre) / F.sum(w).over(centre))
-    std = F.sqrt(F.sum(w * (x - F.col("__m")) ** 2) / F.sum(w))
-    return rows.groupBy(*keys).agg(*([mean.alias(value)] if "mean" in statistics else []), std.alias(f"{value}_std"))
+    """Weighted mean and population std over window and years, missing values skipped: columns value and value_std.
+
+    Years are reduced first, to count, mean and sum of squares of each day; a line of 366 such days is one row, in which each day merges its neighbours.
+    """
+    line, x, zero = [*(["hour"] if hourly else []), *space], F.col(value), F.lit(0.0)
+    days = by_year_and_day(df, value, space, hourly, time).groupBy("dayofyear", *line)
+    days = days.agg(F.count(x).cast("double").alias("n"), F.avg(x).alias("m"), F.coalesce(F.var_pop(x) * F.count(x), zero).alias("q"))
+    lines = days.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("dayofyear", "n", "m", "q"))).alias("__days"), F.avg("m").alias("__m"))
+
+    def merged(day: Column) -> Column:
+        # sums of differences from the day's own mean, so squares keep their precision
+        centre = F.coalesce(F.get("__days", day - 1)["m"], F.col("__m"))
+
+        def add(s: Column, o: Column) -> Column:
+            d = F.get("__days", F.pmod(day + o["o"] - 1, F.lit(RING)))
+            k, off = o["ww"] * d["n"], F.coalesce(d["m"] - centre, zero)
+            return F.struct((s["k"] + k).alias("k"), (s["x"] + k * off).alias("x"), (s["xx"] + o["ww"] * d["q"] + k * off * off).alias("xx"))
+
+        sums = F.aggregate(_offsets(window), F.struct(zero.alias("k"), zero.alias("x"), zero.alias("xx")), add)
+        return F.struct(day.alias("dayofyear"), centre.alias("__c"), sums.alias("__s"))
+
+    rows = lines.select(*line, F.inline(F.transform(F.sequence(F.lit(1), F.lit(RING)), merged))).where("__s.k > 0")
+    off = F.col("__s.x") / F.col("__s.k")
+    std = F.sqrt(F.greatest(F.col("__s.xx") / F.col("__s.k") - off * off, zero))
+    return rows.select("dayofyear", *line, *([(F.col("__c") + off).alias(value)] if "mean" in statistics else []), *([std.alias(f"{value}_std")] if "std" in statistics else []))
 
 
 def custom(df: DataFrame, value: str, space: Sequence[str], statistic, window: int = 61, hourly: bool = False, time: str = "time") -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from skillcube.functions.numeric import fdiv, gradient, panel, strict
 
@@ -19,6 +20,9 @@ EARTH_RADIUS = 1000 * (6357 + 6378) / 2
 OMEGA, GRAVITY = 7.292e-5, 9.81
 M_PER_DEGREE = EARTH_RADIUS * math.pi / 180
 
+#: Zonal lines that one call of the transform takes.
+LINES_AT_ONCE = 512
+
 
 def wind_speed(u: str = "u", v: str = "v") -> Column:
     return F.sqrt(F.col(u) ** 2 + F.col(v) ** 2)
@@ -147,23 +151,42 @@ def aggregate_accumulation(df: DataFrame, short: str, cell: Sequence[str], k: in
     return df.withColumn(name, F.when(F.count(short).over(run) == k, F.sum(short).over(run)))
 
 
+def _powers(n: int):
+    """Arrow batches of lines (the last column) to batches with |rfft|**2 / n**2 in its place; a line with a missing value has missing powers."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        waves = n // 2 + 1
+        for batch in batches:
+            for start in range(0, batch.num_rows, LINES_AT_ONCE):
+                part = batch.slice(start, LINES_AT_ONCE)
+                lines, count = part.columns[-1], part.num_rows
+                sizes = np.diff(lines.offsets.to_numpy())
+                row = np.repeat(np.arange(count), sizes)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                values = np.bincount(row * n + at % n, lines.flatten().to_numpy(zero_copy_only=False), count * n).reshape(count, n)
+                power = np.abs(np.fft.rfft(values, norm="forward")) ** 2
+                ends = pa.array(np.arange(count + 1, dtype=np.int32) * waves)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(power.ravel(), from_pandas=True))], [*part.schema.names[:-1], "__power"])
+
+    return run
+
+
 def zonal_energy_spectrum(df: DataFrame, value: str, by: Sequence[str], n_longitudes: int) -> DataFrame:
-    """wavenumber, frequency, wavelength and energy of a zonal line per key (latitude among them) by an exact discrete transform.
+    """wavenumber, frequency, wavelength and energy of a zonal line per key (latitude among them) by a fast Fourier transform.
 
-    Every value meets the n/2 + 1 wavenumbers as generated rows; sums are partial per task, so a line is never gathered. All wavenumbers but
-    0 count twice, the highest included.
+    A line is an array of n_longitudes values in one row, many lines are transformed at once, and only its n/2 + 1 energies are rows. All wavenumbers
+    but 0 count twice, the highest included. A line with a missing value has missing energies.
     """
-    line = F.row_number().over(Window.partitionBy(*by).orderBy("longitude")) - 1
-    rows = df.select(*by, "longitude", value).withColumn("__j", line)
-    waves = rows.withColumn("wavenumber", F.explode(F.sequence(F.lit(0), F.lit(n_longitudes // 2))))
-    # the angle is reduced to one turn in integers, so large products keep their precision
-    angle = ((F.col("__j") * F.col("wavenumber")) % n_longitudes) * (2 * math.pi / n_longitudes)
-    x = F.col(value)
-    sums = waves.groupBy(*by, "wavenumber").agg(strict(F.sum(x * F.cos(angle)), x).alias("re"), strict(F.sum(x * F.sin(angle)), x).alias("im"))
+    points = F.array_sort(F.collect_list(F.struct("longitude", F.col(value).cast("double").alias("v"))))
+    lines = df.groupBy(*by).agg(F.transform(points, lambda p: F.coalesce(p["v"], F.lit(float("nan")))).alias("__line"))
+    schema = StructType([*(lines.schema[c] for c in by), StructField("__power", ArrayType(DoubleType()))])
+    powers = lines.mapInArrow(_powers(n_longitudes), schema).select(*by, F.posexplode("__power").alias("wavenumber", "__p"))
     circle = F.cos(F.radians("latitude")) * (2 * math.pi * EARTH_RADIUS)
-    power = (F.col("re") ** 2 + F.col("im") ** 2) / float(n_longitudes) ** 2
-    energy = F.when(F.col("wavenumber") == 0, power).otherwise(2 * power) * circle
-    return sums.select(*by, "wavenumber", fdiv(F.col("wavenumber"), circle).alias("frequency"), fdiv(circle, F.col("wavenumber")).alias("wavelength"), energy.alias("energy"))
+    energy = F.when(F.col("wavenumber") == 0, F.col("__p")).otherwise(2 * F.col("__p")) * circle
+    return powers.select(*by, "wavenumber", fdiv(F.col("wavenumber"), circle).alias("frequency"), fdiv(circle, F.col("wavenumber")).alias("wavelength"), energy.alias("energy"))
 
 
 def interpolate_spectrum(spectrum: DataFrame, by: Sequence[str], frequencies: Sequence[float]) -> DataFrame:

@@ -53,15 +53,16 @@ def _pairs(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 def nearest_pairs(source: Grid, target: Grid) -> list[tuple[float, float, float, float]]:
     """(lat, lon, source lat, source lon) of the nearest source point by great-circle distance; ties to the first in order of latitude, longitude."""
-    slat, slon = np.meshgrid(np.radians(source.latitudes), np.radians(source.longitudes), indexing="ij")
-    slat, slon = slat.ravel(), slon.ravel()
+    lats, lons = np.radians(np.asarray(source.latitudes, float)), np.radians(np.asarray(source.longitudes, float))
+    across = np.sin((lons[:, None] - np.radians(np.asarray(target.longitudes, float))) / 2) ** 2
     out = []
     for lat in target.latitudes:
-        for lon in target.longitudes:
-            a, b = np.radians(lat), np.radians(lon)
-            hav = np.sin((slat - a) / 2) ** 2 + np.cos(a) * np.cos(slat) * np.sin((slon - b) / 2) ** 2
-            k = int(np.argmin(np.round(hav, 12)))
-            out.append((float(lat), float(lon), float(source.latitudes[k // len(source.longitudes)]), float(source.longitudes[k % len(source.longitudes)])))
+        a = np.radians(lat)
+        up, scale = np.sin((lats - a) / 2) ** 2, np.cos(a) * np.cos(lats)
+        # on a rectilinear grid the nearest row is found with each target's smallest distance along the row, then the place in that row
+        row = np.argmin(np.round(up[:, None] + scale[:, None] * across.min(axis=0), 12), axis=0)
+        place = np.argmin(np.round(up[row] + scale[row] * across, 12), axis=0)
+        out += [(float(lat), float(lon), float(source.latitudes[i]), float(source.longitudes[j])) for lon, i, j in zip(target.longitudes, row, place, strict=True)]
     return out
 
 

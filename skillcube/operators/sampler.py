@@ -11,6 +11,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skillcube.operators.align import sampled
 
@@ -94,9 +95,10 @@ class Sampler:
 
     def mapping(self, spark: SparkSession, times: Sequence[datetime], lead_hours: Sequence[int]) -> DataFrame:
         """time, member, lead_hours, source_time: the source plus the lead time for every cell of the sampled forecast."""
-        sources = self.source_times(times)
-        rows = [(t, m, int(h), s + timedelta(hours=int(h))) for t, ss in zip(times, sources, strict=True) for m, s in enumerate(ss) for h in lead_hours]
-        return spark.createDataFrame(rows, "time timestamp_ntz, member int, lead_hours long, source_time timestamp_ntz")
+        rows = [(t, m, s) for t, ss in zip(times, self.source_times(times), strict=True) for m, s in enumerate(ss)]
+        drawn = spark.createDataFrame(rows, "time timestamp_ntz, member int, base timestamp_ntz")
+        leads = drawn.withColumn("lead_hours", F.explode(F.array(*(F.lit(int(h)).cast("long") for h in lead_hours))))
+        return leads.select("time", "member", "lead_hours", (F.col("base") + F.make_dt_interval(hours=F.col("lead_hours").cast("int"))).alias("source_time"))
 
 
 def sampled_forecast(observations: DataFrame, sampler: Sampler, times: Sequence[datetime], lead_hours: Sequence[int]) -> DataFrame:

@@ -6,7 +6,7 @@ Doubles are rounded to six places on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -375,29 +375,29 @@ _derived("ivt", "sqrt(a * a + b * b) / 9.81", lambda d: derived.integrated_water
 _SVP = "(6.112 * exp(17.67 * (temperature - 273.15) / (temperature - 29.65)))"
 _derived("relative_humidity", f"(specific_humidity / (1 - specific_humidity)) / (0.622 * {_SVP} / (level - {_SVP}))", lambda d: d.withColumn("relative_humidity", derived.relative_humidity()), 1.0, (), "col")
 
-_ACC = "tp AS (SELECT latitude, (dense_rank() OVER (ORDER BY longitude) - 1) * 6 AS lead_hours, sum(u + 25) OVER (PARTITION BY latitude ORDER BY longitude) AS tp FROM col WHERE level = 500), dd AS (SELECT *, tp - lag(tp) OVER o AS d FROM tp WINDOW o AS (PARTITION BY latitude ORDER BY lead_hours)), a12 AS (SELECT latitude, lead_hours, CASE WHEN count(d) OVER o = 2 THEN greatest(sum(d) OVER o, 0) END AS a FROM dd WINDOW o AS (PARTITION BY latitude ORDER BY lead_hours ROWS BETWEEN 1 PRECEDING AND CURRENT ROW))"
+_ACC = "tp AS (SELECT level, latitude, (dense_rank() OVER (ORDER BY longitude) - 1) * 6 AS lead_hours, sum(u + 25) OVER (PARTITION BY level, latitude ORDER BY longitude) AS tp FROM col), dd AS (SELECT *, tp - lag(tp) OVER o AS d FROM tp WINDOW o AS (PARTITION BY level, latitude ORDER BY lead_hours)), a12 AS (SELECT level, latitude, lead_hours, CASE WHEN count(d) OVER o = 2 THEN greatest(sum(d) OVER o, 0) END AS a FROM dd WINDOW o AS (PARTITION BY level, latitude ORDER BY lead_hours ROWS BETWEEN 1 PRECEDING AND CURRENT ROW))"
 
 
 def running_total(spark: SparkSession, sf: str) -> DataFrame:
-    """latitude, lead_hours, tp: a growing total along six-hourly lead times."""
+    """level, latitude, lead_hours, tp: a growing total along six-hourly lead times."""
     from pyspark.sql import Window
 
-    c = cubes.column(spark, sf).where("level = 500")
-    total = F.sum(F.col("u") + 25).over(Window.partitionBy("latitude").orderBy("longitude"))
-    return c.select("latitude", (F.col("longitude") / 45 * 6).cast("long").alias("lead_hours"), total.alias("tp"))
+    c = cubes.column(spark, sf)
+    total = F.sum(F.col("u") + 25).over(Window.partitionBy("level", "latitude").orderBy("longitude"))
+    return c.select("level", "latitude", (F.col("longitude") / 45 * 6).cast("long").alias("lead_hours"), total.alias("tp"))
 
 
-@query("precip_accum", with_ctes(["col"], _ACC) + f"SELECT latitude, lead_hours::BIGINT AS lead_hours, {r6('a', 'tp_12hr')} FROM a12")
+@query("precip_accum", with_ctes(["col"], _ACC) + f"SELECT level, latitude, lead_hours::BIGINT AS lead_hours, {r6('a', 'tp_12hr')} FROM a12")
 def _precip_accum(spark, sf):
-    out = derived.precipitation_accumulation(running_total(spark, sf), "tp", ["latitude", "lead_hours"], 12)
-    return rounded(out.select("latitude", "lead_hours", "tp_12hr"), "tp_12hr")
+    out = derived.precipitation_accumulation(running_total(spark, sf), "tp", ["level", "latitude", "lead_hours"], 12)
+    return rounded(out.select("level", "latitude", "lead_hours", "tp_12hr"), "tp_12hr")
 
 
-@query("precip_accum_agg", with_ctes(["col"], _ACC) + f"SELECT latitude, lead_hours::BIGINT AS lead_hours, {r6('CASE WHEN count(a) OVER o = 2 THEN sum(a) OVER o END', 'tp_long')} FROM a12 WINDOW o AS (PARTITION BY latitude ORDER BY lead_hours ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)")
+@query("precip_accum_agg", with_ctes(["col"], _ACC) + f"SELECT level, latitude, lead_hours::BIGINT AS lead_hours, {r6('CASE WHEN count(a) OVER o = 2 THEN sum(a) OVER o END', 'tp_long')} FROM a12 WINDOW o AS (PARTITION BY level, latitude ORDER BY lead_hours ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)")
 def _precip_agg(spark, sf):
-    short = derived.precipitation_accumulation(running_total(spark, sf), "tp", ["latitude", "lead_hours"], 12)
-    out = derived.aggregate_accumulation(short, "tp_12hr", ["latitude", "lead_hours"], 2, "tp_long")
-    return rounded(out.select("latitude", "lead_hours", "tp_long"), "tp_long")
+    short = derived.precipitation_accumulation(running_total(spark, sf), "tp", ["level", "latitude", "lead_hours"], 12)
+    out = derived.aggregate_accumulation(short, "tp_12hr", ["level", "latitude", "lead_hours"], 2, "tp_long")
+    return rounded(out.select("level", "latitude", "lead_hours", "tp_long"), "tp_long")
 
 
 _CIRCLE = f"(cos(radians(latitude)) * {2 * 3.141592653589793 * derived.EARTH_RADIUS!r})"
@@ -518,38 +518,51 @@ def _clim_expand(spark, sf):
     return rounded(out.select(F.to_date("time").cast("string").alias("time"), *SPACE, "temperature"), "temperature")
 
 
-@query("prob_climatology", with_ctes(["ser"]) + f"SELECT CAST(t.time AS VARCHAR) AS time, s.latitude, (year(s.time) - 1995)::INTEGER AS number, {r6('1e4 * s.precip', 'precip')} FROM (SELECT DISTINCT time, latitude FROM ser WHERE year(time) = 1999) t JOIN ser s ON dayofyear(t.time) = dayofyear(s.time) AND t.latitude = s.latitude")
+@query("prob_climatology", with_ctes(["ser"]) + f"SELECT CAST(t.time AS VARCHAR) AS time, s.latitude, (year(s.time) - 1995)::INTEGER AS number, {r6('1e4 * s.precip', 'precip')} FROM (SELECT DISTINCT time, latitude FROM ser) t JOIN ser s ON dayofyear(t.time) = dayofyear(s.time) AND t.latitude = s.latitude")
 def _prob_climatology(spark, sf):
     ser = cubes.series(spark, sf)
-    cells = ser.where("year(time) = 1999").select("time", "latitude")
-    out = align.probabilistic_climatology_forecast(cells, align.stack_years(ser, 1995), ["latitude"], "time")
+    out = align.probabilistic_climatology_forecast(ser.select("time", "latitude").distinct(), align.stack_years(ser, 1995), ["latitude"], "time")
     return rounded(out.select(F.to_date("time").cast("string").alias("time"), "latitude", F.col("number").cast("int").alias("number"), (F.col("precip") * 1e4).alias("precip")), "precip")
 
 
-@query("prob_climatology_all", with_ctes(["ser"]) + f"SELECT CAST(t.time AS VARCHAR) AS time, s.latitude, (year(s.time) - 1995)::INTEGER AS number, {r6('1e4 * s.precip', 'precip')} FROM (SELECT DISTINCT time, latitude FROM ser) t JOIN ser s ON dayofyear(t.time) = dayofyear(s.time) AND t.latitude = s.latitude")
-def _prob_climatology_all(spark, sf):
-    """prob_climatology for every target time of the series."""
+_SAMPLER = sampler.Sampler(1996, 1999, window=7, members=4, edge=sampler.WRAP_YEAR, seed=3)
+_SAMPLE_TIMES = [datetime(2000, 1, 1) + timedelta(days=d) for d in range(366)]
+_DAILY = """dl AS (SELECT t.time, a.latitude, coalesce(ser.precip, 0) AS precip FROM (SELECT unnest(generate_series((SELECT min(time) FROM ser)::TIMESTAMP, (SELECT max(time) FROM ser)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS time) t
+  CROSS JOIN (SELECT unnest([-45.0, 45.0])::DOUBLE AS latitude) a LEFT JOIN ser ON ser.time = t.time AND ser.latitude = a.latitude)"""
+_FROM_SOURCES = f"SELECT CAST(m.time AS VARCHAR) AS time, m.member::INTEGER AS member, latitude, {r6('1e4 * precip', 'precip')} FROM mp m JOIN dl ON m.source = dl.time"
+
+
+def without_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily series with 0 on days without orders."""
     ser = cubes.series(spark, sf)
-    out = align.probabilistic_climatology_forecast(ser.select("time", "latitude").distinct(), align.stack_years(ser, 1995), ["latitude"], "time")
-    return rounded(out.select(F.to_date("time").cast("string").alias("time"), "latitude", F.col("number").cast("int").alias("number"), (F.col("precip") * 1e4).alias("precip")), "precip")
+    days = ser.agg(F.min("time").alias("a"), F.max("time").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 DAY"))).alias("time"))
+    return days.withColumn("latitude", F.explode(F.array(F.lit(-45.0), F.lit(45.0)))).join(ser, ["time", "latitude"], "left").fillna(0.0, ["precip"])
 
 
-_SAMPLER = sampler.Sampler(1996, 1999, window=7, members=4, edge=sampler.WRAP_YEAR, seed=3)
-_SAMPLE_TIMES = [datetime(2000, m, 15) for m in (3, 5, 7)]
+def _sampled_rows(spark: SparkSession, sf: str, by: sampler.Sampler) -> DataFrame:
+    out = sampler.sampled_forecast(without_gaps(spark, sf), by, _SAMPLE_TIMES, [0])
+    return rounded(out.select(F.to_date("time").cast("string").alias("time"), "member", "latitude", (F.col("precip") * 1e4).alias("precip")), "precip")
 
 
 def _sampler_sql() -> str:
     rows = [(t, m, s) for t, ss in zip(_SAMPLE_TIMES, _SAMPLER.source_times(_SAMPLE_TIMES), strict=True) for m, s in enumerate(ss)]
     values = ", ".join(f"(DATE '{t:%Y-%m-%d}', {m}, DATE '{s:%Y-%m-%d}')" for t, m, s in rows)
-    return with_ctes(["ser"], f"mp(time, member, source) AS (VALUES {values})") + f"SELECT CAST(m.time AS VARCHAR) AS time, m.member::INTEGER AS member, latitude, {r6('1e4 * precip', 'precip')} FROM mp m JOIN ser ON m.source = ser.time"
+    return with_ctes(["ser"], f"mp(time, member, source) AS (VALUES {values})", _DAILY) + _FROM_SOURCES
 
 
 @query("sampled_climatology", _sampler_sql())
 def _sampled(spark, sf):
-    mapping = _SAMPLER.mapping(spark, _SAMPLE_TIMES, [0])
-    ser = cubes.series(spark, sf).withColumnRenamed("time", "source_time")
-    out = mapping.join(ser, "source_time")  # days without data stay out here; align.sampled would raise
-    return rounded(out.select(F.to_date("time").cast("string").alias("time"), "member", "latitude", (F.col("precip") * 1e4).alias("precip")), "precip")
+    return _sampled_rows(spark, sf, _SAMPLER)
+
+
+_COMBINATIONS = """mp AS (SELECT t.time, (y - 1996) * 7 + o + 3 AS member, (make_date(y, 1, 1) + ((dayofyear(t.time) + o - 1 + dayofyear(make_date(y, 12, 31))) % dayofyear(make_date(y, 12, 31)))::INTEGER) AS source
+  FROM (SELECT unnest(generate_series(TIMESTAMP '2000-01-01', TIMESTAMP '2000-12-31', INTERVAL 1 DAY))::DATE AS time) t CROSS JOIN (SELECT unnest(range(1996, 2000)) AS y) CROSS JOIN (SELECT unnest(range(-3, 4)) AS o))"""
+
+
+@query("sampled_combinations", with_ctes(["ser"], _COMBINATIONS, _DAILY) + _FROM_SOURCES)
+def _combinations(spark, sf):
+    """Every pair of a year and a day of the window as a member."""
+    return _sampled_rows(spark, sf, sampler.Sampler(1996, 1999, window=7, replace=False, edge=sampler.WRAP_YEAR))
 
 
 # ---- averages, quantiles, resampling, selection
@@ -560,10 +573,9 @@ def _averages(spark, sf):
     return rounded(reduce.averages(cubes.obs(spark, sf), ["temperature"], ["time", "latitude"], ["time", *SPACE]), "temperature")
 
 
-@query("ensemble_mean", with_ctes(["ens"]) + f"SELECT CAST(init_time AS VARCHAR) AS init_time, latitude, longitude, {r6('avg(temperature)', 'temperature')} FROM ens WHERE lead_hours = 0 GROUP BY ALL")
+@query("ensemble_mean", with_ctes(["ens"]) + f"SELECT CAST(init_time AS VARCHAR) AS init_time, lead_hours, latitude, longitude, {r6('avg(temperature)', 'temperature')} FROM ens GROUP BY ALL")
 def _ensemble_mean(spark, sf):
-    e = cubes.ens(spark, sf).where("lead_hours = 0")
-    out = reduce.ensemble_mean(e, ["temperature"], ["init_time", "member", *SPACE], skipna=True)
+    out = reduce.ensemble_mean(cubes.ens(spark, sf), ["temperature"], ["init_time", "lead_hours", "member", *SPACE], skipna=True)
     return rounded(out.withColumn("init_time", F.to_date("init_time").cast("string")), "temperature")
 
 

@@ -31,7 +31,7 @@ def test_query_equals_sql(spark, sf, sql, name):
 
 
 def test_probabilistic_climatology_has_all_target_times(spark, sf):
-    out = catalog.QUERIES["prob_climatology_all"](spark, sf)
+    out = catalog.QUERIES["prob_climatology"](spark, sf)
     ser = catalog.cubes.series(spark, sf)
     assert out.select("time", "latitude").distinct().count() == ser.select("time", "latitude").distinct().count()
     assert out.selectExpr("left(time, 4) AS y").distinct().count() == ser.selectExpr("year(time) AS y").distinct().count() > 1
