@@ -7,13 +7,14 @@ import ctypes
 import gc
 import hashlib
 import os
+import string
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +23,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Texts of these characters have no capitals but A-Z.
+NO_OTHER_CAPITALS = r"^[\x00-\x7F\xA0-\xBF\xD7\xDF-\xFF]*+$"
+
+
+def lower_ascii(text: Column) -> Column:
+    """A text with A-Z, and nothing else, lower-cased; null is empty. Where a text has no other capitals, the quicker lower() says the same."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.rlike(NO_OTHER_CAPITALS), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local folder serves, on a single machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -62,4 +62,49 @@ r AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT l.b, r.root FROM r JOIN
 SELECT doc_id, len(any_value(sh))::BIGINT AS n_shingles, min(root) AS component_id FROM s JOIN r USING (doc_id) GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op4_warc": WARC, "op5_topk": TOPK, "op6_decontam": DECONTAM, "op10_jaccard_join": JACCARD, "proximity_matches": PROXIMITY}
+EXACT = f"""
+WITH d AS (SELECT doc_id, {_LOW} AS low FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(low) AS text_sha256 FROM d WINDOW w AS (PARTITION BY low)
+"""
+
+# Every order is applied to every document: the first filter of the order that it fails removes it.
+AUDIT = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * len(regexp_replace(x, '[^A-Z]+', '', 'g')) > 5 * len(x) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN coalesce(doc_id > min(doc_id) OVER (PARTITION BY x), false) THEN 'E' ELSE '' END AS fails FROM w LEFT JOIN l USING (doc_id)),
+s AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+o AS (SELECT a.k || b.k || c.k || d.k || e.k AS ord FROM s a JOIN s b ON b.k <> a.k JOIN s c ON c.k NOT IN (a.k, b.k) JOIN s d ON d.k NOT IN (a.k, b.k, c.k) JOIN s e ON e.k NOT IN (a.k, b.k, c.k, d.k)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+r AS (SELECT part, ord, n, good, toxic, fails, CASE WHEN fails = '' THEN 6 ELSE list_min(list_transform(range(1, len(fails) + 1), lambda i: instr(ord, fails[i]))) END AS gone FROM c CROSS JOIN o),
+p AS (SELECT part, ord, step, substr(ord, step, 1) AS k, sum(CASE WHEN gone > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone = step THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN gone < step AND contains(fails, substr(ord, step, 1)) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = substr(ord, step, 1) THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN gone = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN gone = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM r CROSS JOIN (SELECT unnest(range(1, 6)) AS step) GROUP BY part, ord, step)
+SELECT part, ord AS filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley FROM p
+"""
+
+# Every term of every pair is looked at.
+SOURCES = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOW}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+v AS (SELECT lang, term, count(*)::HUGEINT AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+k AS (SELECT g.lang, g.source, v.term, lang_n, coalesce(n, 0)::HUGEINT AS n FROM g JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+p AS (SELECT lang, source, term, n, 1 + 1000000000 * (n + 1) // (sum(n) OVER w + count(*) OVER w)::HUGEINT AS p, 1 + 1000000000 * (lang_n + 1) // (sum(lang_n) OVER w + count(*) OVER w)::HUGEINT AS q FROM k WINDOW w AS (PARTITION BY lang, source)),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::HUGEINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pa AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+te AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+u AS (SELECT 'pair' AS part, * FROM pa UNION ALL SELECT 'term', * FROM te),
+r AS (SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY part, lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM u)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLE_SQL = {
+    "op4_warc": WARC, "op5_topk": TOPK, "op6_decontam": DECONTAM, "op10_jaccard_join": JACCARD, "op11_exact_dedup": EXACT, "op12_filter_audit": AUDIT, "op13_source_audit": SOURCES, "proximity_matches": PROXIMITY,
+}

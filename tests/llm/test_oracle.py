@@ -9,7 +9,7 @@ from skillcube.llm.queries import ORACLE_SQL, QUERIES
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "embeddings"):
+    for t in ("documents", "pages", "benchmark", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = QUERIES[name](spark, sf)
     answer = con.execute(ORACLE_SQL[name])
