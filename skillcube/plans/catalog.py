@@ -6,6 +6,7 @@ Doubles are rounded to six places on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from skillcube.functions.weights import window_weights, with_latitude_weights
 from skillcube.operators import align, climatology, derived, reduce, regrid, sampler, scores, select, windows
 from skillcube.operators.regions import BOXES, Region, named, with_regions
 from skillcube.plans import evaluate as ev
-from skillcube.sources import cubes, io, mock
+from skillcube.sources import cubes, io, mock, zarr
 from skillcube.sources.cubes import with_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -813,6 +814,40 @@ _GB_SQL = {"gaussian_brier": "((1 - below) - (temperature_t > threshold)::INT) *
 _config("gaussian_binary", "det", [_metric_sql(m, _over(p, "gt", ("pairs",), [_THRESHOLDS, _GT], _QK), _QK, "y") for m, p in _GB_SQL.items()], _QK)
 
 
+# ---- the same through Zarr stores
+
+#: A day's cells in two chunks of latitude.
+_CHUNKS = {"time": 16, "latitude": 2}
+
+
+def store(spark: SparkSession, name: str, df: DataFrame, chunks: dict[str, int]) -> str:
+    path = io.scratch(spark, name) + ".zarr"
+    io.write_cube(df, path, chunks=chunks)
+    io.remove_at_exit(spark, path)
+    return path
+
+
+@query("zarr_scan", with_ctes(["obs"]) + f"SELECT CAST(time AS VARCHAR) AS time, latitude, longitude, {r6('temperature', 'temperature')} FROM obs WHERE latitude > 0 AND longitude IN (0, 240) AND time >= (SELECT min(time) + 10 FROM obs)")
+def _zarr_scan(spark, sf):
+    cube = cubes.obs(spark, sf)
+    path = store(spark, "obs", cube, _CHUNKS)
+    first = cube.agg(F.min("time")).first()[0]
+    out = io.read_cube(spark, path, ["temperature"]).where((F.col("latitude") > 0) & F.col("longitude").isin(0.0, 240.0) & (F.col("time") >= F.lit(first + timedelta(days=10))))
+    return rounded(out.select(F.to_date("time").cast("string").alias("time"), *SPACE, "temperature"), "temperature")
+
+
+@query("zarr_evaluate", ORACLE_SQL["config_deterministic_spatial"])
+def _zarr_evaluate(spark, sf):
+    """Forecast and truth are stores, and so is the result, which is read again."""
+    paths = config_files(spark, sf)
+    at = {k: store(spark, k, spark.read.parquet(paths[k]).drop("land_sea_mask", f"{U}_std", f"{V}_std"), _CHUNKS) for k in ("det", "truth")}
+    data = ev.Data(ev.Selection((U, V)), at["det"], at["truth"])
+    name, out = "deterministic_spatial", io.scratch(spark, "results")
+    ev.evaluate(spark, data, {name: replace(ev.named_configs()[name], fmt="zarr")}, out)
+    io.remove_at_exit(spark, out)
+    return zarr.read_zarr(spark, f"{out}/{name}.zarr").select("metric", *_SK, *(F.round(F.nanvl(c, F.lit(None)), 5).alias(c) for c in (U, V)))
+
+
 @query("extra_tropical_mask", score_sql({"mse": f"({_E}) ** 2"}, {"mse": "mse"}).replace("SELECT region, lead_hours, round", "SELECT 'extra-tropics' AS region, lead_hours, round").replace("FROM vals GROUP BY ALL", "FROM vals WHERE region = 'extra-tropics' GROUP BY ALL"))
 def _extra_tropics(spark, sf):
     rows = with_regions(with_latitude_weights(pairs(spark, sf), cubes.LATITUDES), [Region("extra-tropics", extra_tropics_from=20.0)])

@@ -1,4 +1,4 @@
-"""Cubes in files: Parquet tables with dimension columns and one double column per variable."""
+"""Cubes in files: Parquet tables with dimension columns and one double column per variable, or Zarr stores (paths that end in .zarr)."""
 
 from __future__ import annotations
 
@@ -11,12 +11,26 @@ from pyspark.sql import functions as F
 
 from skillcube.operators import select
 from skillcube.operators.align import time_conventions
+from skillcube.sources.zarr import Cube, read_zarr, write_zarr
 
+#: Dimensions of a cube in the order in which a store has them.
+DIMS = ("time", "lead_hours", "init_time", "member", "level", "latitude", "longitude")
 
-def read_cube(spark: SparkSession, path: str, variables: Sequence[str] | None = None, dims: Sequence[str] = ("time", "lead_hours", "init_time", "member", "level", "latitude", "longitude")) -> DataFrame:
-    """A cube; only the wanted columns are read. NaN becomes missing."""
-    df = spark.read.parquet(path)
-    keys = [d for d in dims if d in df.columns]
+
+def is_zarr(path: str) -> bool:
+    return path.rstrip("/").endswith(".zarr")
+
+
+def read_cube(spark: SparkSession, path: str, variables: Sequence[str] | None = None, dims: Sequence[str] = DIMS) -> DataFrame:
+    """A cube; only the wanted columns are read, of a store only the arrays. NaN becomes missing. A store's prediction_timedelta is lead_hours."""
+    if is_zarr(path):
+        cube = Cube(path)
+        wanted = list(variables) if variables is not None else cube.variables()
+        df = read_zarr(spark, path, wanted).withColumnRenamed("prediction_timedelta", "lead_hours")
+        keys = [c for c in df.columns if c not in wanted]
+    else:
+        df = spark.read.parquet(path)
+        keys = [d for d in dims if d in df.columns]
     df = df.select(*keys, *(variables if variables is not None else [c for c in df.columns if c not in keys]))
     numbers = [f.name for f in df.schema.fields if f.name not in keys and f.dataType.typeName() in ("float", "double")]
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c).cast("double")) for c in numbers})
@@ -31,7 +45,10 @@ def open_forecast(spark: SparkSession, path: str, by_init: bool, rename: dict[st
     return time_conventions(df, by_init) if "lead_hours" in df.columns else df
 
 
-def write_cube(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "error") -> None:
+def write_cube(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "error", dims: Sequence[str] = (*DIMS, "hour", "dayofyear", "quantile"), chunks: dict[str, int] | None = None) -> None:
+    """A cube as Parquet, or as a store with chunks of so many labels (dims: which columns are dimensions)."""
+    if is_zarr(path):
+        return write_zarr(df, path, [d for d in dims if d in df.columns], chunks)
     writer = df.write.mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
@@ -53,8 +70,12 @@ def remove_at_exit(spark: SparkSession, path: str) -> None:
 
 
 def write_result(df: DataFrame, output_dir: str, name: str, prefix: str = "", fmt: str = "parquet") -> str:
-    """A result cube, small by construction, under {dir}/{prefix}{name}. Formats: parquet, csv, json; array formats need a library that is absent here."""
+    """A result cube, small by construction, under {dir}/{prefix}{name}. Formats: parquet, csv, json, zarr (metrics and regions are then labels)."""
     path = f"{output_dir.rstrip('/')}/{prefix}{name}"
+    if fmt == "zarr":
+        labels = [c for c in ("metric", "region", *DIMS, "quantile", "bin") if c in df.columns]
+        write_zarr(df, f"{path}.zarr", labels)
+        return f"{path}.zarr"
     if fmt not in ("parquet", "csv", "json"):
         raise ValueError(f"format {fmt!r}")
     writer = df.write.mode("overwrite")
