@@ -137,23 +137,30 @@ def ensemble_cells(df: DataFrame, x: str, cell: Sequence[str], keep: Sequence[st
     )
 
 
-def ensemble_cells_of(df: DataFrame, variables: Sequence[str], cell: Sequence[str], member: str = "member", skipna: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+def ensemble_cells_of(df: DataFrame, variables: Sequence[str], cell: Sequence[str], member: str = "member", skipna: bool = False, keep: Sequence[str] = (), want: Sequence[str] = ("scores",)) -> DataFrame:
     """As ensemble_cells for several variables at once: one shuffle for all. A variable's columns begin with its name and two underscores.
 
-    A cell's members are sorted inside it, so ranks need no window.
+    A cell's members are sorted inside it, so ranks need no window. want: scores (statistics of the members), members (__members, an array of
+    the members and their values by member, for energy_scores) and ranks (the truth's rank, for rank_histograms).
     """
     n = F.count(F.lit(1))
     whole = lambda agg, v: agg if skipna else strict(agg, v)
     columns = [n.alias("n")]
     for v in variables:
         x, t = F.col(v), F.col(f"{v}_t")
-        values = F.array_sort(F.collect_list(x))
-        ranked = F.aggregate(F.transform(values, lambda y, i: y * (i + 1)), F.lit(0.0), lambda a, y: a + y) / F.nullif(F.count(x), F.lit(0))
-        spread = whole(fdiv(4 * ranked - 2 * (n + 1) * F.avg(x), n - 1), x)
-        columns += [
-            n.alias(f"{v}__n"), whole(F.avg(x), x).alias(f"{v}__mean"), whole(F.var_samp(x), x).alias(f"{v}__var"), whole(F.avg(F.abs(t - x)), t - x).alias(f"{v}__crps_skill"),
-            F.when(n < 2, F.lit(0.0)).otherwise(spread).alias(f"{v}__crps_spread"), F.first(t).alias(f"{v}__truth"),
-        ]
+        columns.append(F.first(t).alias(f"{v}__truth"))
+        if "scores" in want:
+            values = F.array_sort(F.collect_list(x))
+            ranked = F.aggregate(F.transform(values, lambda y, i: y * (i + 1)), F.lit(0.0), lambda a, y: a + y) / F.nullif(F.count(x), F.lit(0))
+            spread = whole(fdiv(4 * ranked - 2 * (n + 1) * F.avg(x), n - 1), x)
+            columns += [
+                n.alias(f"{v}__n"), whole(F.avg(x), x).alias(f"{v}__mean"), whole(F.var_samp(x), x).alias(f"{v}__var"), whole(F.avg(F.abs(t - x)), t - x).alias(f"{v}__crps_skill"),
+                F.when(n < 2, F.lit(0.0)).otherwise(spread).alias(f"{v}__crps_spread"),
+            ]
+        if "ranks" in want:
+            columns.append(F.sum((x.isNotNull() & (t.isNull() | (x < t))).cast("int")).alias(f"{v}__rank"))
+    if "members" in want:
+        columns.append(F.array_sort(F.collect_list(F.struct(F.col(member).alias("member"), *variables))).alias("__members"))
     return df.groupBy(*cell).agg(*columns, *(F.first(k).alias(k) for k in keep))
 
 
@@ -198,20 +205,44 @@ def ensemble_stddev_sqrt_before_time_avg(p: str = "") -> Score:
     return Score("ensemble_stddev", ensemble_variance(p).points, F.sqrt(f"{p}p_var"))
 
 
-def energy_score(df: DataFrame, x: str, by: Sequence[str], time: str, member: str = "member", skipna: bool = False) -> DataFrame:
-    """energy_score, skill and spread per key: norms over space per member, then means over members, then over time.
+def energy_scores(cells: DataFrame, variables: Sequence[str], by: Sequence[str], time: str, skipna: bool = False) -> DataFrame:
+    """{v}__energy_score, {v}__energy_skill and {v}__energy_spread per key: norms over space per member, then means over members, then over time.
 
-    The spread takes neighbouring members (k, k + 1), whose difference is a window column of the cell.
+    cells: those of ensemble_cells_of with members and the weight w. The spread takes neighbouring members (k, k + 1); a single member has none.
     """
-    cell = [*by, time, "latitude", "longitude"]
-    after = Window.partitionBy(*cell).orderBy(member)
-    rows = df.withColumns({"__next": F.lead(x).over(after), "__more": F.lead(member).over(after).isNotNull()})
-    keys = [*by, time, member]
-    skill = spatial_mean(rows, {"s": (F.col(x) - F.col(f"{x}_t")) ** 2}, keys, skipna).groupBy(*by, time).agg(mean(F.sqrt("s"), skipna).alias("energy_skill"))
-    spread = spatial_mean(rows.where("__more"), {"s": (F.col(x) - F.col("__next")) ** 2}, keys, skipna).groupBy(*by, time).agg(mean(F.sqrt("s"), skipna).alias("energy_spread"))
-    both = skill.join(spread, [*by, time], "left").withColumn("energy_spread", F.coalesce("energy_spread", F.lit(0.0)))
-    both = both.withColumn("energy_score", F.col("energy_skill") - F.col("energy_spread") / 2)
-    return time_mean(both, ["energy_score", "energy_skill", "energy_spread"], by, skipna)
+    both = F.transform("__members", lambda m, i: F.struct(m.alias("m"), F.get("__members", i + 1).alias("next")))
+    rows = cells.select(*by, time, "w", *(f"{v}__truth" for v in variables), F.explode(both).alias("__b"))
+    more = F.col("__b.next").isNotNull()
+    points = {f"s_{v}": (F.col(f"__b.m.{v}") - F.col(f"{v}__truth")) ** 2 for v in variables} | {f"d_{v}": (F.col(f"__b.m.{v}") - F.col(f"__b.next.{v}")) ** 2 for v in variables}
+    rows = rows.select(*by, time, "w", F.col("__b.m.member").alias("__member"), more.alias("__more"), *(p.alias(k) for k, p in points.items()))
+
+    def norm(c: str) -> Column:
+        x, w = F.col(c), F.col("w")
+        value = fdiv(F.sum(w * x), F.sum(F.when(x.isNotNull(), w)))
+        there = F.count_if("__more") if c[0] == "d" else F.count(F.lit(1))
+        return F.sqrt(value if skipna else F.when(F.count(x) == there, value))
+
+    norms = rows.groupBy(*by, time, "__member").agg(*(norm(c).alias(c) for c in points), F.max("__more").alias("__more"))
+    pairs = F.count_if("__more")
+    out = []  # a spread that has no pairs, or a missing member, is 0
+    for v in variables:
+        spread = F.avg(f"d_{v}") if skipna else F.when(F.count(f"d_{v}") == pairs, F.avg(f"d_{v}"))
+        out += [mean(F.col(f"s_{v}"), skipna).alias(f"{v}__energy_skill"), F.coalesce(spread, F.lit(0.0)).alias(f"{v}__energy_spread")]
+    times = norms.groupBy(*by, time).agg(*out).withColumns({f"{v}__energy_score": F.col(f"{v}__energy_skill") - F.col(f"{v}__energy_spread") / 2 for v in variables})
+    return time_mean(times, [f"{v}__{k}" for v in variables for k in ("energy_score", "energy_skill", "energy_spread")], by, skipna)
+
+
+def energy_score(df: DataFrame, x: str, by: Sequence[str], time: str, member: str = "member", skipna: bool = False) -> DataFrame:
+    """energy_score, energy_skill and energy_spread of one variable of a weighted frame (see energy_scores)."""
+    cells = ensemble_cells_of(df, [x], [*by, time, "latitude", "longitude"], member, skipna, ["w"], ["members"])
+    return energy_scores(cells, [x], by, time, skipna).select(*by, *(F.col(f"{x}__{k}").alias(k) for k in ("energy_score", "energy_skill", "energy_spread")))
+
+
+def rank_histograms(cells: DataFrame, variables: Sequence[str], by: Sequence[str], n_members: int) -> DataFrame:
+    """bin and a column of frequencies per variable, as rank_histogram without ties broken; cells: those of ensemble_cells_of with ranks."""
+    bins = range(n_members + 1)
+    shares = cells.groupBy(*by).agg(*(F.array(*(F.avg((F.col(f"{v}__rank") == i).cast("double")) for i in bins)).alias(v) for v in variables))
+    return shares.select(*by, F.posexplode(F.arrays_zip(*variables)).alias("bin", "__f")).select(*by, "bin", *(F.col(f"__f.{v}").alias(v) for v in variables))
 
 
 def rank_histogram(df: DataFrame, x: str, cell: Sequence[str], by: Sequence[str], n_members: int, num_bins: int | None = None, break_ties_randomly: bool = False, seed: int = 0) -> DataFrame:

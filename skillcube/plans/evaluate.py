@@ -20,6 +20,7 @@ from skillcube.operators.climatology import mean_dry_fraction
 from skillcube.operators.derived import REGISTRY, base_variables
 from skillcube.operators.reduce import spatial_mean, time_mean
 from skillcube.operators.regions import Region, named, with_regions
+from skillcube.plans.shared import Shared
 from skillcube.sources.io import open_forecast, read_cube, write_result
 
 
@@ -141,9 +142,11 @@ def _long(wide: DataFrame, keys: Sequence[str], names: dict[str, tuple[str, str]
     return wide.withColumn("__m", F.explode(F.array(*rows))).select("__m.metric", *keys, *(f"__m.{v}" for v in variables))
 
 
-def evaluate_frame(df: DataFrame, config: Eval, variables: Sequence[str], time: str = "init_time", latitudes: list[float] | None = None, member: str = "member", members: int | None = None) -> DataFrame:
+def evaluate_frame(df: DataFrame, config: Eval, variables: Sequence[str], time: str = "init_time", latitudes: list[float] | None = None, member: str = "member", members: int | None = None, shared: Shared | None = None) -> DataFrame:
     """Scores of an aligned frame (see scores): all metrics of the configuration, in long form.
 
+    What several scores are made of (the frame, ensemble cells, exceedances) is computed once and kept in shared.
+
     latitudes, members: the frame's axes where they are known; otherwise they are read from it. Thresholds are the columns threshold_v, or
     threshold for all variables.
     """
@@ -158,6 +161,15 @@ def evaluate_frame(df: DataFrame, config: Eval, variables: Sequence[str], time:
     regions = list(config.regions) if config.regions else None
     by_region = [*(["region"] if regions else []), *keep]
     parts: list[DataFrame] = []
+    shared = shared or Shared(df.sparkSession)
+
+    def once(frame: DataFrame, *users: bool) -> DataFrame:
+        """The frame for as many users as are wanted."""
+        if sum(map(bool, users)) < 2:
+            return frame
+        shared.want(frame, sum(map(bool, users)))
+        return shared.get(frame)
+
     weighted = lambda frame: with_regions(with_latitude_weights(frame, latitudes), regions)
     if "quantile" in df.columns:
         df = df.withColumns({f"threshold_{v}": F.col("threshold") for v in variables if f"threshold_{v}" not in df.columns})
@@ -192,6 +204,8 @@ def evaluate_frame(df: DataFrame, config: Eval, variables: Sequence[str], time:
     if not ensemble:
         by_metric = {s.metric: s for s in config.seeps}
         seeps = lambda ms: [(m, by_metric[m].variable, scores.seeps(by_metric[m].variable, f"{by_metric[m].variable}_seeps_threshold", f"{by_metric[m].variable}_p1", dry_mm=by_metric[m].dry_mm)) for m in ms if m in by_metric]
+        loose = [m for m in local if m in by_metric or config.skipna]
+        df = once(df, any(m in METRICS or m in by_metric for m in plain), any(m in METRICS for m in local if m not in loose), loose, any(m in GAUSSIAN_BINARY for m in plain), any(m in GAUSSIAN_BINARY for m in local), "gaussian_rps" in plain)
         winds = [w for w in WIND_VECTORS if w[0] in variables and w[1] in variables]
         vectors = [(m, name, WIND_METRICS[m](u, v, name)) for m in plain if m in WIND_METRICS for u, v, name in winds]
         fused(df, [(m, v, METRICS[m](v)) for v in variables for m in plain if m in METRICS] + vectors + seeps(plain))
@@ -203,15 +217,23 @@ def evaluate_frame(df: DataFrame, config: Eval, variables: Sequence[str], time:
     else:
         cell = [time, *keep, *space]
         masks = sorted({m for r in regions or () for m in r.masks()})
-        if any(m in ENSEMBLE for m in plain + local):
-            cells = scores.ensemble_cells_of(df, variables, cell, member, config.skipna, masks)
-            fused(cells, [(m, v, ENSEMBLE[m](f"{v}__")) for v in variables for m in plain if m in ENSEMBLE])
-            per_cell(cells, [(m, v, ENSEMBLE[m](f"{v}__")) for v in variables for m in local if m in ENSEMBLE])
-        for v in variables if any(m in ENERGY for m in plain) else ():
-            out = scores.energy_score(weighted(df), v, by_region, time, member, config.skipna)
-            parts.append(_long(out, by_region, {c: (c, v) for c in ENERGY if c in plain or "energy_score" in plain}))
+        energy, ranks = [m for m in plain if m in ENERGY], "rank_histogram" in plain
+        want = [k for k, yes in (("scores", any(m in ENSEMBLE for m in plain + local)), ("members", energy), ("ranks", ranks)) if yes]
+        if want:
+            cells = scores.ensemble_cells_of(df, variables, cell, member, config.skipna, masks, want)
+            cells = once(cells, any(m in ENSEMBLE for m in plain), any(m in ENSEMBLE for m in local), energy, ranks)
+        fused(cells, [(m, v, ENSEMBLE[m](f"{v}__")) for v in variables for m in plain if m in ENSEMBLE]) if "scores" in want else None
+        per_cell(cells, [(m, v, ENSEMBLE[m](f"{v}__")) for v in variables for m in local if m in ENSEMBLE]) if "scores" in want else None
+        if energy:
+            out = scores.energy_scores(weighted(cells), variables, by_region, time, config.skipna)
+            parts.append(_long(out, by_region, {f"{v}__{c}": (c, v) for v in variables for c in ENERGY if c in plain or "energy_score" in plain}))
+        if ranks:
+            keys = [*keep, *space]
+            h = scores.rank_histograms(cells, variables, keys, members or df.select(member).distinct().count())
+            parts.append(_long(h, [*keys, "bin"], {v: ("rank_histogram", v) for v in variables}))
         if any(m in BINARY or m == "rps" for m in plain + local):
             over = scores.exceedance_cells_of(df, variables, [*cell, "quantile"], masks)
+            over = once(over, any(m in BINARY for m in plain), any(m in BINARY for m in local), "rps" in plain, "rps" in local)
             fused(over, [(m, v, BINARY[m](f"{v}__")) for v in variables for m in plain if m in BINARY], ["quantile"])
             per_cell(over, [(m, v, BINARY[m](f"{v}__")) for v in variables for m in local if m in BINARY], ["quantile"])
             if "rps" in plain:
@@ -220,12 +242,6 @@ def evaluate_frame(df: DataFrame, config: Eval, variables: Sequence[str], time:
                 keys, names = [*keep, *space], {f"__p{i}": ("spatial_rps", v) for i, v in enumerate(variables)}
                 means = scores.spatial(over, {c: scores.rps_points(f"{v}__") for c, (_, v) in names.items()}, [*keys, "quantile"], config.skipna)
                 parts.append(_long(means.groupBy(*keys).agg(*(F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in names)), keys, names))
-        if "rank_histogram" in plain:
-            n = members or df.select(member).distinct().count()
-            keys = [*keep, *space]
-            for v in variables:
-                h = scores.rank_histogram(df, v, cell, keys, n)
-                parts.append(_long(h, [*keys, "bin"], {"frequency": ("rank_histogram", v)}))
     # one row per metric and key: variables that were scored apart come together again
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     known = {v for part in parts for v in part.columns} - {"metric", "region", "lead_hours", "level", "quantile", "bin", time, *space}
@@ -312,15 +328,25 @@ def prepare(spark: SparkSession, data: Data, config: Eval) -> tuple[DataFrame, l
     return frame, names, time, axes
 
 
-def evaluate(spark: SparkSession, data: Data, configs: dict[str, Eval], output_dir: str | None = None) -> dict[str, DataFrame]:
-    """Result tables by configuration, written to output_dir if it is given."""
-    out = {}
+def evaluate(spark: SparkSession, data: Data, configs: dict[str, Eval], output_dir: str | None = None, shared: Shared | None = None) -> dict[str, DataFrame]:
+    """Result tables by configuration, written to output_dir if it is given.
+
+    Configurations that need the same aligned frame share it. A result that was written as Parquet is read from there; if all are, and shared is
+    not the caller's, what was shared is removed at once.
+    """
+    out, mine = {}, shared or Shared(spark)
+    prepared = {name: prepare(spark, data, config) for name, config in configs.items()}
+    for frame, *_ in prepared.values():
+        mine.want(frame)
     for name, config in configs.items():
-        frame, variables, time, axes = prepare(spark, data, config)
-        result = evaluate_frame(frame, config, variables, time, axes["latitudes"], members=axes["members"])
+        frame, variables, time, axes = prepared[name]
+        out[name] = evaluate_frame(mine.get(frame), config, variables, time, axes["latitudes"], members=axes["members"], shared=mine)
         if output_dir:
-            write_result(result, output_dir, name, fmt=config.fmt)
-        out[name] = result
+            path = write_result(out[name], output_dir, name, fmt=config.fmt)
+            if config.fmt == "parquet":
+                out[name] = spark.read.parquet(path)
+    if output_dir and shared is None and all(c.fmt == "parquet" for c in configs.values()):
+        mine.close()
     return out
 
 

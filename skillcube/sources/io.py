@@ -69,6 +69,12 @@ def remove_at_exit(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove what was written to a path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_result(df: DataFrame, output_dir: str, name: str, prefix: str = "", fmt: str = "parquet") -> str:
     """A result cube, small by construction, under {dir}/{prefix}{name}. Formats: parquet, csv, json, zarr (metrics and regions are then labels)."""
     path = f"{output_dir.rstrip('/')}/{prefix}{name}"

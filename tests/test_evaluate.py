@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skillcube.operators.regions import Region, named
 from skillcube.plans import evaluate as ev
+from skillcube.plans.shared import Shared
 
 T = datetime(2020, 1, 1)
 CELLS = [(a, b) for a in (-60.0, 0.0, 60.0) for b in (0.0, 120.0, 240.0)]
@@ -98,3 +99,62 @@ def test_the_truth_is_cut_before_the_join(spark, data):
     frame = ev.prepare(spark, data("fc"), ev.Eval(("mse",)))[0]
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(time), GreaterThanOrEqual(time" in plan
+
+
+def scans(df, path):
+    """Scans of a path's variables in a plan, and its exchanges."""
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum(f"{path}]" in line and "x#" in line for line in plan.splitlines() if "FileScan" in line), plan.count("Exchange ")
+
+
+def test_five_metrics_of_two_variables_scan_once(spark, data):
+    for forecast, metrics in (("fc", ("mse", "mae", "bias", "rmse", "acc")), ("ens", ("crps", "crps_spread", "ensemble_mean_mse", "ensemble_variance", "ensemble_mean_rmse"))):
+        out = run(spark, data(forecast), ev.Eval(metrics, tuple(named("global", "tropics"))))
+        assert scans(out, f"/{forecast}")[0] == 1 and scans(out, "/truth")[0] == 1
+
+
+def test_energy_scores_and_histograms_share_cells(spark, data):
+    """Energy scores, spreads, local scores and rank histograms of two variables: cells are made once, and no plan scans a cube again."""
+    shared = Shared(spark)
+    config = ev.Eval(("energy_score", "ensemble_mean_rmse", "spatial_crps", "rank_histogram"))
+    out = ev.evaluate(spark, data("ens"), {"c": config}, shared=shared)["c"]
+    assert shared.users() == [4] and scans(out, "/ens")[0] == scans(out, "/truth")[0] == 0
+    assert scans(out, "/ens")[1] <= 12  # of energy scores 3, spreads 2, local scores 1, histograms 1, the result's rows 1, and adaptive copies
+    one = {m: run(spark, data("ens"), ev.Eval((m,))) for m in config.metrics}
+    key = lambda r: (r.metric, r.lead_hours, r.latitude, r.longitude, r.bin)
+    got = {key(r): (r.x, r.y) for r in out.collect()}
+    for m, df in one.items():
+        have = {(r.metric, r.lead_hours, getattr(r, "latitude", None), getattr(r, "longitude", None), getattr(r, "bin", None)): (r.x, r.y) for r in df.collect()}
+        assert have and all(got[k] == pytest.approx(v) for k, v in have.items())
+    shared.close()
+
+
+def test_configurations_share_a_frame(spark, data, tmp_path):
+    shared = Shared(spark)
+    configs = {"a": ev.Eval(("mse",)), "b": ev.Eval(("mae",), temporal_mean=False), "c": ev.Eval(("acc",))}
+    out = ev.evaluate(spark, data("fc"), configs, shared=shared)
+    assert shared.users() == [2] and scans(out["a"], "/fc")[0] == 0 and scans(out["c"], "/fc")[0] == 1
+    alone = run(spark, data("fc"), configs["b"])
+    assert sorted(map(str, alone.collect())) == sorted(map(str, out["b"].collect()))
+    shared.close()
+    written = ev.evaluate(spark, data("fc"), configs, str(tmp_path))
+    assert sorted(map(str, alone.collect())) == sorted(map(str, written["b"].collect()))
+
+
+def test_shared_frames_count_their_users(spark, tmp_path):
+    spark.range(5).write.parquet(f"{tmp_path}/t")
+    one, other = (spark.read.parquet(f"{tmp_path}/t").select((F.col("id") + 1).alias("n")) for _ in range(2))
+    different = spark.read.parquet(f"{tmp_path}/t").select((F.col("id") + 2).alias("n"))
+    with Shared(spark) as shared:
+        for df in (one, other, different):
+            shared.want(df)
+        assert shared.get(different) is different
+        a, b = shared.get(one), shared.get(other.withColumnRenamed("n", "m").withColumnRenamed("m", "n"))
+        assert shared.users() == [2] and a.inputFiles() == b.inputFiles() != one.inputFiles() and sorted(r.n for r in b.collect()) == [1, 2, 3, 4, 5]
+        shared.release(one)
+        assert a.count() == 5
+        shared.release(other)
+        assert shared.users() == []
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        spark.read.parquet(a.inputFiles()[0])
