@@ -242,9 +242,8 @@ def _parts(text: str) -> Iterator[tuple[list[str], str]]:
         found = list(_WORDS.finditer(buffer, start))
         if last or not found or found[-1].end() < len(buffer):
             yield [m[0] for m in found], ""
-        elif len(open_ := found[-1][0]) > CHUNK // 2:
-            yield [m[0] for m in found[:-1]], open_
-            run = _RUNS[_RUNS[True].fullmatch(open_) is not None]
+        elif len(open_ := found[-1][0]) > CHUNK // 2 and (run := next((r for r in _RUNS.values() if r.fullmatch(open_)), None)):
+            yield [m[0] for m in found[:-1]], open_  # a run of letters or of symbols, which may go on; a contraction does not
         else:  # an apostrophe and what follows it may become one word yet
             yield [m[0] for m in found[:-2]], ""
             held = buffer[found[-2:][0].start() :]
