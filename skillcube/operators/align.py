@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from skillcube.operators.select import MissingLabel
 
 
-def _guard(wanted: DataFrame, have: DataFrame, what: str) -> None:
+def guard(wanted: DataFrame, have: DataFrame, what: str) -> None:
+    """Raise unless every row that is wanted is among those there are."""
     if wanted.join(have, wanted.columns, "left_anti").take(1):
         raise MissingLabel(f"{what} lacks labels that are needed")
 
@@ -35,7 +36,7 @@ def with_truth(forecast: DataFrame, truth: DataFrame, space: Sequence[str], by_i
     key = "valid_time" if by_init else "time"
     right = _renamed(truth.withColumnRenamed("time", key), [key, *space], suffix)
     if strict:
-        _guard(forecast.select(key).distinct(), right.select(key).distinct(), "truth")
+        guard(forecast.select(key).distinct(), right.select(key).distinct(), "truth")
     return forecast.join(right, [key, *space])
 
 
@@ -44,9 +45,12 @@ def calendar_keys(time: str, hourly: bool) -> dict[str, Column]:
     return keys | {"hour": F.hour(time)} if hourly else keys
 
 
-def with_climatology(df: DataFrame, climatology: DataFrame, space: Sequence[str], time: str = "valid_time", suffix: str = "_c", how: str = "inner") -> DataFrame:
-    """Rows with the climatology of their day of year, and hour if the climatology has hours."""
+def with_climatology(df: DataFrame, climatology: DataFrame, space: Sequence[str], time: str = "valid_time", suffix: str = "_c", how: str = "inner", strict: bool = False) -> DataFrame:
+    """Rows with the climatology of their day of year, and hour if the climatology has hours. strict: a missing one raises."""
     keys = calendar_keys(time, "hour" in climatology.columns)
+    if strict:
+        guard(df.select(time).distinct().select(*(c.alias(k) for k, c in keys.items())).distinct(), climatology.select(*keys).distinct(), "climatology")
+        guard(df.select(*space).distinct(), climatology.select(*space).distinct(), "the climatology's grid")
     right = _renamed(climatology, [*keys, *space], suffix)
     return df.withColumns(keys).join(right, [*keys, *space], how).drop(*keys)
 
@@ -59,11 +63,11 @@ def climatology_column(columns: Sequence[str], name: str) -> str:
     raise KeyError(name)
 
 
-def climatology_forecast(forecast: DataFrame, climatology: DataFrame, values: Sequence[str], space: Sequence[str], time: str = "valid_time") -> DataFrame:
+def climatology_forecast(forecast: DataFrame, climatology: DataFrame, values: Sequence[str], space: Sequence[str], time: str = "valid_time", strict: bool = False) -> DataFrame:
     """The forecast's cells with the climatology's values in place of its own."""
     cells = forecast.drop(*values)
     chosen = {v: climatology_column(climatology.columns, v) for v in values}
-    joined = with_climatology(cells, climatology, space, time)
+    joined = with_climatology(cells, climatology, space, time, strict=strict)
     return joined.select(*cells.columns, *(F.col(c + "_c").alias(v) for v, c in chosen.items()))
 
 
@@ -72,14 +76,18 @@ def stack_years(observations: DataFrame, start_year: int, time: str = "time") ->
     return observations.withColumns({**calendar_keys(time, True), "number": F.year(time) - start_year}).drop(time)
 
 
-def probabilistic_climatology_forecast(cells: DataFrame, stacked: DataFrame, space: Sequence[str], time: str = "valid_time") -> DataFrame:
+def probabilistic_climatology_forecast(cells: DataFrame, stacked: DataFrame, space: Sequence[str], time: str = "valid_time", strict: bool = False) -> DataFrame:
     """Every year's value for a cell's day of year and hour, as members."""
     keys = calendar_keys(time, True)
+    if strict:
+        guard(cells.select(time).distinct().select(*(c.alias(k) for k, c in keys.items())).distinct(), stacked.select(*keys).distinct(), "the years observed")
     return cells.withColumns(keys).join(stacked, [*keys, *space]).drop(*keys)
 
 
-def persistence_forecast(cells: DataFrame, truth: DataFrame, space: Sequence[str], init: str = "init_time") -> DataFrame:
-    """The value observed at the initial time, for every lead time."""
+def persistence_forecast(cells: DataFrame, truth: DataFrame, space: Sequence[str], init: str = "init_time", strict: bool = False) -> DataFrame:
+    """The value observed at the initial time, for every lead time. strict: a missing time raises."""
+    if strict:
+        guard(cells.select(init).distinct(), truth.select(F.col("time").alias(init)).distinct(), "truth at initial times")
     return cells.join(truth.withColumnRenamed("time", init), [init, *space])
 
 
@@ -95,7 +103,7 @@ def match_analysis_steps(forecast: DataFrame, init_step_hours: int) -> DataFrame
 
 def sampled(mapping: DataFrame, observations: DataFrame) -> DataFrame:
     """Rows (time, member, lead_hours, source_time) with the observations at their source time, all of which must exist."""
-    _guard(mapping.select(F.col("source_time").alias("time")).distinct(), observations.select("time").distinct(), "observations")
+    guard(mapping.select(F.col("source_time").alias("time")).distinct(), observations.select("time").distinct(), "observations")
     return mapping.join(observations.withColumnRenamed("time", "source_time"), "source_time")
 
 

@@ -761,7 +761,8 @@ def _metric_sql(metric: str, sql: str, keys: Sequence[str], value: str, factor:
 def _config(name: str, forecast: str, parts: list[str], keys: Sequence[str]) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         paths = config_files(spark, sf)
-        data = ev.Data(ev.Selection((U, V)), paths[forecast], paths["truth"], paths["clim"])
+        # the last lead times reach beyond the truth, as the SQL's joins have it
+        data = ev.Data(ev.Selection((U, V)), paths[forecast], paths["truth"], paths["clim"], on_missing="skip")
         chosen = ev.named_configs((*REGIONS, _LAND), Q)[name]
         out = ev.evaluate(spark, data, {name: chosen})[name]
         if "init_time" in out.columns:
@@ -841,7 +842,7 @@ def _zarr_evaluate(spark, sf):
     """Forecast and truth are stores, and so is the result, which is read again."""
     paths = config_files(spark, sf)
     at = {k: store(spark, k, spark.read.parquet(paths[k]).drop("land_sea_mask", f"{U}_std", f"{V}_std"), _CHUNKS) for k in ("det", "truth")}
-    data = ev.Data(ev.Selection((U, V)), at["det"], at["truth"])
+    data = ev.Data(ev.Selection((U, V)), at["det"], at["truth"], on_missing="skip")
     name, out = "deterministic_spatial", io.scratch(spark, "results")
     ev.evaluate(spark, data, {name: replace(ev.named_configs()[name], fmt="zarr")}, out)
     io.remove_at_exit(spark, out)

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field, replace
 from datetime import timedelta
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,11 @@ class Selection:
 
 @dataclass(frozen=True)
 class Data:
-    """land_mask: a table (latitude, longitude, land_sea_mask); where it is unset the truth's column land_sea_mask serves."""
+    """land_mask: a cube with land_sea_mask; where it is unset the truth's own serves, as of its first time.
+
+    on_missing: raise, where truth, climatology or land mask lack a label that the forecast needs; skip leaves those rows out, so that means are
+    over what is there.
+    """
 
     selection: Selection
     forecast: str
@@ -54,6 +59,7 @@ class Data:
     rename: dict[str, str] = field(default_factory=dict)
     level_suffixes: bool = False
     land_mask: str | None = None
+    on_missing: str = "raise"
 
 
 @dataclass(frozen=True)
@@ -254,12 +260,32 @@ def _axes(forecast: DataFrame, time: str, by_init: bool) -> dict:
     lead = F.max("lead_hours") if "lead_hours" in forecast.columns else F.lit(0)
     member = F.count_distinct("member") if "member" in forecast.columns else F.lit(None)
     row = forecast.agg(F.min(time).alias("first"), F.max(time).alias("last"), lead.alias("lead"), F.collect_set("latitude").alias("latitudes"), member.alias("members")).first()
-    last = row["last"] + timedelta(hours=int(row["lead"] or 0)) if by_init and row["last"] is not None else row["last"]
-    return {"first": row["first"], "last": last, "latitudes": sorted(row["latitudes"]), "members": row["members"]}
+    reach = timedelta(hours=int(row["lead"] or 0))
+    last = row["last"] + reach if by_init and row["last"] is not None else row["last"]
+    return {"first": row["first"], "last": last, "reach": reach, "latitudes": sorted(row["latitudes"]), "members": row["members"]}
+
+
+def _with_masks(spark: SparkSession, frame: DataFrame, data: Data, masks: list[str], strict: bool) -> DataFrame:
+    """The frame with land masks. Of a mask with times the first time counts, which is not the forecast's."""
+    space = ["latitude", "longitude"]
+    try:
+        source = read_cube(spark, data.land_mask or data.truth, masks)
+        source.columns  # noqa: B018  a mask that is not there shows now
+    except (AnalysisException, KeyError) as e:
+        raise select.MissingLabel(f"no land mask {masks}") from e
+    if "time" in source.columns:
+        source = source.where(F.col("time") == F.lit(source.agg(F.min("time")).first()[0]))
+    cells = source.groupBy(*space).agg(*(F.first(m, True).alias(m) for m in masks))
+    if strict:
+        align.guard(frame.select(*space).distinct(), cells.dropna(subset=masks).select(*space), f"land mask {masks}")
+    return frame.join(cells, space, "left")
 
 
 def prepare(spark: SparkSession, data: Data, config: Eval) -> tuple[DataFrame, list[str], str, dict]:
     """The aligned frame, its variables, the time dimension to average over, and the axes that are known (latitudes, members)."""
+    if data.on_missing not in ("raise", "skip"):
+        raise ValueError(f"on_missing {data.on_missing!r}")
+    strict = data.on_missing == "raise"
     names = list(data.selection.variables) + list(config.derived)
     wanted = [m.removeprefix("spatial_") for m in _names(config)]
     rains = [s.variable for s in config.seeps if s.metric in wanted]
@@ -278,30 +304,29 @@ def prepare(spark: SparkSession, data: Data, config: Eval) -> tuple[DataFrame, l
     # the truth is cut to the forecast's span, levels and box before anything is derived from it
     whole = read_cube(spark, data.truth, fields)
     truth = replace(data.selection, time=(None, None)).apply(whole)
-    truth = truth.where(F.col("time").between(F.lit(axes["first"]), F.lit(axes["last"])))
+    # a forecast by valid time begins earlier than its first time, where persistence looks
+    earlier = axes["reach"] if config.use_persistence and not data.by_init else timedelta(0)
+    truth = truth.where(F.col("time").between(F.lit(axes["first"] - earlier), F.lit(axes["last"])))
     joint = [*(["level"] if "level" in forecast.columns and "level" in truth.columns else []), *space]
     if config.against_analysis:
         truth = align.analysis_truth(forecast, fields, joint)
     cells = forecast.select(*[c for c in forecast.columns if c not in fields and c not in spreads])
     if config.use_persistence:
-        forecast = align.persistence_forecast(cells, truth, joint)
+        forecast = align.persistence_forecast(cells, truth, joint, strict=strict)
     if config.use_climatology:
-        forecast = align.climatology_forecast(forecast, read_cube(spark, data.climatology, dims=("hour", "dayofyear", *joint)), fields, joint, at)
+        forecast = align.climatology_forecast(forecast, read_cube(spark, data.climatology, dims=("hour", "dayofyear", *joint)), fields, joint, at, strict)
     if config.use_probabilistic_climatology:
         past = data.selection.apply(whole, "time") if not data.by_init else replace(data.selection, time=(None, None)).apply(whole)
         first = past.agg(F.min(F.year("time"))).first()[0]
-        forecast = align.probabilistic_climatology_forecast(cells, align.stack_years(past, first), joint, at).withColumnRenamed("number", "member")
+        forecast = align.probabilistic_climatology_forecast(cells, align.stack_years(past, first), joint, at, strict).withColumnRenamed("number", "member")
         axes["members"] = None
     for d in config.derived:
         dims = [c for c in forecast.columns if c not in fields and c not in spreads]
         forecast, truth = REGISTRY[d](forecast, dims), REGISTRY[d](truth, ["time", *joint])
     dims = [c for c in forecast.columns if c not in fields and c not in names and c not in spreads]
-    frame = align.with_truth(forecast.select(*dims, *names, *spreads), truth.select("time", *joint, *names), joint, data.by_init)
+    frame = align.with_truth(forecast.select(*dims, *names, *spreads), truth.select("time", *joint, *names), joint, data.by_init, strict=strict)
     if masks := {m for r in config.regions or () for m in r.masks()}:
-        source = spark.read.parquet(data.land_mask) if data.land_mask else spark.read.parquet(data.truth).where(F.col("time") == F.lit(axes["first"]))
-        if lacking := masks - set(source.columns):
-            raise select.MissingLabel(f"no land mask {sorted(lacking)}")
-        frame = frame.join(source.groupBy(*space).agg(*(F.first(m, True).alias(m) for m in sorted(masks))), space, "left")
+        frame = _with_masks(spark, frame, data, sorted(masks), strict)
     climatology = read_cube(spark, data.climatology, dims=("hour", "dayofyear", "quantile", *joint)) if data.climatology else None
     climatology_keys = [c for c in ("hour", "dayofyear", *joint) if climatology is not None and c in climatology.columns]
     columns: dict[str, str] = {}  # of the climatology -> as they are called in the frame before the suffix
@@ -314,10 +339,13 @@ def prepare(spark: SparkSession, data: Data, config: Eval) -> tuple[DataFrame, l
         one = climatology
         if "quantile" in climatology.columns:  # rows of quantiles stand beside or repeat the others
             one = climatology.groupBy(*climatology_keys).agg(*(F.first(c, True).alias(c) for c in columns))
-        frame = align.with_climatology(frame, one.select(*climatology_keys, *(F.col(c).alias(v) for c, v in columns.items())), joint, at)
+        frame = align.with_climatology(frame, one.select(*climatology_keys, *(F.col(c).alias(v) for c, v in columns.items())), joint, at, strict=strict)
         frame = frame.withColumnsRenamed({f"{v}_seeps_threshold_c": f"{v}_seeps_threshold" for v in rains})
     for v in rains:
-        frame = frame.join(mean_dry_fraction(climatology, v, joint).withColumnRenamed("p1", f"{v}_p1"), joint)
+        dry = mean_dry_fraction(climatology, v, joint).withColumnRenamed("p1", f"{v}_p1")
+        if strict:
+            align.guard(frame.select(*joint).distinct(), dry.select(*joint), f"the dry fraction of {v}")
+        frame = frame.join(dry, joint)
     if config.thresholds:
         if config.threshold_kind == "gaussian_quantile":
             frame = scores.with_gaussian_threshold(frame, names, config.thresholds)

@@ -1,10 +1,12 @@
 """The evaluation planner from files: several variables, land, SEEPS, Gaussian spreads, thresholds."""
 
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from skillcube.operators.select import MissingLabel
 from skillcube.operators.regions import Region, named
 from skillcube.plans import evaluate as ev
 from skillcube.plans.shared import Shared
@@ -158,3 +160,56 @@ def test_shared_frames_count_their_users(spark, tmp_path):
         assert shared.users() == []
     with pytest.raises(Exception, match="(?i)not.*exist"):
         spark.read.parquet(a.inputFiles()[0])
+
+
+def without(spark, data, tmp_path, what, condition, forecast="fc"):
+    """The data without some rows of one of its cubes."""
+    d = data(forecast)
+    spark.read.parquet(getattr(d, what)).where(condition).write.parquet(f"{tmp_path}/{what}")
+    return replace(d, **{what: f"{tmp_path}/{what}"})
+
+
+@pytest.mark.parametrize(
+    ("what", "condition", "config"),
+    [
+        ("truth", "time <> TIMESTAMP_NTZ'2020-01-03'", ev.Eval(("mse",))),
+        ("truth", "time <> TIMESTAMP_NTZ'2020-01-02'", ev.Eval(("mse",), use_persistence=True)),
+        ("climatology", "dayofyear <> 2", ev.Eval(("acc",))),
+        ("climatology", "dayofyear <> 2", ev.Eval(("mse",), use_climatology=True)),
+        ("climatology", "latitude <> 0", ev.Eval(("seeps_24hr",))),
+        ("truth", "time > TIMESTAMP_NTZ'2020-01-01' OR longitude = 120", ev.Eval(("mse",), tuple(named("global_land")))),
+    ],
+)
+def test_what_is_missing_raises(spark, data, tmp_path, what, condition, config):
+    """A time, a day of the climatology, a cell of the dry fraction or of the mask: nothing is averaged over less without a word."""
+    holed = without(spark, data, tmp_path, what, condition)
+    with pytest.raises(MissingLabel):
+        run(spark, holed, config)
+    assert run(spark, replace(holed, on_missing="skip"), config).count() > 0
+    with pytest.raises(ValueError, match="on_missing"):
+        run(spark, replace(holed, on_missing="other"), config)
+
+
+def test_a_mask_without_a_value_raises(spark, data, tmp_path):
+    d = data("fc")
+    spark.read.parquet(d.truth).withColumn("land_sea_mask", F.when(F.col("latitude") != 0, F.col("land_sea_mask"))).write.parquet(f"{tmp_path}/truth")
+    with pytest.raises(MissingLabel, match="land mask"):
+        run(spark, replace(d, truth=f"{tmp_path}/truth"), ev.Eval(("bias",), tuple(named("global_land"))))
+    with pytest.raises(MissingLabel, match="no land mask"):
+        spark.read.parquet(d.truth).drop("land_sea_mask").write.parquet(f"{tmp_path}/bare")
+        run(spark, replace(d, truth=f"{tmp_path}/bare"), ev.Eval(("bias",), tuple(named("global_land"))))
+
+
+def test_a_land_region_stays_where_the_truth_begins_later(spark, data, tmp_path):
+    late = replace(without(spark, data, tmp_path, "truth", "time > TIMESTAMP_NTZ'2020-01-01'"), on_missing="skip")
+    rows = run(spark, late, ev.Eval(("bias",), tuple(named("global", "global_land")))).collect()
+    assert {r.region for r in rows} == {"global", "global_land"} and all(r.x == pytest.approx(1.0) for r in rows)
+
+
+def test_persistence_by_valid_time_reaches_back(spark, data, tmp_path):
+    """By valid time the first initial times lie before the forecast's first time."""
+    d = data("fc")
+    early = spark.read.parquet(d.truth).where("time = TIMESTAMP_NTZ'2020-01-01'").withColumns({"time": F.lit(T - timedelta(days=1)).cast("timestamp_ntz"), "x": F.lit(-1.0)})
+    spark.read.parquet(d.truth).unionByName(early).write.parquet(f"{tmp_path}/truth")
+    rows = run(spark, replace(d, truth=f"{tmp_path}/truth", by_init=False), ev.Eval(("bias",), use_persistence=True, temporal_mean=False)).collect()
+    assert {(r.time.day, r.lead_hours): r.x for r in rows} == {(1 + t, 24 * k): -float(k) for t in range(4) for k in range(2)}
