@@ -1,6 +1,7 @@
 """Selections, derived variables, windows, climatologies, regridding, sampling, evaluation, streams."""
 
 import math
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -264,3 +265,46 @@ def test_stream_verification(spark, tmp_path):
     assert sorted(r.x - r.x_o for r in spark.table("pairs_out").collect()) == [0.0, 1.0, 2.0, 3.0]
     static = verification.rolling_scores(verification.paired(spark.read.parquet(f"{tmp_path}/f"), spark.read.parquet(f"{tmp_path}/o"), ["latitude"]), "x", ["latitude"]).first()
     assert static.mse == pytest.approx(3.5) and static.n == 4
+
+
+def _ring_frame(spark, seed=0):
+    """Three years (one of them leap) of two cells, four times a day, with gaps and missing values."""
+    r = random.Random(seed)
+    rows = []
+    for k in range(1096):
+        for lat in (0.0, 30.0):
+            for hour in (0, 6, 12, 18):
+                if r.random() < 0.85:
+                    rows.append((datetime(2019, 1, 1) + timedelta(days=k, hours=hour), lat, None if r.random() < 0.05 else max(0.0, round(r.gauss(0.0003, 0.001), 6))))
+    return spark.createDataFrame(rows, "time timestamp_ntz, latitude double, x double")
+
+
+@pytest.mark.parametrize("hourly", [False, True])
+def test_climatologies_by_line_equal_those_by_rows(spark, hourly):
+    """No row is multiplied before the shuffle; the results are those of a row for each day and window."""
+    df, keys = _ring_frame(spark), ["dayofyear", *(["hour"] if hourly else []), "latitude"]
+    spread = climatology._spread(climatology.by_year_and_day(df, "x", ["latitude"], hourly), 61)
+    rows = lambda d: {tuple(r[k] for k in (*keys, *(["quantile"] if "quantile" in d.columns else []))): tuple(r[c] for c in sorted(d.columns) if c[0] == "x") for r in d.collect()}
+    want = rows(climatology.weighted_quantiles(spread, "x", "ww", keys, [0.1, 0.5, 0.99]).withColumnRenamed("x", "x_quantile"))
+    got = rows(climatology.quantile(df, "x", ["latitude"], [0.1, 0.5, 0.99], hourly=hourly))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    mean = F.sum(F.col("x") * F.col("ww")) / F.sum(F.when(F.col("x").isNotNull(), F.col("ww")))
+    want = rows(spread.groupBy(*keys).agg(mean.alias("x")))
+    got = rows(climatology.explicit(df, "x", ["latitude"], ("mean",), hourly=hourly))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    dry = climatology.seeps(df, "x", ["latitude"], hourly=hourly)
+    wet = rows(climatology.weighted_quantiles(spread.where("x >= 0.00025"), "x", "ww", keys, [2 / 3]).drop("quantile"))
+    got = rows(dry)
+    assert len(got) == 366 * 2 * (4 if hourly else 1) and all(got[k][1] == pytest.approx(wet[k][0], abs=1e-12) for k in wet)
+    assert all(0 <= v[0] <= 1 for v in got.values())
+
+
+def test_climatology_plans_do_not_multiply_rows(spark):
+    for df in (climatology.quantile(_ring_frame(spark), "x", ["latitude"], [0.5]), climatology.seeps(_ring_frame(spark), "x", ["latitude"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Window" not in plan and plan.count("Exchange ") == 2
+
+
+def test_a_window_beyond_the_ring_raises(spark):
+    with pytest.raises(ValueError):
+        climatology.quantile(_ring_frame(spark), "x", ["latitude"], [0.5], window=367)
