@@ -151,6 +151,10 @@ class Array:
             raw = UNPACK[self.compressor["id"]](raw)
         return np.frombuffer(raw, self.dtype).reshape(self.chunks, order=self.order)
 
+    def pack(self, items: np.ndarray) -> bytes:
+        data = items.tobytes(self.order)
+        return PACK[self.compressor["id"]](data, self.compressor.get("level", 1)) if self.compressor else data
+
     def fill_value(self):
         if isinstance(self.fill, str) and self.dtype[1] == "f":
             return float(self.fill.replace("Infinity", "inf"))
@@ -409,10 +413,7 @@ class ZarrWriter(DataSourceArrowWriter):
             items = np.full(math.prod(a.chunks), np.nan, a.dtype)
             items[cell] = rows.column(a.name).to_numpy().astype(a.dtype)
             key = f"{a.name}/{a.separator.join(str(k) for k in np.unravel_index(number, grid))}"
-            data = items.tobytes()
-            if a.compressor:
-                data = PACK[a.compressor["id"]](data, a.compressor.get("level", 1))
-            store.put(f"{STAGING}/{attempt}/{key}", data)
+            store.put(f"{STAGING}/{attempt}/{key}", a.pack(items))
             keys.append(key)
         return keys
 
@@ -446,8 +447,9 @@ class Zarr(DataSource):
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
         about = json.loads(Store(self.options["path"]).get(".zpending"))["metadata"]
-        names = [f.name for f in schema.fields if not f.name.startswith("__")]
-        return ZarrWriter(self.options["path"], [_array(n, about[f"{n}/.zarray"], about[f"{n}/.zattrs"]) for n in names])
+        pieces = self.options.get("pieces") == "true"
+        names = self.options["variables"].split(",") if pieces else [f.name for f in schema.fields if not f.name.startswith("__")]
+        return (PieceWriter if pieces else ZarrWriter)(self.options["path"], [_array(n, about[f"{n}/.zarray"], about[f"{n}/.zattrs"]) for n in names])
 
 
 def register(spark: SparkSession) -> None:
@@ -462,6 +464,38 @@ def read_zarr(spark: SparkSession, path: str, variables: Sequence[str] | None =
     return (reader.option("variables", ",".join(variables)) if variables else reader).load(path)
 
 
+class PieceWriter(ZarrWriter):
+    """As ZarrWriter, of pieces of chunks (see rechunk): a chunk is put together from its pieces."""
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        store, attempt = Store(self.path), uuid.uuid4().hex
+        by_name = {a.name: a for a in self.arrays}
+        made: list[str] = []
+        now, items = None, np.empty(0)
+        for batch in iterator:
+            for name, number, at, data in zip(*(batch.column(c) for c in ("array", "chunk", "at", "data")), strict=True):
+                key, a = (name.as_py(), number.as_py()), by_name[name.as_py()]
+                if key != now:
+                    made += self._put(store, attempt, by_name, now, items)
+                    now, items = key, np.full(a.chunks, a.fill_value(), a.dtype)
+                corner, size = (tuple(at.as_py()[k :: 2]) for k in (0, 1))
+                items[tuple(slice(c, c + n) for c, n in zip(corner, size, strict=True))] = np.frombuffer(data.as_buffer(), a.dtype).reshape(size)
+        made += self._put(store, attempt, by_name, now, items)
+        for key in made:
+            store.move(f"{STAGING}/{attempt}/{key}", key)
+        store.remove(f"{STAGING}/{attempt}")
+        return Written(len(made))
+
+    def _put(self, store: Store, attempt: str, arrays: dict[str, Array], which: tuple[str, int] | None, items: np.ndarray) -> list[str]:
+        if which is None:
+            return []
+        a = arrays[which[0]]
+        grid = [-(-n // c) for n, c in zip(a.shape, a.chunks, strict=True)]
+        key = f"{a.name}/{a.separator.join(str(k) for k in np.unravel_index(which[1], grid))}"
+        store.put(f"{STAGING}/{attempt}/{key}", a.pack(items))
+        return [key]
+
+
 def _encoded(dim: str, labels: list) -> tuple[np.ndarray, dict]:
     """Labels as they are stored, and their attributes."""
     if isinstance(labels[0], datetime):
