@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce as reduce_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillcube.functions.numeric import fdiv, mean, weighted_mean
@@ -51,11 +52,24 @@ def ensemble_mean(df: DataFrame, values: Sequence[str], dims: Sequence[str], mem
     return averages(df, values, [member], dims, skipna)
 
 
-def quantiles(df: DataFrame, values: Sequence[str], over: Sequence[str], dims: Sequence[str], q: Sequence[float], skipna: bool = False, suffix: str = "") -> DataFrame:
-    """Exact quantiles with linear interpolation, on a new dimension quantile."""
+#: Values of a key up to which they are gathered as they are; beyond, quantiles are selected by counting. Values that a selection gathers in the end.
+GATHERED, REMAINDER = 1 << 20, 1 << 16
+#: Inverse error of the sketches that bracket an order statistic.
+ACCURACY = 4096
+
+
+def quantiles(df: DataFrame, values: Sequence[str], over: Sequence[str], dims: Sequence[str], q: Sequence[float], skipna: bool = False, suffix: str = "", gathered: int | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation, on a new dimension quantile.
+
+    Where no key has more than `gathered` rows (GATHERED, if unset) each key's values are gathered by one task. Otherwise order statistics are
+    selected: see selected_quantiles. Both are exact.
+    """
     if not all(0 <= x <= 1 for x in q):
         raise ValueError("quantiles lie in [0, 1]")
     by = [d for d in dims if d not in over]
+    longest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if longest > (GATHERED if gathered is None else gathered):
+        return selected_quantiles(df, values, by, q, skipna, suffix)
     arrays = [F.percentile(v, F.array(*(F.lit(float(x)) for x in q))).alias(v) for v in values]
     ok = [(F.count(v) == F.count(F.lit(1))).alias(f"__ok_{v}") for v in values]
     rows = df.groupBy(*by).agg(*arrays, *ok).withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(len(q) - 1))))
@@ -63,6 +77,103 @@ def quantiles(df: DataFrame, values: Sequence[str], over: Sequence[str], dims: S
     return rows.select(*by, label, *(F.when(F.col(f"__ok_{v}") | F.lit(skipna), F.get(v, F.col("__i"))).alias(v + suffix) for v in values))
 
 
+def selected_quantiles(df: DataFrame, values: Sequence[str], by: Sequence[str], q: Sequence[float], skipna: bool = False, suffix: str = "", accuracy: int = ACCURACY, remainder: int = REMAINDER) -> DataFrame:
+    """Exact quantiles of keys with any number of values, in bounded memory: quantiles() by repeated bracketing.
+
+    A round sketches the values that are still between a quantile's brackets (a mergeable sketch of fixed size, with partial sums before the
+    shuffle), draws the brackets in around the order statistics that are sought, and counts what is below and between them; a bracket that counting
+    does not confirm is not taken. A round leaves about 4 / accuracy of the values, whatever their distribution. Once few are left, or brackets meet,
+    those are counted by value and the statistics read off. Rows are never repeated but for the quantiles whose brackets they are in.
+    """
+    spark = df.sparkSession
+    out = None
+    for v in values:
+        one = _selected(df.select(*by, F.col(v).cast("double").alias("__x")), by, q, skipna, accuracy, remainder, spark).withColumnRenamed("__v", v + suffix)
+        out = one if out is None else _joined(out, one, [*by, "quantile"])
+    return out
+
+
+def _joined(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A join in which missing labels of a key equal each other."""
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    rest = [F.col(f"b.{c}") for c in b.columns if c not in keys]
+    both = a.alias("a").join(b.alias("b"), reduce_(lambda x, y: x & y, on)) if keys else a.alias("a").join(b.alias("b"))
+    return both.select(*(F.col(f"a.{c}") for c in a.columns), *rest)
+
+
+def _selected(df: DataFrame, by: Sequence[str], q: Sequence[float], skipna: bool, accuracy: int, remainder: int, spark) -> DataFrame:
+    from skillcube.sources.io import remove, remove_at_exit, scratch
+
+    def kept(frame: DataFrame) -> tuple[DataFrame, str]:
+        """A small table that is written: rounds do not repeat each other's work."""
+        path = scratch(spark, "brackets")
+        frame.write.parquet(path)
+        remove_at_exit(spark, path)
+        return spark.read.schema(frame.schema).parquet(path), path
+
+    x, one = F.col("__x"), F.lit(1)
+    levels = F.array(*(F.lit(float(p)) for p in q))
+    sizes = df.groupBy(*by).agg(F.count(x).alias("__n"), (F.count(x) == F.count(one)).alias("__ok"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
+    ranks = sizes.select(*by, F.posexplode(levels).alias("__i", "quantile"), "__n", "__ok", "__lo", "__hi")
+    ranks = ranks.withColumn("__r", (F.col("__n") - 1) * F.col("quantile")).withColumn("__k", F.floor("__r"))
+    # __below: values below __lo; __inside: those strictly between __lo and __hi
+    state, path = kept(ranks.withColumns({"__below": F.lit(0).cast("long"), "__inside": F.col("__n")}))
+    small = ["__i", "__k", "__lo", "__hi", "__below", "__inside"]
+
+    def between(open_: DataFrame) -> DataFrame:
+        return _joined(df.where(x.isNotNull()), open_.select(*by, *small), by).where(x.between(F.col("__lo"), F.col("__hi")))
+
+    while True:
+        open_ = state.where((F.col("__inside") > remainder) & (F.col("__lo") < F.col("__hi")))
+        if open_.isEmpty():
+            break
+        rows = between(open_)
+        # among the values between the brackets the statistics sought have ranks k - below and the one after
+        total = F.count(one)
+        grid = F.approx_percentile(x, [k / 256 for k in range(257)], accuracy * 64).alias("__grid")
+        fine = rows.groupBy(*by, *small).agg(total.alias("__m"), grid)
+        at = lambda shift: F.greatest(F.lit(0), F.least(F.lit(256), F.floor((F.col("__k") - F.col("__below") + shift) * 256 / F.col("__m")) + (2 if shift else -1)))
+        drawn = fine.select(*by, *small, F.element_at("__grid", (at(0) + 1).cast("int")).alias("__a"), F.element_at("__grid", (at(1) + 1).cast("int")).alias("__b"))
+        drawn, drawn_at = kept(drawn)
+        again = _joined(df.where(x.isNotNull()), drawn.select(*by, *small, "__a", "__b"), by).where(x.between(F.col("__lo"), F.col("__hi")))
+        a, b = F.col("__a"), F.col("__b")
+        counted = again.groupBy(*by, *small, "__a", "__b").agg(F.count_if(x < a).alias("__less"), F.count_if(x <= b).alias("__upto"), F.count_if((x > a) & (x < b)).alias("__between"))
+        k = F.col("__k") - F.col("__below")
+        good = (F.col("__less") <= k) & (F.col("__upto") >= F.least(k + 2, F.col("__upto"))) & (F.col("__upto") > k) & (F.col("__between") < F.col("__inside"))
+        good &= (F.col("__upto") > k + 1) | (b == F.col("__hi"))
+        new = counted.where(good).select(*by, "__i", a.alias("__a"), b.alias("__b"), F.col("__less"), F.col("__between"))
+        before = state
+        merged = _left(before, new, [*by, "__i"])
+        found = F.col("__a").isNotNull()
+        pick = lambda new, old: F.when(found, new).otherwise(old)
+        state, new_path = kept(
+            merged.select(
+                *by, "__i", "quantile", "__n", "__ok", pick(F.col("__a"), F.col("__lo")).alias("__lo"), pick(F.col("__b"), F.col("__hi")).alias("__hi"), "__r", "__k",
+                (F.col("__below") + F.coalesce("__less", F.lit(0))).alias("__below"), pick(F.col("__between"), F.col("__inside")).alias("__inside"),
+            )
+        )
+        stuck = new.isEmpty()
+        remove(spark, path)
+        remove(spark, drawn_at)
+        path = new_path
+        if stuck:  # no bracket can be drawn in: what is left are few different values
+            break
+    # what is left is counted by value: a row for each that differs
+    counts = between(state).groupBy(*by, "__i", "__k", "__below", "__x").agg(F.count(one).alias("__c"))
+    cell = Window.partitionBy(*by, "__i")
+    upto = F.sum("__c").over(cell.orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)) + F.col("__below")
+    steps = counts.withColumn("__upto", upto)
+    found = steps.groupBy(*by, "__i").agg(F.min(F.when(F.col("__upto") > F.col("__k"), x)).alias("__v0"), F.min(F.when(F.col("__upto") > F.col("__k") + 1, x)).alias("__v1"))
+    done = _left(state, found, [*by, "__i"])
+    value = F.col("__v0") + (F.col("__r") - F.col("__k")) * (F.coalesce("__v1", "__v0") - F.col("__v0"))
+    return done.select(*by, "quantile", F.when(F.col("__ok") | F.lit(skipna), value).alias("__v"))
+
+
+def _left(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    on = reduce_(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    return a.alias("a").join(b.alias("b"), on, "left").select(*(F.col(f"a.{c}") for c in a.columns), *(F.col(f"b.{c}") for c in b.columns if c not in keys))
+
+
 def moments(df: DataFrame, value: str, by: Sequence[str], time: str = "time") -> DataFrame:
     """Raw moments 0 to 2: unweighted spatial means of presence, value and square, then their means over time."""
     x = F.col(value)

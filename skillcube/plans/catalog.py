@@ -9,15 +9,16 @@ from collections.abc import Callable, Sequence
 from dataclasses import replace
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillcube.functions.numeric import norm_cdf_sql, norm_ppf
 from skillcube.functions.weights import window_weights, with_latitude_weights
-from skillcube.operators import align, climatology, derived, reduce, regrid, sampler, scores, select, windows
+from skillcube.operators import align, climatology, derived, reduce, regrid, sampler, scores, select, ufunc, windows
 from skillcube.operators.regions import BOXES, Region, named, with_regions
 from skillcube.plans import evaluate as ev
-from skillcube.sources import cubes, io, mock, zarr
+from skillcube.sources import cubes, io, layout, mock, zarr
 from skillcube.sources.cubes import with_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -849,6 +850,43 @@ def _zarr_evaluate(spark, sf):
     return zarr.read_zarr(spark, f"{out}/{name}.zarr").select("metric", *_SK, *(F.round(F.nanvl(c, F.lit(None)), 5).alias(c) for c in (U, V)))
 
 
+@query("zarr_rechunk", with_ctes(["obs"]) + f"SELECT CAST(time AS VARCHAR) AS time, latitude, longitude, {r6('temperature', 'temperature')} FROM obs WHERE latitude = 20 AND longitude > 100")
+def _zarr_rechunk(spark, sf):
+    """From chunks of some days to chunks of one series each."""
+    days = store(spark, "obs", cubes.obs(spark, sf), _CHUNKS)
+    series = io.scratch(spark, "series") + ".zarr"
+    layout.rechunk(spark, days, series, {"latitude": 1, "longitude": 1})
+    io.remove_at_exit(spark, series)
+    out = io.read_cube(spark, series, ["temperature"]).where((F.col("latitude") == 20.0) & (F.col("longitude") > 100.0))
+    return rounded(out.select(F.to_date("time").cast("string").alias("time"), *SPACE, "temperature"), "temperature")
+
+
+# ---- functions of arrays
+
+
+def _smooth(x: np.ndarray) -> np.ndarray:
+    return (np.roll(x, 1) + 2 * x + np.roll(x, -1)) / 4
+
+
+_RING = "lag(temperature, 1, last) OVER r + 2 * temperature + lead(temperature, 1, first) OVER r"
+
+
+@query("ufunc_smooth", with_ctes(["obs"], "ends AS (SELECT *, first_value(temperature) OVER w AS first, last_value(temperature) OVER w AS last FROM obs WINDOW w AS (PARTITION BY time, latitude ORDER BY longitude ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))") + f"SELECT CAST(time AS VARCHAR) AS time, latitude, longitude, {r6(f'({_RING}) / 4', 'smooth')} FROM ends WINDOW r AS (PARTITION BY time, latitude ORDER BY longitude)")
+def _ufunc_smooth(spark, sf):
+    """Each parallel smoothed around the globe by one call of numpy."""
+    out = ufunc.apply_ufunc(cubes.obs(spark, sf), _smooth, "(longitude)->(longitude)", ["temperature"], ["smooth"], ["time", *SPACE])
+    return rounded(out.select(F.to_date("time").cast("string").alias("time"), *SPACE, "smooth"), "smooth")
+
+
+@query("ufunc_fit", with_ctes(["wav"]) + f"SELECT vec_id, 1::BIGINT AS degree, {r6('regr_slope(x, longitude)', 'c')} FROM wav GROUP BY vec_id UNION ALL SELECT vec_id, 0, {r6('regr_intercept(x, longitude)', 'c')} FROM wav GROUP BY vec_id")
+def _ufunc_fit(spark, sf):
+    """A straight line through every zonal line, by least squares."""
+    waves = cubes.wave(spark, sf).drop("latitude")
+    fit = lambda x, lon: np.polyfit(lon, x, 1)
+    out = ufunc.apply_ufunc(waves.withColumn("lon", F.col("longitude")), fit, "(longitude),(longitude)->(degree)", ["x", "lon"], ["c"], ["vec_id", "longitude"], {"degree": [1, 0]})
+    return rounded(out.select("vec_id", "degree", "c"), "c")
+
+
 @query("extra_tropical_mask", score_sql({"mse": f"({_E}) ** 2"}, {"mse": "mse"}).replace("SELECT region, lead_hours, round", "SELECT 'extra-tropics' AS region, lead_hours, round").replace("FROM vals GROUP BY ALL", "FROM vals WHERE region = 'extra-tropics' GROUP BY ALL"))
 def _extra_tropics(spark, sf):
     rows = with_regions(with_latitude_weights(pairs(spark, sf), cubes.LATITUDES), [Region("extra-tropics", extra_tropics_from=20.0)])
