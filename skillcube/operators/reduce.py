@@ -54,8 +54,8 @@ def ensemble_mean(df: DataFrame, values: Sequence[str], dims: Sequence[str], mem
 
 #: Values of a key up to which they are gathered as they are; beyond, quantiles are selected by counting. Values that a selection gathers in the end.
 GATHERED, REMAINDER = 1 << 20, 1 << 16
-#: Inverse error of the sketches that bracket an order statistic.
-ACCURACY = 4096
+#: Parts into which a sketch cuts what is between the brackets, and the inverse of its error.
+GRID, ACCURACY = 1000, 16_000
 
 
 def quantiles(df: DataFrame, values: Sequence[str], over: Sequence[str], dims: Sequence[str], q: Sequence[float], skipna: bool = False, suffix: str = "", gathered: int | None = None) -> DataFrame:
@@ -77,101 +77,86 @@ def quantiles(df: DataFrame, values: Sequence[str], over: Sequence[str], dims: S
     return rows.select(*by, label, *(F.when(F.col(f"__ok_{v}") | F.lit(skipna), F.get(v, F.col("__i"))).alias(v + suffix) for v in values))
 
 
-def selected_quantiles(df: DataFrame, values: Sequence[str], by: Sequence[str], q: Sequence[float], skipna: bool = False, suffix: str = "", accuracy: int = ACCURACY, remainder: int = REMAINDER) -> DataFrame:
-    """Exact quantiles of keys with any number of values, in bounded memory: quantiles() by repeated bracketing.
+def selected_quantiles(df: DataFrame, values: Sequence[str], by: Sequence[str], q: Sequence[float], skipna: bool = False, suffix: str = "", remainder: int = REMAINDER, grid: int = GRID, accuracy: int = ACCURACY) -> DataFrame:
+    """quantiles() of keys with any number of values, exact and in bounded memory, by repeated bracketing.
 
-    A round sketches the values that are still between a quantile's brackets (a mergeable sketch of fixed size, with partial sums before the
-    shuffle), draws the brackets in around the order statistics that are sought, and counts what is below and between them; a bracket that counting
-    does not confirm is not taken. A round leaves about 4 / accuracy of the values, whatever their distribution. Once few are left, or brackets meet,
-    those are counted by value and the statistics read off. Rows are never repeated but for the quantiles whose brackets they are in.
+    A quantile lies between two values of a key, of which it is known how many are below, equal to the lower one and strictly between. A round
+    sketches the values strictly between (a mergeable sketch of fixed size, with partial results before the shuffle), draws the brackets in around
+    the order statistics that are sought, and counts again. Ties are on a bracket or outside, so a round leaves about 5 / grid of the values whatever
+    their distribution. Once few are left they are counted by value and the statistics are read off.
     """
-    spark = df.sparkSession
     out = None
     for v in values:
-        one = _selected(df.select(*by, F.col(v).cast("double").alias("__x")), by, q, skipna, accuracy, remainder, spark).withColumnRenamed("__v", v + suffix)
+        one = _selected(df, F.col(v).cast("double"), by, q, skipna, remainder, grid, accuracy).withColumnRenamed("__v", v + suffix)
         out = one if out is None else _joined(out, one, [*by, "quantile"])
     return out
 
 
-def _joined(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _joined(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """A join in which missing labels of a key equal each other."""
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    rest = [F.col(f"b.{c}") for c in b.columns if c not in keys]
-    both = a.alias("a").join(b.alias("b"), reduce_(lambda x, y: x & y, on)) if keys else a.alias("a").join(b.alias("b"))
-    return both.select(*(F.col(f"a.{c}") for c in a.columns), *rest)
+    on = reduce_(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    return a.alias("a").join(b.alias("b"), on, how).select(*(F.col(f"a.{c}") for c in a.columns), *(F.col(f"b.{c}") for c in b.columns if c not in keys))
 
 
-def _selected(df: DataFrame, by: Sequence[str], q: Sequence[float], skipna: bool, accuracy: int, remainder: int, spark) -> DataFrame:
+def _selected(df: DataFrame, value: Column, by: Sequence[str], q: Sequence[float], skipna: bool, remainder: int, grid: int, accuracy: int) -> DataFrame:
     from skillcube.sources.io import remove, remove_at_exit, scratch
 
+    spark, keys = df.sparkSession, [*by, "__g"]  # a constant key beside the others, for none at all
+    everything = df.select(*by, F.lit(0).alias("__g"), value.alias("__x"))
+    rows = everything.where("__x IS NOT NULL")
+
     def kept(frame: DataFrame) -> tuple[DataFrame, str]:
-        """A small table that is written: rounds do not repeat each other's work."""
+        """A row per key and quantile, written: rounds do not repeat each other's work."""
         path = scratch(spark, "brackets")
         frame.write.parquet(path)
         remove_at_exit(spark, path)
         return spark.read.schema(frame.schema).parquet(path), path
 
-    x, one = F.col("__x"), F.lit(1)
+    x, lo, hi = F.col("__x"), F.col("__lo"), F.col("__hi")
     levels = F.array(*(F.lit(float(p)) for p in q))
-    sizes = df.groupBy(*by).agg(F.count(x).alias("__n"), (F.count(x) == F.count(one)).alias("__ok"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
-    ranks = sizes.select(*by, F.posexplode(levels).alias("__i", "quantile"), "__n", "__ok", "__lo", "__hi")
-    ranks = ranks.withColumn("__r", (F.col("__n") - 1) * F.col("quantile")).withColumn("__k", F.floor("__r"))
-    # __below: values below __lo; __inside: those strictly between __lo and __hi
-    state, path = kept(ranks.withColumns({"__below": F.lit(0).cast("long"), "__inside": F.col("__n")}))
-    small = ["__i", "__k", "__lo", "__hi", "__below", "__inside"]
+    ends = everything.groupBy(*keys).agg(F.count(x).alias("__n"), (F.count(x) == F.count(F.lit(1))).alias("__ok"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
+    sought, sought_at = kept(ends.select(*keys, F.posexplode(levels).alias("__i", "quantile"), "__n", "__ok", ((F.col("__n") - 1) * F.col("quantile")).alias("__r")))
+    ids = [*keys, "__i"]
 
-    def between(open_: DataFrame) -> DataFrame:
-        return _joined(df.where(x.isNotNull()), open_.select(*by, *small), by).where(x.between(F.col("__lo"), F.col("__hi")))
+    def counted(brackets: DataFrame) -> DataFrame:
+        """keys, __i, __k, __lo, __hi with __below, __at (the lower bracket) and __inside (strictly between) counted."""
+        met = _joined(rows, brackets.select(*ids, "__k", "__lo", "__hi"), keys)
+        return met.groupBy(*ids, "__k", "__lo", "__hi").agg(F.count_if(x < lo).alias("__below"), F.count_if(x == lo).alias("__at"), F.count_if((x > lo) & (x < hi)).alias("__inside"), F.count_if(x == hi).alias("__last"))
 
+    start = _joined(sought.where("__n > 0"), ends.select(*keys, "__lo", "__hi"), keys).withColumn("__k", F.floor("__r"))
+    state, path = kept(counted(start))
     while True:
-        open_ = state.where((F.col("__inside") > remainder) & (F.col("__lo") < F.col("__hi")))
+        open_ = state.where(F.col("__inside") > remainder)
         if open_.isEmpty():
             break
-        rows = between(open_)
-        # among the values between the brackets the statistics sought have ranks k - below and the one after
-        total = F.count(one)
-        grid = F.approx_percentile(x, [k / 256 for k in range(257)], accuracy * 64).alias("__grid")
-        fine = rows.groupBy(*by, *small).agg(total.alias("__m"), grid)
-        at = lambda shift: F.greatest(F.lit(0), F.least(F.lit(256), F.floor((F.col("__k") - F.col("__below") + shift) * 256 / F.col("__m")) + (2 if shift else -1)))
-        drawn = fine.select(*by, *small, F.element_at("__grid", (at(0) + 1).cast("int")).alias("__a"), F.element_at("__grid", (at(1) + 1).cast("int")).alias("__b"))
-        drawn, drawn_at = kept(drawn)
-        again = _joined(df.where(x.isNotNull()), drawn.select(*by, *small, "__a", "__b"), by).where(x.between(F.col("__lo"), F.col("__hi")))
-        a, b = F.col("__a"), F.col("__b")
-        counted = again.groupBy(*by, *small, "__a", "__b").agg(F.count_if(x < a).alias("__less"), F.count_if(x <= b).alias("__upto"), F.count_if((x > a) & (x < b)).alias("__between"))
-        k = F.col("__k") - F.col("__below")
-        good = (F.col("__less") <= k) & (F.col("__upto") >= F.least(k + 2, F.col("__upto"))) & (F.col("__upto") > k) & (F.col("__between") < F.col("__inside"))
-        good &= (F.col("__upto") > k + 1) | (b == F.col("__hi"))
-        new = counted.where(good).select(*by, "__i", a.alias("__a"), b.alias("__b"), F.col("__less"), F.col("__between"))
-        before = state
-        merged = _left(before, new, [*by, "__i"])
-        found = F.col("__a").isNotNull()
-        pick = lambda new, old: F.when(found, new).otherwise(old)
-        state, new_path = kept(
-            merged.select(
-                *by, "__i", "quantile", "__n", "__ok", pick(F.col("__a"), F.col("__lo")).alias("__lo"), pick(F.col("__b"), F.col("__hi")).alias("__hi"), "__r", "__k",
-                (F.col("__below") + F.coalesce("__less", F.lit(0))).alias("__below"), pick(F.col("__between"), F.col("__inside")).alias("__inside"),
-            )
-        )
-        stuck = new.isEmpty()
+        met = _joined(rows, open_, keys).where((x > lo) & (x < hi))
+        cuts = met.groupBy(*open_.columns).agg(F.approx_percentile(x, [k / grid for k in range(grid + 1)], accuracy).alias("__cuts"))
+        # ranks p and p + 1 among the values strictly between are sought, -1 being the lower bracket and the last one after them the upper
+        p = F.col("__k") - F.col("__below") - F.col("__at")
+        first, last = F.floor(p * grid / F.col("__inside")) - 1, F.ceil((p + 1) * grid / F.col("__inside")) + 1
+        low = F.when(p >= F.col("__inside"), hi).when(first < 0, lo).otherwise(F.get("__cuts", F.least(first, F.lit(grid)).cast("int")))
+        high = F.when(p < -1, lo).when(last > grid, hi).otherwise(F.get("__cuts", F.greatest(last, F.lit(0)).cast("int")))
+        drawn, drawn_at = kept(cuts.select(*ids, "__k", low.alias("__lo"), high.alias("__hi"), F.col("__inside").alias("__was")))
+        new = _joined(counted(drawn), drawn.select(*ids, "__was"), ids)
+        # a bracket is taken if counting confirms it: rank k is not below it, rank k + 1 not above
+        upto = F.col("__below") + F.col("__at") + F.col("__inside") + F.when(lo < hi, F.col("__last")).otherwise(0)
+        size = _joined(new, sought.select(*ids, "__n"), ids)
+        good = size.where((F.col("__below") <= F.col("__k")) & (upto > F.least(F.col("__k") + 1, F.col("__n") - 1)) & (F.col("__inside") < F.col("__was"))).drop("__was", "__n")
+        rest = state.alias("s").join(good.alias("g"), [F.col(f"s.{k}").eqNullSafe(F.col(f"g.{k}")) for k in ids], "left_anti")
+        state, new_path = kept(rest.unionByName(good))
+        if good.isEmpty():
+            raise RuntimeError("no bracket was confirmed")
         remove(spark, path)
         remove(spark, drawn_at)
         path = new_path
-        if stuck:  # no bracket can be drawn in: what is left are few different values
-            break
-    # what is left is counted by value: a row for each that differs
-    counts = between(state).groupBy(*by, "__i", "__k", "__below", "__x").agg(F.count(one).alias("__c"))
-    cell = Window.partitionBy(*by, "__i")
-    upto = F.sum("__c").over(cell.orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)) + F.col("__below")
+    counts = _joined(rows, state.select(*ids, "__k", "__lo", "__hi", "__below"), keys).where(x.between(lo, hi)).groupBy(*ids, "__k", "__below", "__x").agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*ids).orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)) + F.col("__below")
     steps = counts.withColumn("__upto", upto)
-    found = steps.groupBy(*by, "__i").agg(F.min(F.when(F.col("__upto") > F.col("__k"), x)).alias("__v0"), F.min(F.when(F.col("__upto") > F.col("__k") + 1, x)).alias("__v1"))
-    done = _left(state, found, [*by, "__i"])
-    value = F.col("__v0") + (F.col("__r") - F.col("__k")) * (F.coalesce("__v1", "__v0") - F.col("__v0"))
-    return done.select(*by, "quantile", F.when(F.col("__ok") | F.lit(skipna), value).alias("__v"))
-
-
-def _left(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    on = reduce_(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
-    return a.alias("a").join(b.alias("b"), on, "left").select(*(F.col(f"a.{c}") for c in a.columns), *(F.col(f"b.{c}") for c in b.columns if c not in keys))
+    found = steps.groupBy(*ids).agg(F.min(F.when(F.col("__upto") > F.col("__k"), x)).alias("__v0"), F.min(F.when(F.col("__upto") > F.col("__k") + 1, x)).alias("__v1"))
+    done = _joined(sought, found, ids, "left")
+    part = F.col("__r") - F.floor("__r")
+    result = (1 - part) * F.col("__v0") + part * F.coalesce("__v1", "__v0")
+    return done.select(*by, "quantile", F.when(F.col("__ok") | F.lit(skipna), result).alias("__v"))
 
 
 def moments(df: DataFrame, value: str, by: Sequence[str], time: str = "time") -> DataFrame:

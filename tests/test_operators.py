@@ -308,3 +308,26 @@ def test_climatology_plans_do_not_multiply_rows(spark):
 def test_a_window_beyond_the_ring_raises(spark):
     with pytest.raises(ValueError):
         climatology.quantile(_ring_frame(spark), "x", ["latitude"], [0.5], window=367)
+
+
+@pytest.mark.parametrize(("by", "grid", "remainder", "skipna"), [(["level"], 40, 100, True), ([], 1000, 1000, False)])
+def test_selected_quantiles_are_exact(spark, by, grid, remainder, skipna):
+    """Heavy ties at both ends and inside, all values alike, few values, none, and missing labels; every round has to draw brackets in."""
+    r = random.Random(9)
+    rows = [(1, r.choice([0.0, 0.0, 0.0, 5.0, r.expovariate(1e-3), -r.random()])) for _ in range(3000)] + [(2, 7.0)] * 500 + [(3, float(k % 4)) for k in range(400)] + [(4, 1.0), (4, None), (5, None)]
+    rows += [(None, math.exp(r.gauss(0, 40))) for _ in range(2000)] + [(6, float(k)) for k in range(2)]
+    df = spark.createDataFrame(rows if by else [r for r in rows if r[1] is not None], "level int, x double").repartition(4)
+    q = [0.0, 0.001, 0.25, 0.5002, 0.9, 0.999, 1.0]
+    want = {(r.quantile, *(r[b] for b in by)): r.x_q for r in reduce.quantiles(df, ["x"], [] if by else ["level"], ["level"], q, skipna, "_q").collect()}
+    out = reduce.selected_quantiles(df, ["x"], by, q, skipna, "_q", remainder, grid, 16 * grid)
+    got = {(r.quantile, *(r[b] for b in by)): r.x_q for r in out.collect()}
+    assert got.keys() == want.keys()
+    assert all((got[k] is None and v is None) or got[k] == pytest.approx(v, rel=1e-12, abs=0) for k, v in want.items())
+
+
+def test_long_keys_are_selected(spark, monkeypatch):
+    df = spark.range(5000).select((F.col("id") % 2).cast("int").alias("level"), F.sin("id").alias("x"))
+    whole = sorted(map(tuple, reduce.quantiles(df, ["x"], [], ["level"], [0.1, 0.5]).collect()))
+    asked = []
+    monkeypatch.setattr(reduce, "selected_quantiles", lambda *a, was=reduce.selected_quantiles: (asked.append(1), was(*a))[1])
+    assert sorted(map(tuple, reduce.quantiles(df, ["x"], [], ["level"], [0.1, 0.5], gathered=1000).collect())) == whole and asked
