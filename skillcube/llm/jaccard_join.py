@@ -232,13 +232,15 @@ class _Join:
         text = F.coalesce("text", F.lit(""))
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tk"))
         classes = self.spark.sparkContext.broadcast(frequency_classes(self.texts.select("text"), width=width))  # 2**SKETCH_BITS bytes
-        self.rows, _ = staged(self.texts.mapInArrow(_described(classes, width, percent), _ROW), "sets")
+        described, at_described = staged(self.texts.mapInArrow(_described(classes, width, percent), _ROW), "sets")
         one = lambda c: F.first(c).alias(c)  # noqa: E731  equal within a digest
         pick = F.min(F.struct("doc_id", "tk"))  # nulls come first in a struct, so known ids alone are compared
         known = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tk")))
-        sets = self.rows.where("n > 0").groupBy("digest").agg(F.coalesce(known, pick).alias("row"), one("n"), one("prefix_digest"), one("tokens"), one("histogram"))
+        sets = described.where("n > 0").groupBy("digest").agg(F.coalesce(known, pick).alias("row"), one("n"), one("prefix_digest"), one("tokens"), one("histogram"))
         substitute = -F.abs(F.xxhash64("digest") / 2).cast("long") - 2
         sets, at = staged(sets.withColumn("id", F.coalesce("row.doc_id", substitute)), "equal-sets")
+        self.rows, _ = staged(described.select("doc_id", "tk", "n", "digest"), "rows")  # prefixes and histograms are of sets from here on
+        drop_path(self.spark, at_described)
         # a doc_id that rows with several sets carry names none of them
         shared, at_shared = staged(sets.groupBy("id").count().where("count > 1").select(F.col("id").alias("shared")), "shared-ids")
         sets = sets.join(shared, F.col("id") == F.col("shared"), "left").withColumn("id", F.when(F.col("shared").isNull(), F.col("id")).otherwise(substitute))
@@ -246,7 +248,7 @@ class _Join:
         heads = sets.where(F.size("tokens") > 0).groupBy(F.col("n").alias("of_n"), F.col("prefix_digest").alias("of_prefix")).agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
         heads, at_heads = staged(heads, "groups")
         sets = sets.join(heads, (F.col("n") == F.col("of_n")) & (F.col("prefix_digest") == F.col("of_prefix")), "left").withColumn("gid", F.coalesce("head", "id"))
-        self.sets, _ = staged(sets.select("id", "gid", "row", "digest", "n", "tokens", "histogram"), "distinct-sets")
+        self.sets, self.at_sets = staged(sets.select("id", "gid", "row", "digest", "n", "tokens", "histogram"), "distinct-sets")
         drop_path(self.spark, at, at_shared, at_heads)
 
     def near(self, pairs: DataFrame) -> DataFrame:
@@ -254,17 +256,21 @@ class _Join:
         side = lambda k: self.sets.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("histogram").alias(f"histogram_{k}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         both = both.where((F.col("n_a") * 100 >= F.col("n_b") * self.percent) & (F.col("n_b") * 100 >= F.col("n_a") * self.percent))
-        return staged(both.select("a", "b", "n_a", "n_b", "histogram_a", "histogram_b").mapInArrow(_close(self.percent), "a long, b long"), "near-pairs")[0]
+        return both.select("a", "b", "n_a", "n_b", "histogram_a", "histogram_b").mapInArrow(_close(self.percent), "a long, b long")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that link."""
+        """The pairs that link. What it takes to tell is removed afterwards."""
+        pairs, at_pairs = staged(self.near(pairs), "near-pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         # written first: the join then knows its size and broadcasts it only below Spark's threshold
-        asked, _ = staged(self.sets.join(ids, "id").select("id", F.col("row.doc_id").alias("of"), F.col("row.tk").alias("at")), "asked")
+        asked, at_asked = staged(self.sets.join(ids, "id").select("id", F.col("row.doc_id").alias("of"), F.col("row.tk").alias("at")), "asked")
         found = self.texts.join(asked, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tk") == F.col("at"))).select("id", "text").mapInArrow(_fetched(self.width), "id long, members binary")
-        found = staged(found, "members")[0].dropDuplicates(["id"])
+        found, at_found = staged(found, "members")
+        found = found.dropDuplicates(["id"])
         rows = pairs.join(found.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-        return staged(rows.select("a", "b", "x", "y").mapInArrow(_verified(self.percent), "a long, b long"), "links")[0]
+        links, _ = staged(rows.select("a", "b", "x", "y").mapInArrow(_verified(self.percent), "a long, b long"), "links")
+        drop_path(self.spark, at_pairs, at_asked, at_found)
+        return links
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(links that connect every component, labels id -> label of the sets that have links)."""
@@ -272,18 +278,24 @@ class _Join:
         heads = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("members"))
         tokens = groups.where("id = gid").join(heads, "gid").select("gid", "n", "members", F.posexplode("tokens").alias("pos", "token"))
         shared = tokens.groupBy("token").agg(F.sum("members").alias("in_sets"), F.min("gid").alias("leader")).where("in_sets > 1").drop("in_sets")
-        postings, _ = staged(tokens.join(shared, "token").select("token", "gid", "n", "pos", "leader"), "postings")
+        postings, at_postings = staged(tokens.join(shared, "token").select("token", "gid", "n", "pos", "leader"), "postings")
+        # a set's prefix is not needed again
+        at_sets = self.at_sets
+        self.sets, self.at_sets = staged(self.sets.withColumn("prefixed", F.size("tokens") > 0).drop("tokens"), "distinct-sets")
+        drop_path(self.spark, at_sets)
+        groups = self.sets.where("prefixed")
         # round 1: a leader for every group, the group for every member
         by = postings.where("gid <> leader").groupBy("gid", "leader").agg(F.count(F.lit(1)).alias("n"))
         best = by.groupBy("gid").agg(F.max(F.struct("n", (-F.col("leader")).alias("leader"))).alias("best"))
         first = best.select((-F.col("best.leader")).alias("a"), F.col("gid").alias("b")).unionByName(groups.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b")))
-        links = self.verify(self.near(first))
+        links = self.verify(first)
         labels = connected_components(links)
         # round 2: every pair whose components differ still
         members = groups.select("gid", "id").join(labels, "id", "left").select("gid", "id", F.coalesce("label", "id").alias("label"))
         spread = postings.drop("leader").join(members, "gid")
         mixed = spread.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-        open_, _ = staged(spread.join(mixed, "token").select("token", "id", "n", "pos", "label"), "open-postings")
+        open_, at_open = staged(spread.join(mixed, "token").select("token", "id", "n", "pos", "label"), "open-postings")
+        drop_path(self.spark, at_postings)
         # linked sets differ in size by one bucket at most, so a hot shingle meets itself in buckets
         bucket = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / self.percent) + 1e-6)).cast("int")  # a little wider, so rounding cannot part a pair by two
         open_ = open_.withColumn("bucket", bucket)
@@ -292,7 +304,8 @@ class _Join:
         fits = (F.col("label") != F.col("label_b")) & (F.col("id") < F.col("id_b")) & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * self.percent)
         fits &= F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) >= need  # holds for the first shingle they share
         second = open_.join(other, ["token", "bucket"]).where(fits).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
-        more = self.verify(self.near(second))
+        more = self.verify(second)
+        drop_path(self.spark, at_open)
         links = links.unionByName(more)
         return links, connected_components(links)
 
