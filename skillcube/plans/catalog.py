@@ -861,6 +861,17 @@ def _zarr_rechunk(spark, sf):
     return rounded(out.select(F.to_date("time").cast("string").alias("time"), *SPACE, "temperature"), "temperature")
 
 
+@query("netcdf_result", ORACLE_SQL["spatial_mse"])
+def _netcdf_result(spark, sf):
+    """A result as a netCDF file, read again by ranges of its records."""
+    result = QUERIES["spatial_mse"](spark, sf)
+    path = io.scratch(spark, "result") + ".nc"
+    io.write_cube(result, path)
+    io.remove_at_exit(spark, path)
+    out = io.read_cube(spark, path)
+    return out.select(F.col("lead_hours").cast("long").alias("lead_hours"), *SPACE, "mse", "mae", "bias")
+
+
 # ---- functions of arrays
 
 

@@ -1,4 +1,5 @@
-"""Cubes in files: Parquet tables with dimension columns and one double column per variable, or Zarr stores (paths that end in .zarr)."""
+"""Cubes in files: Parquet tables with dimension columns and one double column per variable, Zarr stores (paths that end in .zarr) or classic
+netCDF files (.nc)."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skillcube.operators import select
 from skillcube.operators.align import time_conventions
+from skillcube.sources.netcdf import File, read_netcdf, write_netcdf
 from skillcube.sources.zarr import Cube, read_zarr, write_zarr
 
 #: Dimensions of a cube in the order in which a store has them.
@@ -22,11 +24,11 @@ def is_zarr(path: str) -> bool:
 
 
 def read_cube(spark: SparkSession, path: str, variables: Sequence[str] | None = None, dims: Sequence[str] = DIMS) -> DataFrame:
-    """A cube; only the wanted columns are read, of a store only the arrays. NaN becomes missing. A store's prediction_timedelta is lead_hours."""
-    if is_zarr(path):
-        cube = Cube(path)
-        wanted = list(variables) if variables is not None else cube.variables()
-        df = read_zarr(spark, path, wanted).withColumnRenamed("prediction_timedelta", "lead_hours")
+    """A cube; only the wanted columns are read, of a store or an array file only those arrays. NaN becomes missing. A store's prediction_timedelta is lead_hours."""
+    if is_zarr(path) or path.endswith(".nc"):
+        opened, read = (Cube, read_zarr) if is_zarr(path) else (File, read_netcdf)
+        wanted = list(variables) if variables is not None else opened(path).variables()
+        df = read(spark, path, wanted).withColumnRenamed("prediction_timedelta", "lead_hours")
         keys = [c for c in df.columns if c not in wanted]
     else:
         df = spark.read.parquet(path)
@@ -49,6 +51,8 @@ def write_cube(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode:
     """A cube as Parquet, or as a store with chunks of so many labels (dims: which columns are dimensions)."""
     if is_zarr(path):
         return write_zarr(df, path, [d for d in dims if d in df.columns], chunks)
+    if path.endswith(".nc"):
+        return write_netcdf(df, path, [d for d in dims if d in df.columns])
     writer = df.write.mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
@@ -76,12 +80,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def write_result(df: DataFrame, output_dir: str, name: str, prefix: str = "", fmt: str = "parquet") -> str:
-    """A result cube, small by construction, under {dir}/{prefix}{name}. Formats: parquet, csv, json, zarr (metrics and regions are then labels)."""
+    """A result cube, small by construction, under {dir}/{prefix}{name}. Formats: parquet, csv, json, and zarr or netcdf (metrics and regions are then labels)."""
     path = f"{output_dir.rstrip('/')}/{prefix}{name}"
-    if fmt == "zarr":
+    if fmt in ("zarr", "netcdf"):
         labels = [c for c in ("metric", "region", *DIMS, "quantile", "bin") if c in df.columns]
-        write_zarr(df, f"{path}.zarr", labels)
-        return f"{path}.zarr"
+        path += ".zarr" if fmt == "zarr" else ".nc"
+        (write_zarr if fmt == "zarr" else write_netcdf)(df, path, labels)
+        return path
     if fmt not in ("parquet", "csv", "json"):
         raise ValueError(f"format {fmt!r}")
     writer = df.write.mode("overwrite")
@@ -96,23 +101,3 @@ def read_stations(spark: SparkSession, path: str, months: Sequence[int] | None =
     """Station reports partitioned by month, day and hour; the months wanted prune partitions."""
     df = spark.read.parquet(path)
     return df.where(F.col("month").isin(list(months))) if months else df
-
-
-def read_array_file(spark: SparkSession, path: str, schema: str, engine: str = "xarray") -> DataFrame:
-    """netCDF files as a cube, where xarray is installed: each file is opened whole on an executor. A Zarr store is a folder of chunks and cannot be read so."""
-    try:
-        import xarray  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("array files need xarray; convert them to Parquet") from e
-
-    def load(batches):
-        import io
-
-        import pyarrow as pa
-        import xarray as xr
-
-        for b in batches:
-            for raw in b.column("content").to_pylist():
-                yield from pa.Table.from_pandas(xr.open_dataset(io.BytesIO(raw)).to_dataframe().reset_index(), preserve_index=False).to_batches()
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(load, schema)

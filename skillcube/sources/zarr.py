@@ -292,9 +292,11 @@ class Boxes(InputPartition):
     boxes: list[tuple[tuple[int, int], ...]]
 
 
-class ZarrReader(DataSourceReader):
-    def __init__(self, path: str, schema: T.StructType):
-        self.cube, self.schema = Cube(path), schema
+class CubeReader(DataSourceReader):
+    """Reads the arrays of a cube, whatever they are stored in, by boxes of their chunks."""
+
+    def __init__(self, cube: Cube, schema: T.StructType):
+        self.cube, self.schema = cube, schema
         self.variables = [f.name for f in schema.fields if f.name in self.cube.arrays and self.cube.arrays[f.name].dims != (f.name,)]
         self.dims = list(self.cube.dims(self.variables))
         self.kept = {d: np.ones(len(self.cube.labels(d)), bool) for d in self.dims}
@@ -443,7 +445,7 @@ class Zarr(DataSource):
         return cube.schema(chosen)
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return ZarrReader(self.options["path"], schema)
+        return CubeReader(Cube(self.options["path"]), schema)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
         about = json.loads(Store(self.options["path"]).get(".zpending"))["metadata"]
@@ -496,7 +498,7 @@ class PieceWriter(ZarrWriter):
         return [key]
 
 
-def _encoded(dim: str, labels: list) -> tuple[np.ndarray, dict]:
+def encoded(dim: str, labels: list) -> tuple[np.ndarray, dict]:
     """Labels as they are stored, and their attributes."""
     if isinstance(labels[0], datetime):
         hours = [(x - labels[0]).total_seconds() / 3600 for x in labels]
@@ -536,7 +538,7 @@ def write_zarr(df: DataFrame, path: str, dims: Sequence[str], chunks: dict[str,
         about[f"{name}/.zattrs"] = {"_ARRAY_DIMENSIONS": dims} | more
 
     for d, labels in axes.items():
-        items, more = _encoded(d, labels)
+        items, more = encoded(d, labels)
         describe(d, items.dtype.str, [len(labels)], [len(labels)], [d], None, more)
         store.put(f"{d}/0", PACK[compressor](items.tobytes(), 1) if compressor else items.tobytes())
     for v in variables:

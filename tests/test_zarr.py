@@ -65,13 +65,13 @@ def test_partitions_are_chunks(spark, cube, tmp_path, monkeypatch):
     zarr.write_zarr(cube, path, DIMS, {"time": 2, "level": 1})
     monkeypatch.setattr(zarr, "CELLS", 1)
     schema = zarr.Cube(path).schema(["t"])
-    reader = zarr.ZarrReader(path, schema)
+    reader = zarr.CubeReader(zarr.Cube(path), schema)
     assert len(reader.partitions()) == 9
     left = list(reader.pushFilters([zarr.EqualTo(("level",), 700), zarr.GreaterThan(("time",), datetime(2020, 1, 1, 18)), zarr.LessThan(("t",), 5.0)]))
     assert left == [zarr.LessThan(("t",), 5.0)] and [p.boxes for p in reader.partitions()] == [[((4, 6), (1, 2), (0, 4), (0, 5))]]
     monkeypatch.setattr(zarr, "CELLS", 100)
-    assert len(zarr.ZarrReader(path, schema).partitions()) == 3
-    assert list(zarr.ZarrReader(path, schema).pushFilters([zarr.In(("level",), (1,))])) == []
+    assert len(zarr.CubeReader(zarr.Cube(path), schema).partitions()) == 3
+    assert list(zarr.CubeReader(zarr.Cube(path), schema).pushFilters([zarr.In(("level",), (1,))])) == []
 
 
 def test_nothing_wanted(spark, cube, tmp_path):
