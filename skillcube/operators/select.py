@@ -22,6 +22,22 @@ def variables(df: DataFrame, dims: Sequence[str], keep: Sequence[str] | None = N
     return df.select(*dims, *wanted)
 
 
+def described(df: DataFrame, dims: dict[str, Sequence[str]]) -> DataFrame:
+    """df with the dimensions of variables noted in their columns' metadata, where files and stores keep them. Unnoted variables have all."""
+    note = lambda c: F.col(c).alias(c, metadata=df.schema[c].metadata | {"dims": list(dims[c])}) if c in dims else F.col(c)
+    return df.select(*map(note, df.columns))
+
+
+def varies_along(df: DataFrame, variable: str, dim: str) -> bool:
+    """Whether a variable has a dimension: by its column's metadata, where that says so."""
+    return dim in df.schema[variable].metadata.get("dims", [dim])
+
+
+def drop_static(df: DataFrame, dim: str, variables: Sequence[str]) -> DataFrame:
+    """df without the variables that do not vary along a dimension; their values are repeated along it."""
+    return df.drop(*(v for v in variables if not varies_along(df, v, dim)))
+
+
 def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
 

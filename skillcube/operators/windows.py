@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillcube.operators.select import uniform_step
+
 _AGGREGATES = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum}
 
 
@@ -85,3 +88,45 @@ def daily_precipitation(df: DataFrame, by: Sequence[str], value: str = "total_pr
     """Daily sums of hourly amounts labelled by their end, as value_24hr: labels move back one hour first."""
     rows = df.withColumn(time, F.col(time) - _hours(1)).withColumnRenamed(value, f"{value}_24hr")
     return daily(rows, f"{value}_24hr", by, "sum", time)
+
+
+#: Fixed names: amounts that are summed over a day, and the variable that becomes one.
+ACCUMULATED, RENAMED = ("total_precipitation_24hr",), {"total_precipitation": "total_precipitation_24hr"}
+
+
+def resample_daily(df: DataFrame, values: Sequence[str], by: Sequence[str], period: str = "1d", statistics: Sequence[str] = ("mean",), suffix: bool = False, method: str = "resample", time: str = "time") -> DataFrame:
+    """Days (period Nd) of finer data, or windows of whole weeks (period Nw, method roll) of daily data labelled by their first day.
+
+    statistics: mean, min, max. With suffix, which several statistics need, min and max are called value_min and value_max. Accumulated amounts are
+    labelled by their end: they move back an hour and are summed, once whatever the statistics; what then falls before the first day goes. Missing
+    values are skipped; a sum of none is 0, other statistics of none are missing.
+    """
+    n, unit = int(period[:-1]), period[-1]
+    if unit not in "dw" or n < 1 or not statistics or set(statistics) - {"mean", "min", "max"} or method not in ("resample", "roll"):
+        raise ValueError(f"period {period!r}, statistics {list(statistics)}, method {method!r}")
+    if len(statistics) > 1 and not suffix:
+        raise ValueError("several statistics need suffixes")
+    if (method == "roll") != (unit == "w"):
+        raise ValueError("weeks are rolled from days, days are resampled")
+    df = df.withColumnsRenamed({k: v for k, v in RENAMED.items() if k in values})
+    values = [RENAMED.get(v, v) for v in values]
+    name = lambda v, how: f"{v}_{how}" if suffix and how != "mean" else v
+    if method == "roll":
+        if uniform_step(df, time) != timedelta(days=1):
+            raise ValueError("weeks are rolled from daily data")
+        rows = df.select(*by, time, *(F.col(v).alias(name(v, how)) for v in values for how in statistics))
+        for v in values:
+            for how in statistics:
+                rows = rolling(rows, name(v, how), by, 7 * n, how, time)
+        return rows.withColumn(time, F.col(time) - F.expr(f"INTERVAL {7 * n - 1} DAY"))
+    plain, sums = [v for v in values if v not in ACCUMULATED], [v for v in values if v in ACCUMULATED]
+    out = None
+    if plain:
+        rows = df.select(*by, time, *(F.col(v).alias(name(v, how)) for v in plain for how in statistics))
+        out = resample(rows, {name(v, how): how for v in plain for how in statistics}, by, 24 * n, "left", time)
+    if sums:
+        first = df.agg(F.date_trunc("day", F.min(time)).cast("timestamp_ntz")).first()[0]
+        rows = df.select(*by, F.col(time) - _hours(1), *sums).toDF(*by, time, *sums).where(F.col(time) >= F.lit(first))
+        days = resample(rows, dict.fromkeys(sums, "sum"), by, 24 * n, "left", time).fillna(0.0, sums)
+        out = days if out is None else out.join(days, [*by, time], "left")
+    return out

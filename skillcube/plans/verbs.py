@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from skillcube.operators import align, climatology, derived, reduce, regrid, sampler, select, windows
 from skillcube.plans import evaluate as ev
+from skillcube.sources import layout
 from skillcube.sources.io import read_cube, write_cube
 
 DIMS = ("time", "init_time", "lead_hours", "member", "realization", "number", "hour", "dayofyear", "quantile", "level", "latitude", "longitude")
@@ -28,6 +29,11 @@ def _names(text: str | None) -> list[str]:
     return [x for x in (text or "").split(",") if x]
 
 
+def moving(df: DataFrame, time: str = "time") -> DataFrame:
+    """The cube without variables that have no time."""
+    return select.drop_static(df, time, split(df)[1])
+
+
 def slice_(df: DataFrame, a) -> DataFrame:
     dims, _ = split(df)
     df = select.variables(df, dims, _names(a.keep) or None, _names(a.drop) or None)
@@ -60,18 +66,28 @@ def moments(df: DataFrame, a) -> DataFrame:
 
 
 def resample(df: DataFrame, a) -> DataFrame:
+    df = moving(df, a.time)
     dims, values = split(df)
     pick = lambda t: values if t == "ALL" else _names(t)
     return windows.resample_in_time(df, [d for d in dims if d != a.time], a.period_hours, pick(a.mean), pick(a.min), pick(a.max), pick(a.sum), a.step_hours, a.method, a.side, a.mean_suffix, a.time, a.skipna)
 
 
 def weekly(df: DataFrame, a) -> DataFrame:
+    df = moving(df, a.time)
     dims, values = split(df)
     for v in values:
         df = windows.rolling(df, v, [d for d in dims if d != a.time], 7 * a.weeks, a.how, a.time)
     return df.withColumn(a.time, F.col(a.time) - F.expr(f"INTERVAL {7 * a.weeks - 1} DAY"))
 
 
+def resample_daily(df: DataFrame, a) -> DataFrame:
+    """Variables without a time are left out: nothing of them is resampled."""
+    df = moving(df, a.time)
+    dims, values = split(df)
+    df = select.label_range(df, a.time, a.start_year, a.end_year)
+    return windows.resample_daily(df, values, [d for d in dims if d != a.time], a.period, _names(a.statistics), a.add_statistic_suffix, a.method, a.time)
+
+
 def regrid_(df: DataFrame, a) -> DataFrame:
     dims, values = split(df)
     source = regrid.Grid(tuple(select.check_increasing(sorted(r[0] for r in df.select("latitude").distinct().collect()))), tuple(sorted(r[0] for r in df.select("longitude").distinct().collect())))
@@ -80,6 +96,7 @@ def regrid_(df: DataFrame, a) -> DataFrame:
 
 
 def climatology_(df: DataFrame, a) -> DataFrame:
+    df = moving(df)
     dims, values = split(df)
     df = df.where(F.year("time").between(a.first_year, a.last_year))
     space, keys, out = [d for d in dims if d != "time"], None, None
@@ -150,6 +167,7 @@ VERBS: dict[str, tuple[Callable, dict[str, dict]]] = {
     "quantiles": (quantiles, {"over": {"required": True}, "q": {"required": True}, "suffix": _TEXT, "skipna": {"action": "store_true"}}),
     "moments": (moments, {"time": {"default": "time"}}),
     "resample": (resample, {"period-hours": {"type": int, "required": True}, "step-hours": {"type": int, "default": 24}, "mean": _TEXT, "min": _TEXT, "max": _TEXT, "sum": _TEXT, "method": {"default": "resample", "choices": ["resample", "rolling"]}, "side": {"default": "left", "choices": ["left", "right"]}, "mean-suffix": {"action": "store_true"}, "time": {"default": "time"}, "skipna": {"action": "store_true"}}),
+    "resample-daily": (resample_daily, {"period": {"default": "1d"}, "statistics": {"default": "mean"}, "add-statistic-suffix": {"action": "store_true"}, "method": {"default": "resample", "choices": ["resample", "roll"]}, "start-year": {}, "end-year": {}, "time": {"default": "time"}}),
     "weekly": (weekly, {"weeks": {"type": int, "default": 1}, "how": {"default": "mean"}, "time": {"default": "time"}}),
     "regrid": (regrid_, {"latitudes": {"type": int, "required": True}, "longitudes": {"type": int, "required": True}, "poles": {"action": "store_true"}, "method": {"default": "conservative", "choices": sorted(regrid.METHODS)}}),
     "climatology": (climatology_, {"first-year": {"type": int, "default": 1990}, "last-year": {"type": int, "default": 2020}, "statistics": {"default": "mean"}, "method": {"default": "explicit", "choices": ["explicit", "fast"]}, "window": {"type": int, "default": 61}, "hourly": {"action": "store_true"}, "q": {"default": "0.1,0.5,0.9"}, "dry-mm": {"type": float, "default": 0.25}}),
@@ -161,8 +179,24 @@ VERBS: dict[str, tuple[Callable, dict[str, dict]]] = {
 }
 
 
-def run(spark: SparkSession, verb: str, source: str, target: str | None = None, **options) -> DataFrame:
-    """A verb with its options by name (dashes as underscores); writes to target if it is given."""
+def parse_chunks(text: str) -> dict[str, int]:
+    """'time=31,level=1' as labels per chunk; -1 is all of them, so it is left out."""
+    out = {}
+    for part in _names(text):
+        dim, _, size = part.partition("=")
+        if not dim or not size.lstrip("-").isdigit() or int(size) == 0 or int(size) < -1 or dim in out:
+            raise ValueError(f"cannot read {part!r}")
+        out[dim] = int(size)
+    return {d: n for d, n in out.items() if n > 0}
+
+
+def rechunk(spark: SparkSession, source: str, target: str, chunks: str, variables: str = "", memory_mb: int = layout.MAX_BYTES >> 20) -> None:
+    """A store's variables in other chunks (see sources.layout)."""
+    layout.rechunk(spark, source, target, parse_chunks(chunks), _names(variables) or None, most=int(memory_mb) << 20)
+
+
+def run(spark: SparkSession, verb: str, source: str, target: str | None = None, chunks: str = "", **options) -> DataFrame:
+    """A verb with its options by name (dashes as underscores); writes to target if it is given, in these chunks if it is a store."""
     work, flags = VERBS[verb]
     known = {k.replace("-", "_"): spec.get("default", False if spec.get("action") else None) for k, spec in flags.items()}
     wrong = set(options) - set(known)
@@ -171,7 +205,7 @@ def run(spark: SparkSession, verb: str, source: str, target: str | None = None,
         raise TypeError(f"{verb}: unknown options {sorted(wrong)}, missing options {sorted(lacking)}")
     out = work(read_cube(spark, source, dims=DIMS), argparse.Namespace(**(known | options)))
     if target:
-        write_cube(out, target)
+        write_cube(out, target, chunks=parse_chunks(chunks))
     return out
 
 
@@ -182,8 +216,14 @@ def main(argv: Sequence[str] | None = None) -> None:
         p = verbs.add_parser(name)
         p.add_argument("--input", required=True)
         p.add_argument("--output", required=True)
+        p.add_argument("--chunks", default="", help="labels per chunk of a store that is written, like time=31,level=1")
         for flag, spec in flags.items():
             p.add_argument(f"--{flag}", **spec)
+    p = verbs.add_parser("rechunk")
+    for flag in ("input", "output", "chunks"):
+        p.add_argument(f"--{flag}", required=True)
+    p.add_argument("--variables", default="")
+    p.add_argument("--memory-mb", type=int, default=layout.MAX_BYTES >> 20)
     p = verbs.add_parser("evaluate")
     for flag in ("forecast", "truth", "climatology", "output", "variables"):
         p.add_argument(f"--{flag}", required=flag != "climatology")
@@ -206,5 +246,8 @@ def main(argv: Sequence[str] | None = None) -> None:
         data = ev.Data(selection, a.forecast, a.truth, a.climatology, not a.by_valid, level_suffixes=a.level_suffixes)
         ev.evaluate(spark, data, {k: chosen[k] for k in _names(a.configs)}, a.output)
         return
+    if a.verb == "rechunk":
+        rechunk(spark, a.input, a.output, a.chunks, a.variables, a.memory_mb)
+        return
     options = {k: v for k, v in vars(a).items() if k not in ("verb", "input", "output") and v is not None}
     run(spark, a.verb, a.input, a.output, **options)

@@ -34,8 +34,9 @@ def read_cube(spark: SparkSession, path: str, variables: Sequence[str] | None =
         df = spark.read.parquet(path)
         keys = [d for d in dims if d in df.columns]
     df = df.select(*keys, *(variables if variables is not None else [c for c in df.columns if c not in keys]))
-    numbers = [f.name for f in df.schema.fields if f.name not in keys and f.dataType.typeName() in ("float", "double")]
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c).cast("double")) for c in numbers})
+    numbers = {f.name for f in df.schema.fields if f.name not in keys and f.dataType.typeName() in ("float", "double")}
+    # what is known of a variable's dimensions stays with its column
+    return df.select(*(F.when(~F.isnan(f.name), F.col(f.name).cast("double")).alias(f.name, metadata=f.metadata) if f.name in numbers else F.col(f.name) for f in df.schema.fields))
 
 
 def open_forecast(spark: SparkSession, path: str, by_init: bool, rename: dict[str, str] | None = None, level_suffixes: bool = False, variables: Sequence[str] | None = None) -> DataFrame:

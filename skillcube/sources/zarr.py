@@ -237,7 +237,7 @@ class Cube:
 
     def schema(self, variables: Sequence[str]) -> T.StructType:
         fields = [T.StructField(d, _label_type(self.labels(d)), False) for d in self.dims(variables)]
-        return T.StructType(fields + [T.StructField(v, _item_type(self.arrays[v]), True) for v in variables])
+        return T.StructType(fields + [T.StructField(v, _item_type(self.arrays[v]), True, {"dims": list(self.arrays[v].dims)}) for v in variables])
 
 
 def _decoded_labels(a: Array, raw: np.ndarray) -> np.ndarray:

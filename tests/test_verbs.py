@@ -1,11 +1,18 @@
 """Verbs from files to files, and the driver contract."""
 
+import json
+import struct
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from skillcube.operators import select
 from skillcube.plans import verbs
+from skillcube.sources import zarr
+from skillcube.sources.io import read_cube
 
 
 @pytest.fixture
@@ -48,3 +55,66 @@ def test_contract(spark, sf):
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names) and "mae_by_region" in names
     assert __spark_entry__.entry(spark).count() > 0
+
+
+RAIN, DAY = "total_precipitation", "total_precipitation_24hr"
+
+
+def hourly(spark, days=3):
+    """Hours of three days at one place: t is the hour's number, a value is missing, rain is 1 in the hour that ends at midnight."""
+    t = datetime(2020, 1, 1)
+    rows = [(t + timedelta(hours=h), 0.0, float(h) if h != 30 else None, 1.0 if h % 24 == 0 else 0.25) for h in range(24 * days)]
+    return spark.createDataFrame(rows, f"time timestamp_ntz, latitude double, t double, {RAIN} double")
+
+
+def test_resample_daily(spark, tmp_path):
+    hourly(spark).write.parquet(f"{tmp_path}/in")
+    run = lambda **o: verbs.run(spark, "resample-daily", f"{tmp_path}/in", **o).orderBy("time")
+    out = run(statistics="mean,min,max", add_statistic_suffix=True)
+    assert set(out.columns) == {"time", "latitude", "t", "t_min", "t_max", DAY}
+    rows = out.collect()
+    assert [r.time.day for r in rows] == [1, 2, 3] and [r.t_min for r in rows] == [0, 24, 48] and [r.t_max for r in rows] == [23, 47, 71]
+    assert rows[1].t == pytest.approx((sum(range(24, 48)) - 30) / 23)
+    # an amount is of the hour before its label: midnight's belongs to the day that ends, and the first one to no day here
+    assert [r[DAY] for r in rows] == [pytest.approx(23 * 0.25 + 1)] * 2 + [pytest.approx(23 * 0.25)]
+    assert run(start_year="2021").count() == 0 and run(period="2d").count() == 2
+    for wrong in ({"statistics": "mean,max"}, {"statistics": "sum"}, {"period": "1w"}, {"method": "roll"}, {"period": "1w", "method": "roll"}):
+        with pytest.raises(ValueError):
+            run(**wrong)
+
+
+def test_rolled_weeks(spark, cube, tmp_path):
+    out = verbs.run(spark, "resample-daily", cube, period="1w", method="roll", statistics="max,min", add_statistic_suffix=True)
+    first = out.where("latitude = 0 AND level = 500 AND longitude = 0 AND u_component_of_wind_max IS NOT NULL").orderBy("time").first()
+    assert first.time == datetime(2019, 1, 1) and (first.u_component_of_wind_min, first.u_component_of_wind_max) == (0.0, 6.0)
+
+
+def test_static_variables_go_by_dimension(spark, tmp_path):
+    """Through a store, where the file says so, and through Parquet, where the column does."""
+    times = zarr_cube = hourly(spark).withColumn("orography", F.col("latitude") + 1)
+    zarr.write_zarr(times.drop("orography"), f"{tmp_path}/a.zarr", ["time", "latitude"])
+    about = json.loads(Path(tmp_path, "a.zarr/.zmetadata").read_text())
+    about["metadata"]["orography/.zarray"] = about["metadata"]["t/.zarray"] | {"shape": [1], "chunks": [1], "compressor": None}
+    about["metadata"]["orography/.zattrs"] = {"_ARRAY_DIMENSIONS": ["latitude"]}
+    Path(tmp_path, "a.zarr/orography").mkdir()
+    Path(tmp_path, "a.zarr/orography/0").write_bytes(struct.pack("<d", 1.0))
+    Path(tmp_path, "a.zarr/.zmetadata").write_text(json.dumps(about))
+    select.described(zarr_cube, {"orography": ["latitude"]}).write.parquet(f"{tmp_path}/p")
+    for path in (f"{tmp_path}/a.zarr", f"{tmp_path}/p"):
+        cube = read_cube(spark, path)
+        assert cube.agg(F.sum("orography")).first()[0] == 72 and not select.varies_along(cube, "orography", "time") and select.varies_along(cube, "t", "time")
+        out = verbs.run(spark, "resample-daily", path)
+        assert set(out.columns) == {"time", "latitude", "t", DAY} and out.count() == 3
+
+
+def test_rechunk_verb_and_chunk_flags(spark, tmp_path):
+    assert verbs.parse_chunks("time=31,level=1,latitude=-1") == {"time": 31, "level": 1} and verbs.parse_chunks("") == {}
+    for wrong in ("time", "time=0", "time=-2", "time=x", "time=1,time=2", "=3"):
+        with pytest.raises(ValueError):
+            verbs.parse_chunks(wrong)
+    hourly(spark).write.parquet(f"{tmp_path}/in")
+    verbs.run(spark, "resample", f"{tmp_path}/in", f"{tmp_path}/out.zarr", "time=1", period_hours=24, mean="t")
+    assert zarr.Cube(f"{tmp_path}/out.zarr").arrays["t"].chunks == (1, 1)
+    verbs.main(["rechunk", "--input", f"{tmp_path}/out.zarr", "--output", f"{tmp_path}/new.zarr", "--chunks", "time=2"])
+    assert zarr.Cube(f"{tmp_path}/new.zarr").arrays["t"].chunks == (2, 1)
+    assert sorted(map(str, read_cube(spark, f"{tmp_path}/new.zarr").collect())) == sorted(map(str, read_cube(spark, f"{tmp_path}/out.zarr").collect()))
