@@ -1,6 +1,8 @@
 """Sampled climatological forecasts: which source times stand in for each initial time and member.
 
-The sample is a small driver-side table (initial times x members); only the resulting mapping meets the observations in a join.
+drawn() draws in Spark: a draw is a function of the seed, the initial time and the member (a counter), so it needs no state, is the same for any
+partitions and retries, and nothing but the sampler's own numbers reaches the driver. mapping() draws the numbers of a seeded generator on the driver,
+for a small table of initial times and members.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillcube.operators.align import sampled
@@ -101,5 +103,81 @@ class Sampler:
         return leads.select("time", "member", "lead_hours", (F.col("base") + F.make_dt_interval(hours=F.col("lead_hours").cast("int"))).alias("source_time"))
 
 
+#: Fixed values of the counter's mixing: a prime modulus, an odd multiplier, an increment and weights of the counters.
+PRIME, FACTOR, STEP, WEIGHTS = 2_147_483_647, 48_271, 12_345, (1_000_003, 7_919, 104_729, 15_485_863)
+
+
+def counter(seed: int, *counters: Column) -> Column:
+    """An even whole number below PRIME that depends on seed and counters alone: four rounds of x -> x * x + FACTOR * x + STEP. Counters: up to three."""
+    x = F.lit(seed * WEIGHTS[0])
+    for w, c in zip(WEIGHTS[1:], counters, strict=False):
+        x = x + F.pmod(c.cast("long"), F.lit(PRIME)) * w
+    x = F.array(F.pmod(x, F.lit(PRIME)))
+    for _ in range(4):  # lambdas, so that an expression isn't written out again for each use
+        x = F.transform(x, lambda y: (F.pmod(y * y, F.lit(PRIME)) + y * FACTOR + STEP) % PRIME)
+    return x[0]
+
+
+def _pick_year(s: Sampler, of: Column, k: Column) -> tuple[Column, Column]:
+    """(number of years that may be drawn for a year, the k-th of them)."""
+    n = s.last_year - s.first_year + 1
+    if s.leave_out_years is None:
+        return F.lit(n), s.first_year + k
+    before = F.least(F.greatest(of - s.first_year, F.lit(0)), F.lit(n))
+    again = F.greatest(of + s.leave_out_years + 1, F.lit(s.first_year))
+    return before + F.greatest(s.last_year - again + 1, F.lit(0)), F.when(k < before, s.first_year + k).otherwise(again + k - before)
+
+
+def drawn(times: DataFrame, s: Sampler) -> DataFrame:
+    """time, member, source_time of every initial time (a column time of times) and member.
+
+    With replacement a year and a day of the window are drawn apart. Without, the combinations of both are put into a random order of their own for
+    each time, of which the first ones are taken. Held samples keep their days for hold_days from the first time on. A time for which no year is left,
+    or too few combinations, raises.
+    """
+    days = s.offsets()
+    hours = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01', CAST(time AS TIMESTAMP_NTZ))")
+    rows = times.select("time").distinct().withColumns({"__h": hours, "__of": F.year("time")})
+    years, _ = _pick_year(s, F.col("__of"), F.lit(0))
+    rows = rows.withColumn("__n", years.cast("long"))
+    first, width = int(days[0]), len(days)
+    if s.replace:
+        held = F.col("__h")
+        if s.hold_days:
+            start = times.agg(F.min("time")).first()[0]
+            since = (start - datetime(1970, 1, 1)).total_seconds() // 3600
+            held = F.lit(int(since)) + F.floor((F.col("__h") - int(since)) / (24 * s.hold_days)) * (24 * s.hold_days)
+        rows = rows.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(s.members - 1))))
+        some = F.when(F.col("__n") > 0, F.col("__n")).otherwise(F.raise_error(F.lit("no years are left to sample")).cast("long"))
+        rows = rows.withColumns({"__k": counter(s.seed, F.col("__h"), F.col("member"), F.lit(1)) % some, "__day": counter(s.seed, held, F.col("member"), F.lit(2)) % width + first})
+    else:
+        if s.hold_days:
+            raise ValueError("held samples are drawn with replacement")
+        pool = F.sequence(F.lit(0).cast("long"), F.col("__n") * width - 1)
+        if s.members == -1:
+            order = pool
+        else:
+            least = F.col("__n") * width >= s.members
+            keyed = F.transform(pool, lambda k: F.struct(counter(s.seed, F.col("__h"), k, F.lit(3)).alias("key"), k.alias("k")))
+            order = F.when(least, F.slice(F.array_sort(keyed), 1, s.members)["k"]).otherwise(F.raise_error(F.lit(f"{s.members} members from too few combinations")).cast("array<bigint>"))
+        rows = rows.where((F.col("__n") > 0) | F.raise_error(F.lit("no years are left to sample")).cast("boolean")).select("*", F.posexplode(order).alias("member", "__c"))
+        rows = rows.withColumns({"__k": F.expr(f"__c div {width}"), "__day": F.col("__c") % width + first})
+    year = _pick_year(s, F.col("__of"), F.col("__k"))[1].cast("int")
+    rows = rows.withColumns({"__year": year, "__length": F.dayofyear(F.make_date(year, F.lit(12), F.lit(31))), "__at": F.dayofyear("time") + F.col("__day")})
+    at = F.col("__at")
+    if s.edge == WRAP_YEAR:
+        at = F.pmod(at - 1, F.col("__length")) + 1
+    elif s.edge == REFLECT_RANGE:
+        at = F.when((F.col("__year") == s.first_year) & (at < 1), F.abs(at) + 2).when((F.col("__year") == s.last_year) & (at > F.col("__length")), 2 * F.col("__length") - at).otherwise(at)
+    source = F.date_add(F.make_date("__year", F.lit(1), F.lit(1)), (at - 1).cast("int")).cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour("time"))
+    return rows.select("time", F.col("member").cast("int").alias("member"), source.alias("source_time"))
+
+
+def drawn_forecast(observations: DataFrame, s: Sampler, times: DataFrame, lead_hours: Sequence[int]) -> DataFrame:
+    """The sampled forecast of a table of initial times, drawn in Spark."""
+    leads = drawn(times, s).withColumn("lead_hours", F.explode(F.array(*(F.lit(int(h)).cast("long") for h in lead_hours))))
+    return sampled(leads.withColumn("source_time", F.col("source_time") + F.make_dt_interval(hours=F.col("lead_hours").cast("int"))), observations)
+
+
 def sampled_forecast(observations: DataFrame, sampler: Sampler, times: Sequence[datetime], lead_hours: Sequence[int]) -> DataFrame:
     return sampled(sampler.mapping(observations.sparkSession, times, lead_hours), observations)

@@ -567,6 +567,39 @@ def _combinations(spark, sf):
     return _sampled_rows(spark, sf, sampler.Sampler(1996, 1999, window=7, replace=False, edge=sampler.WRAP_YEAR))
 
 
+def _counter_sql(rows: str, seed: int, counters: Sequence[str], name: str) -> str:
+    """rows with a column `name`, the sampler's counter: four rounds, each a query of its own."""
+    start = f"SELECT *, ({seed * 1000003}::BIGINT + " + " + ".join(f"(({c})::BIGINT % 2147483647) * {w}" for w, c in zip((7919, 104729, 15485863), counters, strict=True)) + f") % 2147483647 AS {name} FROM ({rows})"
+    for _ in range(4):
+        start = f"SELECT * REPLACE (({name} * {name} % 2147483647 + {name} * 48271 + 12345) % 2147483647 AS {name}) FROM ({start})"
+    return start
+
+
+_TIMES = "SELECT time, (epoch(time::TIMESTAMP) // 3600)::BIGINT AS h FROM (SELECT DISTINCT time FROM ser)"
+_SOURCE = "(make_date(y, 1, 1) + ((dayofyear(time) + o - 1 + dayofyear(make_date(y, 12, 31))) % dayofyear(make_date(y, 12, 31)))::INTEGER)"
+# of 1996 to 1999 without a time's own year and the next
+_LEFT = "list_filter([1996, 1997, 1998, 1999], lambda v: v < year(time) OR v > year(time) + 1)"
+_DRAWN = _counter_sql(_counter_sql(f"SELECT *, unnest(range(0, 5)) AS member FROM ({_TIMES})", 11, ["h", "member", "1"], "a"), 11, ["h", "member", "2"], "b")
+_MIXED = _counter_sql(f"SELECT *, unnest(range(0, 7 * len({_LEFT}))) AS c FROM ({_TIMES})", 11, ["h", "c", "3"], "a")
+
+
+@query("sampled_counters", with_ctes(["ser"], f"mp AS (SELECT time, member, {_SOURCE} AS source FROM (SELECT time, member, {_LEFT}[a % len({_LEFT}) + 1] AS y, b % 7 - 3 AS o FROM ({_DRAWN})))", _DAILY) + _FROM_SOURCES)
+def _counters(spark, sf):
+    """Five members with replacement for every time of the series, drawn in Spark; SQL restates the draw."""
+    return _drawn_rows(spark, sf, sampler.Sampler(1996, 1999, window=7, members=5, leave_out_years=1, seed=11))
+
+
+@query("sampled_order", with_ctes(["ser"], f"mp AS (SELECT time, member, {_SOURCE} AS source FROM (SELECT time, row_number() OVER (PARTITION BY time ORDER BY a, c) - 1 AS member, {_LEFT}[c // 7 + 1] AS y, c % 7 - 3 AS o FROM ({_MIXED})) WHERE member < 5)", _DAILY) + _FROM_SOURCES)
+def _sampled_order(spark, sf):
+    """Five of a time's combinations without replacement."""
+    return _drawn_rows(spark, sf, sampler.Sampler(1996, 1999, window=7, members=5, replace=False, leave_out_years=1, seed=11))
+
+
+def _drawn_rows(spark: SparkSession, sf: str, by: sampler.Sampler) -> DataFrame:
+    out = sampler.drawn_forecast(without_gaps(spark, sf), by, cubes.series(spark, sf).select("time"), [0])
+    return rounded(out.select(F.to_date("time").cast("string").alias("time"), "member", "latitude", (F.col("precip") * 1e4).alias("precip")), "precip")
+
+
 # ---- averages, quantiles, resampling, selection
 
 

@@ -331,3 +331,49 @@ def test_long_keys_are_selected(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(reduce, "selected_quantiles", lambda *a, was=reduce.selected_quantiles: (asked.append(1), was(*a))[1])
     assert sorted(map(tuple, reduce.quantiles(df, ["x"], [], ["level"], [0.1, 0.5], gathered=1000).collect())) == whole and asked
+
+
+def _drawn(spark, s, n=40, hours=24, start=datetime(1998, 12, 20)):
+    times = spark.createDataFrame([(start + timedelta(hours=hours * k),) for k in range(n)], "time timestamp_ntz")
+    return {(r.time, r.member): r.source_time for r in sampler.drawn(times, s).collect()}
+
+
+def test_draws_in_spark_keep_the_window_and_the_years(spark):
+    """Window, years and edges are those of the sampler on the driver; all of the window and all years occur."""
+    got = _drawn(spark, sampler.Sampler(1995, 2000, window=9, members=30, leave_out_years=1, edge=sampler.NO_EDGE), hours=30)
+    seen = set()
+    for (t, _), source in got.items():
+        offsets = [(source - datetime(y, 1, 1, t.hour)).days + 1 - t.timetuple().tm_yday for y in range(1995, 2001)]
+        year = next(y for y, o in zip(range(1995, 2001), offsets, strict=True) if abs(o) <= 4)
+        assert source.hour == t.hour and not t.year <= year <= t.year + 1
+        seen.add((year, next(o for o in offsets if abs(o) <= 4)))
+    assert {o for _, o in seen} == set(range(-4, 5)) and {y for y, _ in seen} >= {1995, 1996, 1997, 1998}
+    assert got == _drawn(spark, sampler.Sampler(1995, 2000, window=9, members=30, leave_out_years=1, edge=sampler.NO_EDGE), hours=30)
+    assert got != _drawn(spark, sampler.Sampler(1995, 2000, window=9, members=30, leave_out_years=1, edge=sampler.NO_EDGE, seed=1), hours=30)
+
+
+@pytest.mark.parametrize("edge", [sampler.WRAP_YEAR, sampler.REFLECT_RANGE, sampler.NO_EDGE])
+def test_draws_without_replacement_are_combinations(spark, edge):
+    """All combinations are those that the sampler on the driver has, in its order; some of them are different ones."""
+    every = sampler.Sampler(1997, 1999, window=5, replace=False, edge=edge)
+    times = [datetime(1998, 12, 20) + timedelta(days=k) for k in range(20)]
+    want = {(t, m): s for t, ss in zip(times, every.source_times(times), strict=True) for m, s in enumerate(ss)}
+    assert _drawn(spark, every, 20) == want
+    some = _drawn(spark, sampler.Sampler(1997, 1999, window=5, members=8, replace=False, edge=edge), 20)
+    by_time = {}
+    for (t, m), s in some.items():
+        by_time.setdefault(t, {})[m] = s
+    for t, picks in by_time.items():
+        pool = [want[t, m] for m in range(15)]
+        assert set(picks) == set(range(8)) and all(list(picks.values()).count(x) <= pool.count(x) for x in picks.values())
+    assert len({tuple(p.values()) for p in by_time.values()}) > 10
+
+
+def test_draws_that_are_held_and_that_fail(spark):
+    got = _drawn(spark, sampler.Sampler(1990, 1990, window=31, members=3, hold_days=5, edge=sampler.NO_EDGE), 15, start=datetime(1991, 3, 1))
+    for m in range(3):
+        offsets = [got[t, m].timetuple().tm_yday - t.timetuple().tm_yday for t, k in sorted(got) if k == m]
+        assert [len(set(offsets[k : k + 5])) for k in (0, 5, 10)] == [1, 1, 1] and len(set(offsets)) > 1
+    for s in (sampler.Sampler(1998, 1998, window=3, members=2, leave_out_years=2), sampler.Sampler(1998, 1998, window=3, members=2, replace=False, leave_out_years=2), sampler.Sampler(1998, 1998, window=3, members=4, replace=False)):
+        with pytest.raises(Exception, match="(?i)no years|too few"):
+            _drawn(spark, s)
