@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skillcube.functions.numeric import norm_cdf_sql, norm_ppf
 from skillcube.functions.weights import window_weights, with_latitude_weights
-from skillcube.operators import align, climatology, derived, reduce, regrid, sampler, scores, select, ufunc, windows
+from skillcube.operators import align, climatology, derived, nearest, reduce, regrid, sampler, scores, select, ufunc, windows
 from skillcube.operators.regions import BOXES, Region, named, with_regions
 from skillcube.plans import evaluate as ev
 from skillcube.sources import cubes, io, layout, mock, zarr
@@ -600,6 +600,28 @@ def _drawn_rows(spark: SparkSession, sf: str, by: sampler.Sampler) -> DataFrame:
     return rounded(out.select(F.to_date("time").cast("string").alias("time"), "member", "latitude", (F.col("precip") * 1e4).alias("precip")), "precip")
 
 
+# ---- scattered points
+
+_HASHED = "((event_id * 7919 % 100003) / 100003.0 * 180 - 90) AS latitude, ((event_id * 104729 % 99991) / 99991.0 * 360) AS longitude"
+_PART = "((p_partkey * 48271 % 65537) / 65537.0 * 180 - 90) AS latitude, ((p_partkey * 69621 % 65521) / 65521.0 * 360) AS longitude"
+_XYZ = "cos(radians(latitude)) * cos(radians(longitude)) AS x, cos(radians(latitude)) * sin(radians(longitude)) AS y, sin(radians(latitude)) AS z"
+
+
+@query(
+    "nearest_station",
+    f"""WITH e AS (SELECT event_id, {_XYZ} FROM (SELECT event_id, {_HASHED} FROM events)), p AS (SELECT p_partkey, latitude, longitude, {_XYZ} FROM (SELECT p_partkey, {_PART} FROM part)),
+d AS (SELECT event_id, p_partkey, latitude, longitude, sqrt((e.x - p.x) ** 2 + (e.y - p.y) ** 2 + (e.z - p.z) ** 2) AS c FROM e CROSS JOIN p),
+m AS (SELECT event_id, arg_min(p_partkey, (round(c, 9), latitude, longitude)) AS station, min(c) AS c FROM d GROUP BY event_id)
+SELECT event_id, station, round(2 * 6371 * asin(c / 2), 3) AS km FROM m""",
+)
+def _nearest_station(spark, sf):
+    """The nearest of as many stations as there are parts for every event."""
+    events = cubes.table(spark, sf, "events").select("event_id", *(F.expr(x) for x in _HASHED.replace("/ 100003.0", "/ 100003D").replace("/ 99991.0", "/ 99991D").split(", ")))
+    stations = cubes.table(spark, sf, "part").select("p_partkey", *(F.expr(x) for x in _PART.replace("/ 65537.0", "/ 65537D").replace("/ 65521.0", "/ 65521D").split(", ")))
+    out = nearest.nearest(events, stations)
+    return out.select("event_id", F.col("p_partkey_near").alias("station"), F.round(F.col("distance") / 1000, 3).alias("km"))
+
+
 # ---- averages, quantiles, resampling, selection
 
 
