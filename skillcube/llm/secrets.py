@@ -4,8 +4,9 @@ Base spans are plain patterns. Further candidates (signed tokens, PEM blocks, Pu
 they decode and what they decode to has the structure of a secret: a token header with an algorithm and a JSON payload, or
 a private key whose nested lengths add up exactly to the decoded bytes. A base64 run may go over several lines, and a key may start inside it: the
 length in its first bytes says where it ends. Decoded bytes that are text are looked at again (DEPTH times), so a PEM file or a token that was encoded
-once more is found. A run inside a block that is reported is not reported again. All patterns start at the edge of a run and do not go back into it, so they are
-linear in the text.
+once more is found. A run inside a block that is reported is not reported again. All patterns start at the edge of a run and do not go back into it; a key inside a
+run is decoded only as far as its lengths say (KEY_BYTES at most where a sequence's tag is all that shows it, any length for an OpenSSH key, which names itself);
+a line of a PuTTY file is walked once. So the work is linear in the text.
 
 Null texts are empty. Spans count code points, end exclusive. Texts without a span give zero counts, the digest of the empty
 string and an empty span list. Rows with equal doc_id stay separate; extra columns are ignored (scan) or kept (redact).
@@ -30,7 +31,7 @@ STEP_BYTES = 1 << 21
 BASE_KINDS = ("assign", "access", "hex")
 ADDED_KINDS = ("jwt", "pem", "key64", "keyhex", "putty")
 DEPTH = 2
-#: Bytes that a key has at most, for the search inside runs.
+#: Bytes that a key has at most where it starts inside a run with a sequence's tag; the largest RSA keys in use (16,384 bits) have 9,300.
 KEY_BYTES = 1 << 14
 _ORDER = {k: i for i, k in enumerate(BASE_KINDS + ADDED_KINDS)}
 
@@ -44,8 +45,10 @@ _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[
 _LEAST64, _LEAST_HEX = 52, 78
 _ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{78,}+")
 #: Where a key can start in base64: a sequence's tag and a length, or the words of an OpenSSH key.
-_KEY_START = re.compile(r"M[A-P]|b3BlbnNzaC1rZXktdjE")
-_PUTTY = re.compile(r"PuTTY-User-Key-File-[0-9]: [^\r\n]*\r?\n")
+_KEY_START = re.compile(r"M[A-P]|b3BlbnNzaC1rZXktdjEA")
+_PUTTY_HEAD = "PuTTY-User-Key-File-"
+_PUTTY = re.compile(_PUTTY_HEAD + r"[0-9]: [^\r\n]*\r?\n")
+_LINE64 = re.compile(r"[A-Za-z0-9+/]*={0,2}")
 
 
 def decode64(s: str) -> bytes | None:
@@ -149,18 +152,38 @@ def _der_size(head: bytes) -> int:
     return at + n if version or wrapped else 0
 
 
+def _openssh_size(run: str, start: int) -> int:
+    """Bytes of the OpenSSH key that starts here, by its nested lengths; 0 if they lead out of the run."""
+    whole = 3 * (len(run) - start) // 4
+
+    def number(at: int) -> int:
+        group = at // 3
+        six = decode64(run[start + 4 * group : start + 4 * group + 8]) or b""
+        return int.from_bytes(six[at - 3 * group : at - 3 * group + 4], "big")
+
+    at, keys = 15, 0
+    for part in range(3 + 17):  # cipher, key derivation, its options; public keys, private section
+        if part == 3:
+            if at + 4 > whole or not 1 <= (keys := number(at)) <= 16:
+                return 0
+            at += 4
+        if at + 4 > whole:
+            return 0
+        at += 4 + number(at)
+        if part >= 3 and part - 3 == keys:
+            break
+    return at if at <= whole else 0
+
+
 def _keys_inside(run: str) -> Iterator[tuple[int, int]]:
     """(start, end) of private keys in a run of standard base64 without padding."""
     at = 0
     while m := _KEY_START.search(run, at):
         i = at = m.start()
         at += 1
-        if m[0][0] == "b":
-            data, end = decode64(run[i:]), len(run)
-        else:
-            size = _der_size(decode64(run[i : i + 24]) or b"")
-            end = i + -(-4 * size // 3)
-            data = decode64(run[i:end]) if size and end <= len(run) else None
+        size = _openssh_size(run, i) if m[0][0] == "b" else _der_size(decode64(run[i : i + 24]) or b"")
+        end = i + -(-4 * size // 3)
+        data = decode64(run[i:end]) if size and end <= len(run) else None
         if data and private_key(data):
             yield i, end
             at = end
@@ -190,18 +213,23 @@ def _key64(m: re.Match, depth: int) -> list[tuple[int, int]]:
 
 
 def _putty(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of PuTTY key files: as many base64 lines as each count says, and a code of hex digits."""
+    """Spans of PuTTY key files: as many base64 lines as each count says, and a code of hex digits. No file goes on over a line that starts another one."""
     for m in _PUTTY.finditer(text):
         at, ok, parts = m.end(), True, 0
         while ok and at < len(text):
-            end = text.find("\n", at)
-            end = len(text) if end < 0 else end
-            name, _, value = text[at:end].strip().partition(": ")
-            at = end + 1
+            line, end, at = _line(text, at)
+            name, _, value = line.strip().partition(": ")
+            if _PUTTY_HEAD in line:
+                break
             if name in ("Public-Lines", "Private-Lines") and value.isdecimal() and len(value) < 5:
-                body = text[at : at + 80 * int(value)].split("\n")[: int(value)]
-                ok = len(body) == int(value) and decode64("".join(x.strip() for x in body)) is not None
-                at += sum(len(x) + 1 for x in body)
+                body: list[str] = []
+                while len(body) < int(value) and at < len(text):
+                    line, _, after = _line(text, at)
+                    if not _LINE64.fullmatch(line.strip()):
+                        break
+                    body.append(line.strip())
+                    at = after
+                ok = len(body) == int(value) and decode64("".join(body)) is not None
                 parts += 1
             elif name in ("Private-MAC", "Private-Hash"):
                 if parts == 2 and re.fullmatch("[0-9a-f]{40,64}", value):
@@ -211,6 +239,13 @@ def _putty(text: str) -> Iterator[tuple[int, int]]:
                 break
 
 
+def _line(text: str, at: int) -> tuple[str, int, int]:
+    """The line that starts here, its end and where the next one starts."""
+    end = text.find("\n", at)
+    end = len(text) if end < 0 else end
+    return text[at:end], end, end + 1
+
+
 def confirmed(text: str, depth: int = DEPTH) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) of the candidates that decode to a secret."""
     more = []
@@ -222,7 +257,7 @@ def confirmed(text: str, depth: int = DEPTH) -> list[tuple[int, int, str]]:
             data = decode64("".join(body.split()))
             if data and (private_key(data) or "Proc-Type" in m[2] and len(data) % 8 == 0):
                 more.append((*m.span(), "pem"))
-    if "PuTTY-User-Key-File-" in text:
+    if _PUTTY_HEAD in text:
         more += [(a, b, "putty") for a, b in _putty(text)]
     for m in _B64.finditer(text):
         if m.end() - m.start() >= _LEAST64:

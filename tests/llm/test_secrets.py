@@ -151,7 +151,11 @@ def test_precision_over_look_alikes():
     assert [t[:60] for t in noise if S.scan(t)[1]] == []
 
 
-@pytest.mark.parametrize("piece", ["eyJ", "eyJ.", "MII", "MIIEpAIBAAKCAQEA", "a.", "LS0tLS1CRUdJTi", "PuTTY-User-Key-File-2: x\n", "abcdefghijklmnopqrst\n", "MHcCAQEE"])
+#: Beginnings of keys whose lengths or counts reach over all that follows.
+OPEN_ENDED = ["b3BlbnNzaC1rZXktdjE", "b3BlbnNzaC1rZXktdjEA", "PuTTY-User-Key-File-2: x\nPublic-Lines: 9999\n", "PuTTY-User-Key-File-2: x\nPublic-Lines: 9999\nAAAA\n", "Comment: PuTTY-User-Key-File-2: x\n"]
+
+
+@pytest.mark.parametrize("piece", ["eyJ", "eyJ.", "MII", "MIIEpAIBAAKCAQEA", "a.", "LS0tLS1CRUdJTi", "PuTTY-User-Key-File-2: x\n", "abcdefghijklmnopqrst\n", "MHcCAQEE", *OPEN_ENDED])
 def test_hostile_runs_take_linear_time(piece):
     def took(n):
         began = time.process_time()
@@ -164,3 +168,20 @@ def test_hostile_runs_take_linear_time(piece):
 
 def test_many_open_blocks_take_linear_time():
     assert S.scan("-----BEGIN PRIVATE KEY----- abc " * 5000) == ([], [])
+
+
+def test_an_openssh_key_ends_where_its_lengths_say():
+    part = lambda b: len(b).to_bytes(4, "big") + b
+    key = b"openssh-key-v1\0" + part(b"none") * 2 + part(b"") + (1).to_bytes(4, "big") + part(b"p" * 51) + part(b"s" * 136)
+    key += b"" if len(key) % 3 == 0 else b"\0" * 0
+    run = base64.b64encode(key).decode().rstrip("=")
+    for text in (run, "A" * 20 + run, run + "\n", "AAAA" + run + run):
+        spans = [(a, b) for a, b, _ in S.scan(text)[1]]
+        assert spans and all(base64.b64decode(text[a:b] + "=" * (-(b - a) % 4)) == key for a, b in spans), text[:30]
+    assert S.scan(base64.b64encode(key[:-1]).decode())[1] == []
+
+
+def test_a_putty_file_may_start_in_the_comment_of_another():
+    file = "PuTTY-User-Key-File-3: ssh-rsa\nEncryption: none\nPublic-Lines: 1\nAAAAB3Nz\nPrivate-Lines: 2\nAAAA\nBBBB\nPrivate-MAC: " + "ab" * 32
+    text = "PuTTY-User-Key-File-3: ssh-rsa\nComment: " + file
+    assert [text[a:b] for a, b, k in S.scan(text)[1] if k == "putty"] == [file]
