@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from skillcube.llm.common import pieces, read_table, slices, staged, worker_state
 
 SEGMENT_BYTES = 1 << 21
+#: What a row costs in a segment besides its words, so that many empty texts close segments too.
+ROW_BYTES = 64
 #: Windows of so many bytes in all may be sent to every task.
 BROADCAST_BYTES = 8 << 20
 #: Windows that one row of the join carries at most, about.
@@ -89,8 +91,8 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
         for b in slices(whole, "text", size):
             for text, doc_id, tk in zip(b.column("text"), b.column("doc_id").to_pylist(), b.column("tk").to_pylist(), strict=True):
                 raw, total, tail = text.as_buffer().to_pybytes(), 0, []
-                for part in pieces(raw, size, _WORD):
-                    if now.words and now.bytes + len(part) > size:
+                for part in pieces(raw, size, _WORD) if raw else (b"",):
+                    if now.bytes and now.bytes + len(part) + ROW_BYTES > size:
                         yield now.batch(first + seg)
                         now, seg = _Open(), seg + 1
                     words = words_of(part)
@@ -98,13 +100,9 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
                     now.begins.append(len(now.words))
                     now.bases.append(total - len(tail))
                     now.words += tail + words
-                    now.bytes += len(part)
+                    now.bytes += len(part) + ROW_BYTES
                     total += len(words)
                     tail = (tail + words)[-OVERLAP:]
-                if not raw:
-                    now.rows.append(first + row)
-                    now.begins.append(len(now.words))
-                    now.bases.append(0)
                 now.heads.append({"row": first + row, "doc_id": doc_id, "tk": tk, "n_words": total})
                 row += 1
     if row:

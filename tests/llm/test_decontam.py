@@ -86,6 +86,16 @@ def test_long_texts_are_cut_into_segments(spark, make_docs, words, monkeypatch):
         assert got == want and {r.doc_id: r["near"] for r in rows.collect() if r.doc_id != 8} == near
 
 
+def test_texts_without_words_close_segments(spark, make_docs):
+    """A segment is bounded by its rows too: empty and word-free texts do not make one endless segment."""
+    docs = [(i, [None, "", "...", "one two"][i % 4]) for i in range(4000)]
+    index = decontam.build_index(make_docs(docs).coalesce(1), 1 << 12)
+    heads = [len(r.heads) for r in index.select("heads").collect()]
+    assert sum(heads) == 4000 and max(heads) <= (1 << 12) // decontam.ROW_BYTES
+    found = decontam.find_matches(index, spark.createDataFrame([("a", "one two")], "item_id string, text string"))
+    assert sum(r.n_hit > 0 for r in found.collect()) == 1000
+
+
 def test_words_that_collide_in_a_polynomial_hash(spark, make_docs):
     bits = [i.bit_count() % 2 for i in range(1024)]
     one, other = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
