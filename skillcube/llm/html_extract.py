@@ -4,11 +4,16 @@ Every page is parsed and its containers are scored: the share of the page's runn
 with a little for depth and for names that say content. The page votes for its best container's generalised path (tags and classes from the
 root, digits dropped). The best container is widened first until it holds all running text of the page, its article and the headings before
 it. Votes are counted per host and path in Spark; each host's winning path then extracts all its pages, so one
-odd page follows its host; a page whose own choice lies on the path keeps its widened container too. A page without an element on that path, or without
-any text there, falls back to its own best container.
+odd page follows its host; a page whose own choice lies on the path keeps its widened container too. A page without an element on that path, or with
+less than LEAST_SHARE of its own choice's text there, falls back to its own best container, unless the host knows that container as one that its pages hold
+and do not choose (a box of links or teasers): a page with a brief article then follows its host all the same.
 
 Inside the chosen elements, subtrees of boilerplate tags or names (menus, headers, footers, sidebars, notices, adverts, forms, comments)
 are left out, block elements part the text, white space inside a block (line breaks too) becomes one space, and empty blocks vanish.
+A name says boilerplate if one of its classes is such a word or a compound of such words and of words of place or shape ("site-header", "nav-list-2").
+A class that only holds such a word beside others ("social-science", "skip-intro") is a hint: its subtree goes only if it has no running text
+or if most of its text is linked. Comments, adverts and cookie notices are named by any of their words. A header that stands in an article
+and holds a heading that is no link is the article's own title and stays; one that holds none goes.
 
 Nulls: a null html is an empty page with an empty text; pages with a null url share the host "". Broken markup never fails: unclosed
 elements end with their parents, stray end tags are ignored. Parsing takes linear time whatever the markup, and memory in proportion to the page: a page is
@@ -25,6 +30,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +39,10 @@ from skillcube.llm.common import read_table, slices, staged
 STEP_BYTES = 1 << 21
 #: Characters from which a block counts as running text.
 RUNNING = 40
+#: The text on a host's path counts only if it has this share of the characters of the page's own choice.
+LEAST_SHARE = 0.3
+#: A container is known to lose if more pages of its host pass it over than choose it, and at least one page in so many passes it over.
+ONE_IN = 10
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|([^<]+|<)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -49,6 +59,13 @@ _DROPPED_WORDS = frozenset(
     "nav navbar navigation menu menubar header masthead footer sidebar aside ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent notice notices alert gdpr popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist reply replies respond disqus breadcrumb breadcrumbs pagination pager toolbar widget search form skip".split()
 )
+#: Words that say boilerplate wherever they stand in a class.
+_SURE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies gdpr newsletter comment comments commentlist disqus breadcrumb breadcrumbs navbar menubar sidebar pager pagination popup".split())
+#: Words of place, shape and number that make a compound with a dropped word without changing what it names.
+_PLACE_WORDS = frozenset(
+    "site page global main top bottom left right upper lower inner outer primary secondary sub mini mobile desktop fixed sticky bar box block area section wrapper wrap container holder panel region row col column grid list item items link "
+    "links button buttons btn icon icons bg tabs tab wide full small large posts articles stories the to my".split()
+)
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _CONTENT_WORDS = frozenset("article content post entry main story body text".split())
 #: An open element of the first set is closed by the start of one of the second.
@@ -72,9 +89,14 @@ class Page:
         self.dropped: list[bool] = [False]
         self.content: list[bool] = [False]
         self.link: list[bool] = [False]
+        #: Whether an element stands in an article or main element.
+        self.own: list[bool] = [False]
+        #: Elements that are kept or dropped by what they hold, whether only a heading keeps them, and whether a heading does.
+        self.hinted: list[tuple[int, bool, bool]] = []
         #: (element, its nearest block, text) in page order; a block's start or end parts texts.
         self.texts: list[tuple[int, int, str]] = []
         self._parse(source)
+        self._judge_hints()
 
     def _parse(self, source: str) -> None:
         stack, at, mark = [0], 0, 0
@@ -165,7 +187,13 @@ class Page:
         names = f"{a.get('class', '')} {a.get('id', '')}".lower()
         words = set(re.split(r"[^a-z]+", names))
         style = a.get("style", "").replace(" ", "").lower()
-        drop = tag in _DROPPED_TAGS or tag not in ("html", "body", "article", "main") and bool(words & _DROPPED_WORDS) or a.get("role", "").lower() in _DROPPED_ROLES or "hidden" in a or "display:none" in style
+        hidden = "hidden" in a or "display:none" in style
+        hints = words & _DROPPED_WORDS if tag not in ("html", "body", "article", "main") else set()
+        title = self.own[parent] and (tag == "header" or hints == {"header"})
+        drop = hidden or a.get("role", "").lower() in _DROPPED_ROLES or tag in _DROPPED_TAGS and not title or bool(hints) and not (title and hints <= {"header"}) and _names_boilerplate(names)
+        if not drop and (title or hints):
+            self.hinted.append((len(self.tag), title, hints <= {"header"}))
+        self.own.append(self.own[parent] or tag in ("article", "main"))
         self.tag.append(tag)
         self.name.append(tag + "".join(f".{c}" for c in sorted({re.sub(r"[\d>]+", "", c) for c in a.get("class", "").lower().split()} - {""})))
         self.parent.append(parent)
@@ -173,6 +201,34 @@ class Page:
         self.content.append(tag in ("article", "main") or a.get("role", "").lower() in ("main", "article") or a.get("itemprop", "").lower() == "articlebody" or bool(words & _CONTENT_WORDS))
         self.link.append(self.link[parent] or tag == "a")
 
+    def _judge_hints(self) -> None:
+        """Drop hinted elements that hold neither running text nor, for headers, an unlinked heading, and those whose text is mostly linked."""
+        if not self.hinted:
+            return
+        n = len(self.tag)
+        text, linked, running, heading = [0] * n, [0] * n, [0] * n, [0] * n
+        blocks: Counter[tuple[int, bool]] = Counter()
+        sizes = [len("".join(t.split())) for _, _, t in self.texts]
+        for (i, mark, _), size in zip(self.texts, sizes, strict=True):
+            blocks[mark, self.link[i]] += size
+        title = [False] * n
+        for i in range(1, n):
+            title[i] = self.tag[i] in _HEADINGS or title[self.parent[i]]
+        for (i, mark, _), size in zip(self.texts, sizes, strict=True):
+            if size and not self.dropped[i]:
+                text[i] += size
+                linked[i] += size * self.link[i]
+                running[i] += size * (blocks[mark, False] >= RUNNING and blocks[mark, False] >= blocks[mark, True])
+                heading[i] += size * (title[i] and not self.link[i])
+        for i in range(n - 1, 0, -1):
+            for sums in (text, linked, running, heading):
+                sums[self.parent[i]] += sums[i]
+        for i, title_only, as_title in self.hinted:
+            kept = as_title and heading[i] or not title_only and running[i]
+            self.dropped[i] |= not kept or 2 * linked[i] > text[i]
+        for i in range(self.hinted[0][0], n):  # what stands in a dropped element goes with it
+            self.dropped[i] |= self.dropped[self.parent[i]]
+
     def path(self, i: int) -> str:
         names = []
         while i > 0:
@@ -180,6 +236,30 @@ class Page:
             i = self.parent[i]
         return ">".join(reversed(names))
 
+    def keys(self) -> list[int]:
+        """A 64-bit key of every element's path; equal paths have equal keys."""
+        keys = [0]
+        for i in range(1, len(self.tag)):
+            keys.append(xxhash.xxh64_intdigest(self.name[i], keys[self.parent[i]]))
+        return keys
+
+    def passed_over(self, chosen: int) -> set[int]:
+        """Containers with text that neither hold the chosen element nor stand in it."""
+        n = len(self.tag)
+        beside, full = [True] * n, [False] * n
+        k = chosen
+        while k >= 0:
+            beside[k] = False
+            k = self.parent[k]
+        inside = [False] * n
+        for i in range(1, n):
+            inside[i] = i == chosen or inside[self.parent[i]]
+        for i, _, t in self.texts:
+            full[i] = full[i] or not t.isspace() and t != "" and not self.dropped[i]
+        for i in range(n - 1, 0, -1):
+            full[self.parent[i]] |= full[i]
+        return {i for i in range(1, n) if self.tag[i] in _CONTAINER and beside[i] and full[i] and not inside[i] and not self.dropped[i]}
+
     def on_path(self, names: list[str]) -> set[int]:
         """The elements whose path has these names and that are not dropped."""
         met = [0] + [-1] * (len(self.tag) - 1)  # names that an element's path has met, -1 where it strays
@@ -275,6 +355,18 @@ class Page:
         return "\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
 
 
+def _names_boilerplate(names: str) -> bool:
+    """Whether a class or id among the names is a dropped word, or a compound of dropped words and words of place."""
+    for name in names.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if words[:1] and words[0] in ("has", "no", "with", "without"):  # says what stands beside it
+            continue
+        dropped = [w for w in words if w in _DROPPED_WORDS]
+        if dropped and (any(w in _SURE_WORDS for w in dropped) or all(w in _DROPPED_WORDS or w in _PLACE_WORDS for w in words)):
+            return True
+    return False
+
+
 class _TagEnds:
     """Where a tag that starts somewhere ends: at the first > outside quotes. Every quote is looked at once, whatever the starts."""
 
@@ -310,8 +402,8 @@ class _TagEnds:
         return end
 
 
-def extract(source: str, path: str | None = None) -> str:
-    """The main text of a page: of the elements on a path, or of its best container."""
+def extract(source: str, path: str | None = None, losers: frozenset[int] = frozenset()) -> str:
+    """The main text of a page: of the elements on a path, or of its best container; losers: keys of paths that the host passes over."""
     page = Page(source)
     roots = page.on_path(path.split(">")) if path else set()
     chosen, widened, _ = page.choice()
@@ -319,35 +411,58 @@ def extract(source: str, path: str | None = None) -> str:
     while k > 0 and k not in roots:
         k = page.parent[k]
     if not roots or k in roots:
-        roots = roots | {widened}
-    return page.text_of(roots) or page.text_of({widened})
+        return page.text_of(roots | {widened})
+    own, voted = page.text_of({widened}), page.text_of(roots)
+    if voted and (len(voted) >= LEAST_SHARE * len(own) or losers and page.keys()[chosen] in losers):
+        return voted
+    return own
 
 
 def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def _signed(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each page's vote, and one without a path for each container that it passes over."""
     for whole in batches:
         for b in slices(whole, "html", STEP_BYTES):
-            pages = [Page(s) for s in b.column("html").to_pylist()]
-            best = [p.best() for p in pages]
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([p.path(i) for p, (i, _) in zip(pages, best, strict=True)], pa.string()), pa.array([s for _, s in best], pa.float64())], ["host", "path", "score"])
+            rows = []
+            for name, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+                page = Page(source)
+                chosen, widened, score = page.choice()
+                if widened:
+                    keys = page.keys()
+                    rows.append((name, _signed(keys[widened]), page.path(widened), score, 1))
+                    rows += [(name, _signed(k), None, 0.0, 0) for k in {keys[i] for i in page.passed_over(chosen)}]
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int64()), strict=True)], ["host", "key", "path", "score", "vote"])
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path: each host's winning path, from one vote of every page."""
-    votes = pages.select(host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(_votes, "host string, path string, score double").where("path != ''")
-    counted = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("score"))
-    won = counted.groupBy("host").agg(F.max(F.struct("n", "score")).alias("most"))
-    ties = counted.join(won, "host").where((F.col("n") == F.col("most.n")) & (F.col("score") == F.col("most.score")))
-    return ties.groupBy("host").agg(F.min("path").alias("path"))
+    """host, path, losers: each host's winning path, from one vote of every page, and the keys of paths that its pages hold and pass over.
+
+    A host has at most ONE_IN times as many losers as its pages pass over on average.
+    """
+    votes = pages.select(host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(_votes, "host string, key long, path string, score double, vote long")
+    counted, _ = staged(votes.groupBy("host", "key", "path").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("score"), F.sum("vote").alias("votes")), "host-votes")
+    voted = counted.where("votes > 0")
+    won = voted.groupBy("host").agg(F.max(F.struct("n", "score")).alias("most"), F.sum("n").alias("pages"))
+    ties = voted.join(won, "host").where((F.col("n") == F.col("most.n")) & (F.col("score") == F.col("most.score")))
+    paths = ties.groupBy("host").agg(F.min("path").alias("path"))
+    known = counted.groupBy("host", "key").agg(F.sum("votes").alias("votes"), F.sum(F.when(F.col("votes") == 0, F.col("n")).otherwise(0)).alias("passed")).join(won, "host")
+    losers = known.where(f"passed > votes AND {ONE_IN} * passed >= pages").groupBy("host").agg(F.collect_list("key").alias("losers"))
+    return paths.join(losers, "host", "left")
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in slices(whole, "html", STEP_BYTES):
-            texts = [extract(s, p) for s, p in zip(b.column("html").to_pylist(), b.column("path").to_pylist(), strict=True)]
+            losers = [frozenset(k % (1 << 64) for k in x or ()) for x in b.column("losers").to_pylist()]
+            texts = [extract(s, p, x) for s, p, x in zip(b.column("html").to_pylist(), b.column("path").to_pylist(), losers, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -359,7 +474,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     paths, _ = staged(host_paths(pages).withColumnRenamed("host", "of"), "host-paths")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    joined = rows.join(paths, host(F.col("url")) == F.col("of"), "left").select("page_id", "url", "html", "path")
+    joined = rows.join(paths, host(F.col("url")) == F.col("of"), "left").select("page_id", "url", "html", "path", "losers")
     return joined.mapInArrow(_extracted, "page_id long, url string, text string")
 
 

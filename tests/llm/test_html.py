@@ -108,3 +108,36 @@ def test_a_host_path_does_not_cut_a_split_body():
     path = "html>body>div.wrap>div.text"
     split = f"<html><body><div class=wrap><div class=text><p>{LONG * 30}</p></div><div class=more><p>{LONG * 10}</p></div></div></body></html>"
     assert H.extract(split, path).count("story") == 40
+
+
+def test_a_few_words_on_a_host_path_do_not_replace_the_article():
+    page = f"<html><body><div class=a>Short.</div><div class=b><p>{LONG * 20}</p></div></body></html>"
+    assert H.extract(page, "html>body>div.a").count("story") == 20
+    half = f"<html><body><div class=a><p>{LONG * 10}</p></div><div class=b><p>{LONG * 20}</p></div></body></html>"
+    assert H.extract(half, "html>body>div.a").count("story") == 10  # the path's own text is no small share, so the host decides
+
+
+@pytest.mark.parametrize("start", ["<section class='social-science'><p>", "<p class='skip-intro'>", "<div class='form-and-function'><p>", "<div class='content has-sidebar'><p>", "<div class='alert-level-history'><p>"])
+def test_a_word_in_a_longer_name_does_not_drop_running_text(start):
+    page = f"<html><body><article><h1>Title</h1><p>{LONG * 10}</p>{start}{LONG * 3}</p></article></body></html>"
+    assert H.extract(page).count("story") == 13
+
+
+@pytest.mark.parametrize("name", ["social-share", "related-posts", "site-header", "page-footer", "comment-list", "cookie-notice-2", "nav-list", "newsletter-signup-form", "post-comments", "ad-slot"])
+def test_compounds_of_dropped_words_drop_running_text(name):
+    page = f"<html><body><article><h1>Title</h1><p>{LONG * 10}</p><div class='{name}'><p>other {LONG * 3}</p></div></article></body></html>"
+    assert "other" not in H.extract(page)
+
+
+def test_hints_go_without_running_text_or_with_links():
+    page = f"<html><body><article><p>{LONG * 10}</p><div class='social-corner'>Follow us</div><div class='menu-of-stories'><p><a href=x>{LONG * 3}</a></p></div></article></body></html>"
+    assert H.extract(page) == (LONG * 10).strip()
+
+
+@pytest.mark.parametrize("head", ["<header>{}</header>", "<header class='article-header'>{}</header>", "<div class='entry-header'>{}</div>", "<div class='header'>{}</div>"])
+def test_the_header_of_an_article_is_its_title(head):
+    title = head.format("<h1>Title</h1><p>Lead line.</p>")
+    page = f"<html><body><header><h2>Site</h2></header><article>{title}<p>{LONG * 10}</p></article></body></html>"
+    assert H.extract(page).startswith("Title\nLead line.\nrunning")
+    logo = head.format("<a href='/'><h1>Site</h1></a>")
+    assert H.extract(f"<html><body><article>{logo}<p>{LONG * 10}</p></article></body></html>") == (LONG * 10).strip()
