@@ -20,6 +20,7 @@ from skillcube.operators.regions import BOXES, Region, named, with_regions
 from skillcube.plans import evaluate as ev
 from skillcube.sources import cubes, io, layout, mock, zarr
 from skillcube.sources.cubes import with_ctes
+from skillcube.streaming import running
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -953,6 +954,25 @@ def _ufunc_fit(spark, sf):
     return rounded(out.select("vec_id", "degree", "c"), "c")
 
 
+# ---- running scores
+
+
+_REPORTS = """WITH reports AS (SELECT user_id % 16 AS site, date_trunc('hour', ts) AS t, CASE WHEN event_type IN ('click', 'view') THEN 'forecast' ELSE 'observed' END AS side, event_id, CAST(round(value / 0.01) AS BIGINT) AS u FROM events),
+newest AS (SELECT * FROM reports QUALIFY row_number() OVER (PARTITION BY site, t, side ORDER BY event_id DESC, u DESC) = 1),
+pairs AS (SELECT f.site, CAST(CAST(f.t AS DATE) AS VARCHAR) AS day, f.u - o.u AS e FROM newest f JOIN newest o ON f.site = o.site AND f.t = o.t AND f.side = 'forecast' AND o.side = 'observed')
+"""
+
+
+@query("running_scores", _REPORTS + f"SELECT site, day, count(*) AS n, {r6('CAST(sum(e * e) AS DOUBLE) / count(*) * 0.0001', 'mse')}, {r6('CAST(sum(abs(e)) AS DOUBLE) / count(*) * 0.01', 'mae')}, {r6('CAST(sum(e) AS DOUBLE) / count(*) * 0.01', 'bias')} FROM pairs GROUP BY site, day")
+def _running_scores(spark, sf):
+    """All events arrive as reports in micro-batches, newest and outdated ones mixed; the SQL looks at the newest reports at once."""
+    events = cubes.table(spark, sf, "events")
+    side = F.when(F.col("event_type").isin("click", "view"), "forecast").otherwise("observed")
+    reports = events.select((F.col("user_id") % 16).alias("site"), F.date_trunc("hour", "ts").cast(events.schema["ts"].dataType).alias("valid_time"), side.alias("side"), F.col("event_id").alias("version"), "value")
+    changes = running.replay(spark, reports, "value", ["site"], 0.01)
+    return rounded(running.scores(changes, ["site", F.to_date("valid_time").cast("string").alias("day")], 0.01), "mse", "mae", "bias")
+
+
 @query("extra_tropical_mask", score_sql({"mse": f"({_E}) ** 2"}, {"mse": "mse"}).replace("SELECT region, lead_hours, round", "SELECT 'extra-tropics' AS region, lead_hours, round").replace("FROM vals GROUP BY ALL", "FROM vals WHERE region = 'extra-tropics' GROUP BY ALL"))
 def _extra_tropics(spark, sf):
     rows = with_regions(with_latitude_weights(pairs(spark, sf), cubes.LATITUDES), [Region("extra-tropics", extra_tropics_from=20.0)])
