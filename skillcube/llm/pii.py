@@ -326,14 +326,15 @@ def accuracy(spark: SparkSession) -> dict[str, tuple[float, float]]:
     return fitted(spark)[2]
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
+def find_spans(docs: DataFrame, base: str = "base", added: str = "added") -> DataFrame:
     """docs with base (sorted base spans) and added (selected further spans), arrays of struct<start,kind,stop>.
 
+    A column of docs that has one of these two names is kept as <its name>_input.
     The kind of an added span is its place in BASE_KINDS + ADDED_KINDS. Spans of one kind are in order and apart, so overlaps are found by bisection.
     """
     model, thresholds, _ = fitted(docs.sparkSession)
     kinds, more = range(len(BASE_KINDS)), range(len(ADDED_KINDS))
-    rows = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.withColumnsRenamed({c: f"{c}_input" for c in docs.columns if c.lower() in (base, added)}).withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
     rows = rows.withColumns({f"__b{k}": c for k, c in enumerate(base_parts("__text"))} | {f"__c{k}": c for k, c in enumerate(candidate_parts("__text"))})
     # candidates that touch no base span
     touched = " OR ".join(_hit(f"__b{k}") for k in kinds)
@@ -346,8 +347,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
         beaten = " OR ".join(_beaten(f"__s{j}") for j in more if j != k)
         return F.expr(f"transform(filter(__s{k}, c -> NOT ({beaten})), c -> struct(c.start AS start, {k + len(BASE_KINDS)} AS kind, c.stop AS stop))")
 
-    added = [F.when(F.size(f"__s{k}") > 0, best(k)).otherwise(F.array().cast(_NONE)) for k in more]
-    return rows.withColumns({"base": F.array_sort(F.concat(*(F.col(f"__b{k}") for k in kinds))), "added": F.array_sort(F.concat(*added))}).drop("__text", "__f", "__t", *(f"__{x}{k}" for x in "bcs" for k in more))
+    selected = [F.when(F.size(f"__s{k}") > 0, best(k)).otherwise(F.array().cast(_NONE)) for k in more]
+    return rows.withColumns({base: F.array_sort(F.concat(*(F.col(f"__b{k}") for k in kinds))), added: F.array_sort(F.concat(*selected))}).drop("__text", "__f", "__t", *(f"__{x}{k}" for x in "bcs" for k in more))
 
 
 def shown(spans: Column) -> Column:
@@ -360,8 +361,8 @@ def _count(kind: int) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[PII]") -> DataFrame:
-    """docs with every span of text replaced by a mark; overlapping spans become one."""
-    spans = F.array_sort(F.concat("base", "added"))
+    """docs with every span of text replaced by a mark; overlapping spans become one. All other columns stay, whatever their names."""
+    spans = F.array_sort(F.concat("__base", "__added"))
     state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(a: Column, s: Column) -> Column:
@@ -369,7 +370,7 @@ def redact(docs: DataFrame, mark: str = "[PII]") -> DataFrame:
         return F.struct(F.concat(a["out"], gap).alias("out"), F.greatest(a["at"], s["stop"]).alias("at"))
 
     done = F.aggregate(spans, state, step, lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))))
-    return find_spans(docs).withColumn("text", F.when(F.size(spans) > 0, done).otherwise(F.col("text"))).select(*docs.columns)
+    return find_spans(docs, "__base", "__added").withColumn("text", F.when(F.size(spans) > 0, done).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

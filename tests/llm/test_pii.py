@@ -102,3 +102,11 @@ def test_many_matches_take_time_in_proportion(spark, make_docs):
 
     took(10)
     assert took(16_000) < 8 * took(4_000) + 5
+
+
+def test_columns_of_the_user_stay(spark, make_docs):
+    docs = make_docs([(1, "write to ann@example.org now"), (2, None)]).selectExpr("*", "'mine' AS base", "7 AS Added")
+    out = pii.redact(docs)
+    assert out.columns == docs.columns and sorted((r.doc_id, r.text, r.base, r.Added) for r in out.collect()) == [(1, "write to [PII] now", "mine", 7), (2, None, "mine", 7)]
+    found = {r.doc_id: r for r in pii.find_spans(docs).collect()}
+    assert found[1].base_input == "mine" and found[1].Added_input == 7 and len(found[1].base) == 1 and found[2].base == []
