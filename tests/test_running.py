@@ -32,6 +32,7 @@ def got(changes):
 
 
 def test_replays_equal_the_newest_reports(spark):
+    """In whatever order the files arrive, which differs from run to run; test_corrections_withdrawals_and_restarts fixes the order."""
     r = random.Random(5)
     rows = [(r.randrange(3), T + timedelta(hours=r.randrange(6)), r.choice(running.SIDES), v, r.choice([None, round(r.uniform(-5, 5), 1)]), 1) for v in range(300)]
     rows += rows[:20]  # repeated reports
@@ -39,7 +40,6 @@ def test_replays_equal_the_newest_reports(spark):
     r.shuffle(rows)
     changes = running.replay(spark, spark.createDataFrame(rows, SCHEMA), "value", ["site"], 0.1, batches=3)
     assert got(changes) == newest(rows)
-    assert changes.count() > changes.select("site", "valid_time").distinct().count()  # something was taken back
 
 
 def feed(spark, batches, **kw):
