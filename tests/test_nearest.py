@@ -45,3 +45,39 @@ def test_no_pair_outside_neighbouring_cubes(spark):
     assert met.count() == 27 * points.count()
     plan = N.nearest(points, points)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def shuffled(spark):
+    """Rows that all stages so far have written to shuffles."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_places_are_not_copied_into_cubes_around(spark):
+    """Shuffled rows: a few per place, and about a dozen per point."""
+    r = random.Random(5)
+    points = spark.createDataFrame([(r.uniform(-90, 90), r.uniform(0, 360)) for _ in range(300)], "latitude double, longitude double")
+    places = spark.createDataFrame([(r.uniform(-90, 90), r.uniform(0, 360)) for _ in range(4000)], "latitude double, longitude double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many points
+    try:
+        before = shuffled(spark)
+        assert N.nearest(places, points).where("distance IS NULL").count() == 0
+        rows = shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < rows < 8 * 4000 + 16 * 300, rows
+
+
+def test_cubes_of_many_places_in_parts(spark, monkeypatch):
+    """Many places in one cube: every part meets all of the points around, ties included."""
+    monkeypatch.setattr(N, "PART", 7)
+    r = random.Random(9)
+    points = [(r.uniform(-90, 90), r.uniform(0, 360), k) for k in range(60)] + [(51.0, 7.0, 100), (49.0, 7.0, 101)]
+    places = [(50 + r.gauss(0, 0.5), 7 + r.gauss(0, 0.5), k) for k in range(300)] + [(0.0, 7.0, 400), (-60.0, 200.0, 401)]
+    out = N.nearest(spark.createDataFrame(places, "latitude double, longitude double, place int"), spark.createDataFrame(points, "latitude double, longitude double, point int")).collect()
+    assert sorted(row.place for row in out) == sorted(p[2] for p in places)
+    for row in out:
+        best = min((round(chord((row.latitude, row.longitude), p), 9), p[0], p[1]) for p in points)
+        assert (row.latitude_near, row.longitude_near) == best[1:]
