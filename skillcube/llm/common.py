@@ -67,15 +67,36 @@ def _hadoop(spark: SparkSession, path: str, call) -> bool:
     return call(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p)
 
 
-def staged(df: DataFrame, name: str, path: str | None = None, codec: str = "zstd") -> tuple[DataFrame, str]:
-    """Cut lineage: write df to the shared folder and read it back. A lost executor costs nothing that is staged."""
+#: Bytes of long rows that are held at once: in a row group, which is read whole, and in a batch between Spark and Python.
+LONG_BYTES = 8 << 20
+#: Parquet looks at a row group's size after a hundred rows only, unless told otherwise.
+LONG_ROWS = {"parquet.block.size": LONG_BYTES, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def staged(df: DataFrame, name: str, path: str | None = None, codec: str = "zstd", **options: int) -> tuple[DataFrame, str]:
+    """Cut lineage: write df to the shared folder and read it back. A lost executor costs nothing that is staged. options: of the Parquet writer."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.option("compression", codec).mode("overwrite").parquet(path)
+    df.write.options(compression=codec, **options).mode("overwrite").parquet(path)
     remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile hands Python batches of about LONG_BYTES, or of one row."""
+    before = spark.conf.get(_BATCH_BYTES, None)
+    spark.conf.set(_BATCH_BYTES, str(LONG_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_BYTES)
+        else:
+            spark.conf.set(_BATCH_BYTES, before)
+
+
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying; null rows are empty. offsets has one entry more than rows."""
     if isinstance(array, pa.ChunkedArray):

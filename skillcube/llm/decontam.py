@@ -10,6 +10,9 @@ Windows are a table of their own. Up to BROADCAST_BYTES of them go to all segmen
 term of its that the whole index holds least often, so it goes to the segments with that term alone, through a shuffle; neither the driver nor a
 task then holds more than a part of the test set.
 
+Memory: a segment is a row of some MB, so row groups of the stored index and batches between Spark and Python are kept to a few of them, whatever
+a task's share of the input is. Items go by their texts until a document's texts are known, so copies of an item cost what they add to the result.
+
 Words: A-Z lower-cased, runs of ASCII digits and letters and of non-ASCII characters, compared as they are (no hashes). A null text has no words. Items of
 fewer words than a window are one window; items without words match nothing, nor do items with a null id. Equal item ids count once. Rows with equal
 doc_id stay separate; extra columns are ignored (find) or kept (drop). Windows never cross documents. A long text is cut into segments that
@@ -27,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillcube.llm.common import pieces, read_table, slices, staged, worker_state
+from skillcube.llm.common import LONG_ROWS, pieces, read_table, slices, small_batches, staged, worker_state
 
 SEGMENT_BYTES = 1 << 21
 #: What a row costs in a segment besides its words, so that many empty texts close segments too.
@@ -113,14 +116,15 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
     """Segments of the positional index of every whole text, stored in the shared folder."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tk"))
-    return staged(rows.mapInArrow(_segments(segment_bytes), _INDEX), "postings")[0]
+    with small_batches(docs.sparkSession):
+        return staged(rows.mapInArrow(_segments(segment_bytes), _INDEX), "postings", **LONG_ROWS)[0]
 
 
 def _windowed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("decontamination")
         for b in batches:
-            for text, item in zip(b.column("text"), b.column("item"), strict=True):
+            for text, number in zip(b.column("text"), b.column("number").to_pylist(), strict=True):
                 held: list[bytes] = []
                 short = True
                 for part in pieces(text.as_buffer().to_pybytes(), SEGMENT_BYTES, _WORD):
@@ -128,22 +132,27 @@ def _windowed(size: int):
                     held = words[-(size - 1) :] if size > 1 else []
                     if len(words) >= size:
                         short = False
-                        yield of([b" ".join(words[k : k + size]) for k in range(len(words) - size + 1)], item)
+                        yield of([b" ".join(words[k : k + size]) for k in range(len(words) - size + 1)], number)
                 if short and held:
-                    yield of([b" ".join(held)], item)
+                    yield of([b" ".join(held)], number)
 
-    def of(found: list[bytes], item: pa.Scalar) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()).cast(pa.string()), pa.array([item.as_py()] * len(found), pa.string())], ["window", "item"])
+    def of(found: list[bytes], number: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()).cast(pa.string()), pa.array(np.full(len(found), number))], ["window", "number"])
 
     return run
 
 
-def windows_of(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(win, window) of the distinct windows, words joined by a space, and (win, item) of the items that have them; both written out."""
+def windows_of(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(win, window) of the distinct windows, words joined by a space, (win, number) of the distinct texts that have them, and (number, item) of the items; all written out."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).where("item is not null")
-    rows, _ = staged(items.mapInArrow(_windowed(size), "window string, item string").distinct(), "windows-of-items")
+    texts, _ = staged(items.select("text").distinct().select(F.monotonically_increasing_id().alias("number"), "text"), "texts-of-items")
+    # written files hide how large repeated strings are in memory, so these are not broadcast by their files' sizes
+    of_texts, _ = staged(items.distinct().join(texts.hint("merge"), "text").select("number", "item"), "items-of-texts")
+    with small_batches(benchmark.sparkSession):
+        rows, _ = staged(texts.mapInArrow(_windowed(size), "window string, number long").distinct(), "windows-of-texts")
     windows, _ = staged(rows.select("window").distinct().select(F.monotonically_increasing_id().alias("win"), "window"), "windows")
-    return windows, rows.join(windows, "window").select("win", "item")
+    of_windows, _ = staged(rows.join(windows.hint("merge"), "window").select("win", "number"), "texts-of-windows")
+    return windows, of_windows, of_texts
 
 
 class Asked:
@@ -234,27 +243,43 @@ class Segment:
 _MOST = 1 << 20
 
 
+def _merged(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of the same positions that do not overlap; doc: each range's document, ascending with a."""
+    if not len(a):
+        return a, b, doc
+    order = np.argsort(a, kind="stable")
+    a, reach, doc = a[order], np.maximum.accumulate(b[order]), doc[order]
+    first = np.flatnonzero(np.append(True, (a[1:] > reach[:-1]) | (doc[1:] != doc[:-1])))
+    return a[first], reach[np.append(first[1:], len(a)) - 1], doc[first]
+
+
 def _matched(seg: Segment, asked: Asked, rows: np.ndarray, bases: np.ndarray, slop: int | None) -> pa.RecordBatch:
     """row, ranges (in the document), exact and near (numbers of windows) of the documents of a segment that have matches."""
     numbers = seg.numbers(asked.terms)
-    ranges: dict[int, list] = {}
+    none = np.zeros(0, np.int64)
+    hit = none, none, none
     exact: dict[int, set] = {}
     near: dict[int, set] = {}
     for size, (wins, terms) in asked.by_size.items():
         windows = numbers[terms]
         there = seg.present(windows)
-        cost = (seg.lists[windows[there] + 1] - seg.lists[windows[there]]).min(1) if len(there) else np.zeros(0, np.int64)
+        cost = (seg.lists[windows[there] + 1] - seg.lists[windows[there]]).min(1) if len(there) else none
         for some in np.split(there, np.flatnonzero(np.diff(np.cumsum(cost) // _MOST)) + 1):
             if not len(some):
                 continue
             row, start = seg.exact(windows[some])
             doc = np.searchsorted(seg.ends, start, "right") - 1
-            for w, s, d in zip(wins[some[row]].tolist(), (start - seg.ends[doc] + bases[doc]).tolist(), doc.tolist(), strict=True):
-                ranges.setdefault(d, []).append({"a": s, "b": s + size})
-                exact.setdefault(d, set()).add(w)
+            hit = _merged(*(np.append(x, y) for x, y in zip(hit, (start, start + size, doc), strict=True)))
+            row, doc = divmod(np.unique(row << 32 | doc), 1 << 32)
+            for r, d in zip(row.tolist(), doc.tolist(), strict=True):
+                exact.setdefault(d, set()).add(int(wins[some[r]]))
             if slop is not None:
                 for r, d in seg.near(windows[some], size + slop, set(zip(row.tolist(), doc.tolist(), strict=True))):
                     near.setdefault(d, set()).add(int(wins[some[r]]))
+    ranges: dict[int, list] = {}
+    for a, b, d in zip(*(x.tolist() for x in hit), strict=True):
+        base = int(bases[d] - seg.ends[d])
+        ranges.setdefault(d, []).append({"a": a + base, "b": b + base})
     docs = sorted({*ranges, *near})
     of = lambda found: pa.array([sorted(found.get(d, ())) for d in docs], pa.list_(pa.int64()))
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
@@ -291,7 +316,7 @@ def _candidates(index: DataFrame, windows: DataFrame) -> DataFrame:
     found = rarest.select("win", F.col("rarest.term").alias("term")).join(held.select("term", "seg"), "term").select("seg", "win").join(windows, "win")
     batches = max(1, -(-windows.count() // BATCH_WINDOWS))
     found = found.groupBy("seg", F.pmod("win", F.lit(batches)).alias("batch")).agg(F.collect_list(F.struct("win", "window")).alias("w"))
-    return staged(found.select(F.col("seg").alias("of"), F.col("w.win").alias("wins"), F.col("w.window").alias("windows")), "asked-segments")[0]
+    return staged(found.select(F.col("seg").alias("of"), F.col("w.win").alias("wins"), F.col("w.window").alias("windows")), "asked-segments", **LONG_ROWS)[0]
 
 
 def _matches(index: DataFrame, windows: DataFrame, slop: int | None) -> DataFrame:
@@ -306,7 +331,8 @@ def _matches(index: DataFrame, windows: DataFrame, slop: int | None) -> DataFram
         found = index.select(*columns).mapInArrow(_ask(rows, slop), _MATCHED)
     else:
         found = index.join(_candidates(index, windows), F.col("seg") == F.col("of")).select(*columns, "wins", "windows").mapInArrow(_ask(None, slop), _MATCHED)
-    found, _ = staged(found, "matches")
+    with small_batches(spark):
+        found, _ = staged(found, "matches")
     return found.groupBy("row").agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("ranges", "exact", "near")))  # parts of one document
 
 
@@ -325,14 +351,14 @@ def find_matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """
     if window + (slop or 0) > OVERLAP:
         raise ValueError(f"a window and its slop may have {OVERLAP} words")
-    windows, of_items = windows_of(benchmark, window)
+    windows, of_windows, of_texts = windows_of(benchmark, window)
     matches, _ = staged(_matches(index, windows, slop), "matched-documents")
     items = matches.select("row", F.explode(F.array(F.struct(F.lit("items").alias("kind"), F.col("exact").alias("wins")), F.struct(F.lit("near").alias("kind"), F.col("near").alias("wins")))).alias("k"))
-    items = items.select("row", "k.kind", F.explode("k.wins").alias("win")).join(of_items, "win").groupBy("row").agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("item")))).alias(k) for k in ("items", "near")))
+    items = items.select("row", "k.kind", F.explode("k.wins").alias("win")).join(of_windows, "win").select("row", "kind", "number").distinct().join(of_texts, "number").groupBy("row").agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("item")))).alias(k) for k in ("items", "near")))
     hits, _ = staged(matches.select(F.col("row").alias("of"), _covered(F.col("ranges")).alias("n_hit")).join(items.withColumnRenamed("row", "of"), "of"), "hits")
     heads = index.select(F.explode("heads").alias("h")).select("h.*")
     none = F.array().cast("array<string>")
-    return heads.join(hits, F.col("row") == F.col("of"), "left").select("doc_id", "tk", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), *(F.coalesce(k, none).alias(k) for k in ("items", "near")))
+    return heads.join(hits.hint("merge"), F.col("row") == F.col("of"), "left").select("doc_id", "tk", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), *(F.coalesce(k, none).alias(k) for k in ("items", "near")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pyarrow.parquet as pq
+
 from skillcube.llm import decontam
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -96,6 +98,28 @@ def test_texts_without_words_close_segments(spark, make_docs):
     assert sum(r.n_hit > 0 for r in found.collect()) == 1000
 
 
+def test_what_a_task_holds_at_once_is_bounded(spark, make_docs, words):
+    """Row groups of the index hold a few segments, however many one task writes; batches are small only meanwhile."""
+    text, before = words(5, 20000), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    index = decontam.build_index(make_docs([(i, text) for i in range(200)]).coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.inputFiles()]
+    sizes = [m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups)]
+    assert sum(sizes) > 15 << 20 and max(sizes) < 12 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_copies_of_items_and_of_words_do_not_multiply(spark, make_docs, words):
+    item = words(1, 25)
+    items = [(i, item) for i in range(50)] + [(7, "rep " * 11), (7, item), (60, "rep " * 11)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    windows, of_windows, *_ = decontam.windows_of(benchmark)
+    assert windows.count() == of_windows.count() == 17
+    docs = [(1, f"x {item} y"), (2, "rep " * 30000), (3, "clean")]
+    index = decontam.build_index(make_docs(docs))
+    assert sorted(len(r.ranges) for r in decontam._matches(index, windows, None).collect()) == [1, 1]
+    assert find(spark, make_docs, docs, items)[0] == brute(docs, items)
+
+
 def test_words_that_collide_in_a_polynomial_hash(spark, make_docs):
     bits = [i.bit_count() % 2 for i in range(1024)]
     one, other = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
